@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm import decontaminate, quality_rules, secret_scan, sentence_pieces, simhash
 from weftline.llm.common import shared_dir, table
-from weftline.llm import quality_rules, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,18 +22,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.representatives(docs.select(*COLUMNS))
 
 
-STAGES = [("quality_rules", rules), ("simhash", near_duplicates)]
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that leak a benchmark item go."""
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
-#: The fingerprints and the learned rules have no SQL; tests hold each stage against a brute-force version.
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: every secret in a text is replaced by a mark; all documents stay."""
+    return secret_scan.redacted(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the ids of every text, with whether decoding gives it back."""
+    return sentence_pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("simhash", near_duplicates),
+    ("decontaminate", benchmarks),
+    ("secret_scan", secrets),
+    ("sentence_pieces", tokens),
+]
+
+#: Fingerprints, learned rules and segmentation have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, root = table(spark, sf_dir, "documents"), shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(at := f"{shared_dir(spark)}/{name}")
-            docs = spark.read.parquet(at)
+            docs.write.parquet(f"{root}/{name}")
+            docs = spark.read.parquet(f"{root}/{name}")
     return docs
