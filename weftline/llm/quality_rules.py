@@ -71,11 +71,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             " OR (k < size(_sorted) - 1 AND _sorted[k + 1].t = x.t) THEN x.i END), p -> p IS NOT NULL))"
         ),
     ).drop("_sorted")
+    # The row number, never negative, is a barrier: a filter on what follows from this column must not be pushed below the
+    # projections above, where Catalyst would repeat their arrays inside the lambdas.
     return places.withColumn(
         "n_repeat_words",
         F.expr(
             "CASE WHEN size(_at) > 0 THEN aggregate(zip_with(slice(_at, 1, size(_at) - 1), slice(_at, 2, size(_at) - 1),"
-            " (a, b) -> least(3, b - a)), 3L, (s, x) -> s + x) ELSE 0L END"
+            " (a, b) -> least(3, b - a)), 3L, (s, x) -> s + x) ELSE 0L END + CASE WHEN monotonically_increasing_id() < 0 THEN 1L ELSE 0L END"
         ),
     ).drop("_at")
 

@@ -262,20 +262,24 @@ def spans_of(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[st
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of a rule replaced by the mark and n_chars, where present, counted anew; other columns as they are."""
+    """docs with every span of a rule replaced by the mark and n_chars, where present, counted anew; other columns as they are.
+
+    The rules run one after the other over one text; each step names its input once, so the plan grows with the rules only.
+    """
+    text = "text"
     for r in RULES:
-        p = _literal(r.pattern)
-        if r.group:  # a match that is too short stays: put every match back but for those whose group is long enough
-            parts = f"split(text, {p}, -1)"
+        p, m = _literal(r.pattern), _literal(mark)
+        if r.group:  # a match that is too short is put back
             pairs = (
-                f"zip_with(zip_with({parts}, regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)), regexp_extract_all(text, {p}, {r.group}),"
-                f" (x, k) -> concat(x.g, CASE WHEN x.m IS NULL THEN '' WHEN length(k) >= {r.least} THEN {_literal(mark)} ELSE x.m END))"
+                f"zip_with(zip_with(split(t, {p}, -1), regexp_extract_all(t, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)), regexp_extract_all(t, {p}, {r.group}),"
+                f" (x, k) -> concat(x.g, CASE WHEN x.m IS NULL THEN '' WHEN length(k) >= {r.least} THEN {m} ELSE x.m END))"
             )
-            text_sql = f"CASE WHEN text RLIKE {p} THEN array_join({pairs}, '') ELSE text END"
+            step = f"CASE WHEN t RLIKE {p} THEN array_join({pairs}, '') ELSE t END"
         else:
-            full = f"{r.pattern}" if r.least == 1 or r.kind == "hex" else r.pattern.replace("+", f"{{{r.least - 4},}}")
-            text_sql = f"regexp_replace(text, {_literal(full)}, {_literal(mark)})"
-        docs = docs.withColumn("text", F.expr(text_sql))
+            full = r.pattern.replace("AKIA[A-Z0-9]+", f"AKIA[A-Z0-9]{{{r.least - 4},}}")
+            step = f"CASE WHEN t RLIKE {_literal(full)} THEN regexp_replace(t, {_literal(full)}, {m}) ELSE t END"
+        text = f"transform(array({text}), t -> {step})[0]"
+    docs = docs.withColumn("text", F.expr(text))
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
