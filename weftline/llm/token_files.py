@@ -9,8 +9,9 @@ Documents are dealt by ranges of doc_id whose bounds come from a scan of the ids
 encoded there. Segments of whole documents, about SEGMENT ids each, become the rows of Parquet files in the shared
 folder, written by Spark's committer: a lost executor repeats its partition and leaves no half file.
 
-Every text is split at ASCII white space and each distinct word is encoded by the tokenizers library once per worker and
-cache life. The vocabulary's own pre-tokenizer never joins across white space, so the ids are those of the whole text.
+Every text is split at ASCII white space, plain words further at the borders of letters, digits and signs, and each
+distinct piece is encoded by the tokenizers library once per worker and cache life. The vocabulary's own pre-tokenizer
+never joins across these borders, so the ids are those of the whole text; tests compare them on odd strings.
 
 Defined results: null, empty and blank texts have the end id alone; rows that repeat a doc_id each get a place, one after
 the other; null ids come first; an empty table gives no rows; other columns are ignored.
@@ -18,6 +19,7 @@ the other; null ids come first; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -38,6 +40,17 @@ MAGIC = b"WDAC\x01"
 RANK_BITS = 512
 
 
+#: Words of ASCII and precomposed Latin letters: normal forms and lower case are character by character there, and the
+#: vocabulary's pre-tokenizer cuts them as _CUT does. All other words, and those that may hold a special token, go whole to the library.
+_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017e]+")
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_OWN))}
+
+
 class WordEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes, one library call for the new words of a batch."""
 
@@ -46,26 +59,63 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.cache: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.plain = self._cuts_alike()
+
+    def _cuts_alike(self) -> bool:
+        """Whether the vocabulary is of the kind that _CUT describes: lower case, and cut like a probe text."""
+        probe = "It'S Don't 12a3,b!! Éa-ß_(x)"
+        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        cut = b"".join(self._run(c) for w in probe.split() for c in _CUT.findall(w.lower()))
+        return np.array(whole, "<u4").tobytes() == cut
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _run(self, run: str) -> bytes:
+        """One piece by the library's model alone; bytes above 127 and blanks are written as the byte-level alphabet has them."""
+        text = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            ids = e.ids
-            self.cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        rest, run, cache, plain = [], self.runs, self.cache, _PLAIN.fullmatch if self.plain else lambda w: None
+        for raw in words:
+            w = raw.decode("utf-8", "surrogatepass")
+            if plain(w) and "<|" not in w:
+                ids = b""
+                for p in _CUT.findall(w.lower()):
+                    got = run.get(p)
+                    if got is None:
+                        got = run[p] = self._run(p)
+                    ids += got
+                cache[raw] = ids
+            else:
+                rest.append(w)
+        if rest:
+            cache.update(zip([w.encode("utf-8", "surrogatepass") for w in rest], self._whole(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        get = self.cache.get
-        new: set[bytes] = set()
-        for words in split:
-            got = list(map(get, words))
-            if None in got:
-                new.update([w for w, g in zip(words, got, strict=True) if g is None])
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
+        get, got, holes, new = self.cache.get, [], [], set()
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").split()
+            ids = list(map(get, words))
+            got.append(ids)
+            if None in ids:
+                at = [(i, words[i]) for i, x in enumerate(ids) if x is None]
+                holes.append((ids, at))
+                new.update([w for _, w in at])
         if new:
             self.learn(list(new))
-        return [b"".join(map(get, words)) for words in split]
+        for ids, at in holes:
+            for i, w in at:
+                ids[i] = get(w)
+        return [b"".join(ids) for ids in got]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
