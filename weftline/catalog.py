@@ -2,43 +2,39 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    """Add the decorated query under its own name."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    """Register a query; sql is None where no SQL oracle can express it."""
+    if name in _queries:
+        raise ValueError(f"{name} is registered twice")
+    _queries[name] = query
+    if sql is not None:
+        _sql[name] = sql
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
-@register(
-    "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC,"
-    " o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"
-)
-def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    newest = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, d, "orders").withColumn("rn", F.row_number().over(newest)).where("rn = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+def _load() -> None:
+    """Import every module of weftline.plans; each registers its queries."""
+    from weftline import plans
+
+    for m in sorted(pkgutil.iter_modules(plans.__path__), key=lambda m: m.name):
+        importlib.import_module(f"weftline.plans.{m.name}")
