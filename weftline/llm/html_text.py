@@ -180,41 +180,44 @@ def _key(path: str) -> int:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("path", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())])
+    kind = pa.struct([("path", pa.int64()), ("text", pa.string())])
     node = pa.struct([("path", pa.int64()), ("layout", pa.int64())])
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            blocks, nodes = [], []
+            texts, blocks, nodes = [], [], []
             for page in part.column(2).to_pylist():
                 found, styles = parse(page)
-                blocks.append([{"path": _key(p), "text": t, "inside": i} for p, t, i in found])
+                article = [t for _, t, inside in found if inside]
+                texts.append("\n\n".join(article) if article else None)
+                blocks.append([{"path": _key(p), "text": t} for p, t, inside in found if not inside])
                 nodes.append([{"path": _key(p), "layout": _key(s)} for p, s in styles])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array([host_of(u) for u in part.column(1).to_pylist()], pa.string()),
+                    pa.array(texts, pa.string()),
                     pa.array(blocks, pa.list_(kind)),
                     pa.array(nodes, pa.list_(node)),
                 ],
-                names=["page_id", "url", "host", "blocks", "nodes"],
+                names=["page_id", "url", "host", "text", "blocks", "nodes"],
             )
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks array<struct<path, text, inside>>, nodes array<struct<path, layout>>."""
+    """page_id, url, host, text (of a marked article, else null), blocks array<struct<path, text>> outside it, nodes array<struct<path, layout>>."""
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).mapInArrow(
         _parsed,
-        "page_id long, url string, host string, blocks array<struct<path:bigint,text:string,inside:boolean>>, nodes array<struct<path:bigint,layout:bigint>>",
+        "page_id long, url string, host string, text string, blocks array<struct<path:bigint,text:string>>, nodes array<struct<path:bigint,layout:bigint>>",
     )
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """host, path, pages, importance of every style node of the hosts' merged trees."""
-    content = parsed.select("host", F.explode("blocks").alias("b")).where("NOT b.inside").select(
+    content = parsed.select("host", F.explode("blocks").alias("b")).select(
         "host", F.col("b.path").alias("path"), F.lit(0).alias("kind"), F.xxhash64("b.text").alias("feature")
     )
     layout = parsed.select("host", F.explode("nodes").alias("n")).select("host", F.col("n.path").alias("path"), F.lit(1).alias("kind"), F.col("n.layout").alias("feature"))
@@ -249,11 +252,9 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LO
     frame = (
         style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("_frame"))
     )
-    joined = parsed.select("page_id", "url", "host", "blocks").join(frame, "host", "left")
-    marked = F.exists("blocks", lambda b: b["inside"])
-    kept = F.filter(
-        "blocks",
-        lambda b: b["inside"] | (~F.col("_marked") & ~F.coalesce(F.array_contains("_frame", b["path"]), F.lit(False))),
-    )
-    out = joined.withColumn("_marked", marked).select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
-    return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
+    # Pages that mark their article are done; only the others meet their host's tree, and are shuffled for it.
+    marked = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
+    joined = parsed.where("text IS NULL").select("page_id", "url", "host", "blocks").join(frame, "host", "left")
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("_frame", b["path"]), F.lit(False)))
+    judged = joined.select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"), F.lit("")).alias("text"))
+    return marked.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
