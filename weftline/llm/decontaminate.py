@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, TARGET = 0.2, 0.99
+RATE, TARGET = 0.2, 0.999
 SAMPLES, WALK = 2, 3
 #: Words of items that one pass over the documents takes to the workers, and the most repetitions.
-BLOCK_WORDS, MOST_REPEATS = 2_000_000, 64
+BLOCK_WORDS, MOST_REPEATS = 2_000_000, 256
+#: Random edits of each calibration item, at most 100 items.
+TRIALS = 12
 #: Words of documents that one vector step looks at.
 STEP_WORDS = 1_000_000
 
@@ -110,20 +112,27 @@ class Items:
         for _, w, e in self.items[:: max(1, len(self.items) // 100)]:
             if not e:
                 continue
-            x = w.tolist()
-            for _ in range(e):
-                at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
-                if kind == 0:
-                    x[at] = 0
-                elif kind == 1:
-                    x.insert(at, 0)
-                elif len(x) > 1:
-                    x.pop(at)
-            y = np.zeros(len(w), np.int64)
-            y[: min(len(x), len(w))] = x[: len(w)]
+            edited = np.zeros((TRIALS, len(w)), np.int64)
+            for row in edited:
+                x = w.tolist()
+                for _ in range(e):
+                    at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
+                    if kind == 0:
+                        x[at] = 0
+                    elif kind == 1:
+                        x.insert(at, 0)
+                    elif len(x) > 1:
+                        x.pop(at)
+                row[: min(len(x), len(w))] = x[: len(w)]
             self.repeats = MOST_REPEATS
-            hit = next((i for i, (seed, p) in enumerate(self.plan(len(w))) if np.equal(*(embed(v[None, :], seed, int(p[-1]))[0, p] for v in (y, w))).all()), MOST_REPEATS)
-            first.append(hit + 1)
+            hit = np.full(TRIALS, MOST_REPEATS)
+            for i, (seed, p) in enumerate(self.plan(len(w))):
+                rest = np.flatnonzero(hit == MOST_REPEATS)
+                if not len(rest):
+                    break
+                same = embed(edited[rest], seed, int(p[-1]))[:, p] == embed(w[None, :], seed, int(p[-1]))[:, p]
+                hit[rest[same.all(axis=1)]] = i
+            first += (hit + 1).tolist()
         return int(min(MOST_REPEATS, np.quantile(first, target, method="higher"))) if first else 1
 
     def search(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
