@@ -156,4 +156,4 @@ def pointwise_information(tok: DataFrame) -> DataFrame:
     """doc, token, pmi = -log2(count in document / count in corpus), at least 0."""
     own = tok.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"))
     corpus = own.groupBy("token").agg(F.sum("n").alias("c"))
-    return own.join(corpus, "token").select("doc", "token", F.greatest(-F.log2(F.col("n") / F.col("c")), F.lit(0.0)).alias("pmi"))
+    return own.join(corpus, "token").select("doc", "token", F.greatest(F.log2(F.col("c") / F.col("n")), F.lit(0.0)).alias("pmi"))
