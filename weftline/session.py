@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,3 +45,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder; its lineage ends there."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(os.path.dirname(scratch_dir(df.sparkSession)))
+    return df.checkpoint(eager=True)
