@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same by a compressed table in the shared folder: for large intermediate tables of numbers."""
+    df.write.option("compression", "zstd").parquet(path := f"{shared_dir(df.sparkSession)}/table")
+    return df.sparkSession.read.parquet(path)
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions the session deals its shuffles to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

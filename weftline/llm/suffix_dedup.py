@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, parts
+from weftline.llm.common import parts, written
 
 LENGTH, K = 100, 32
 #: Bytes that one sort takes at once if its anchors allow, and tuples that a queue holds in memory.
@@ -451,7 +451,7 @@ def intervals(keyed: DataFrame) -> DataFrame:
     """doc, n, a, b: byte intervals that repeat an earlier string; they may overlap."""
     n = parts(keyed.sparkSession)
     rows = keyed.select("doc", "n", "text").mapInArrow(_anchors, "h long, ctx long, doc long, n long, at long")
-    classes = cut(
+    classes = written(
         rows.repartition(n, "h")
         .sortWithinPartitions("h", "ctx", "doc", "n", "at")
         .mapInArrow(_sorted_classes, "kind long, h long, doc long, n long, at long")
