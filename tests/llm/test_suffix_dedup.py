@@ -28,9 +28,9 @@ def brute(docs):
     return sorted(out, key=str)
 
 
-def run(spark, docs):
+def run(spark, docs, hot=S.HOT):
     df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n long, spans string").repartition(3)
-    return sorted((tuple(r) for r in S.dedup(df).collect()), key=str)
+    return sorted((tuple(r) for r in S.dedup(df, hot).collect()), key=str)
 
 
 def corpus(seed: int, n: int = 60) -> list:
@@ -49,10 +49,32 @@ def corpus(seed: int, n: int = 60) -> list:
     return docs + [(1000 + k, docs[k * 7][1]) for k in range(5)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_corpora(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, S.HOT), (2, S.HOT), (1, 3), (3, 0)])
+def test_random_corpora(spark, seed, hot):
+    """hot: also with surroundings of crowded hashes told by digests."""
     docs = corpus(seed)
-    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs, hot) == brute(docs)
+
+
+def test_one_passage_in_all_documents(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    docs = [(k, f"{word()} {word()} {passage} {word()}") for k in range(300)]
+    assert run(spark, docs) == brute(docs) == run(spark, docs, 20)
+
+
+def test_repeats_of_a_task():
+    """Across calls, in any order of places: what is told repeats an earlier place, and the earliest is never told."""
+    rng = np.random.default_rng(2)
+    r, seen = S.Repeats(bound=4), {}
+    for _ in range(30):
+        h, d = rng.integers(0, 3, 40).astype(np.uint64), rng.integers(0, 4, 40).astype(np.uint64)
+        doc, n, lo = rng.permutation(100_000)[:40], np.zeros(40, np.int64), rng.integers(0, 9, 40)
+        for i, told in enumerate(r.of(h, d, doc, n, lo)):
+            seen.setdefault((h[i], d[i]), []).append((doc[i], lo[i], told))
+    for rows in seen.values():
+        assert not min(rows)[2]
 
 
 def test_odd_rows(spark):

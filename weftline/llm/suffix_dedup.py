@@ -6,17 +6,20 @@ All strings of that length are judged, on the input as it is:
 1. Anchors. Of the hashes of a string's K-byte parts the leftmost smallest is its anchor, so equal strings have equal
    anchors at equal places, and the strings of one anchor are neighbours. About one byte in 35 is an anchor. Its row is
    (hash, digest of the bytes that its strings span, place); no text is shuffled.
-2. Rows are dealt by (hash, digest) order. All rows of one digest but the earliest repeat in full. Anchors with one digest only are
-   done. This is lossless: what remains are the edges of repeated passages, where equal anchors have unequal surroundings.
+2. Rows are dealt by (hash, digest) order. All rows of one digest but the earliest repeat in full; those that a task can
+   tell by itself are told before the shuffle and dealt by document, so a passage that a third of all documents share sends a
+   few rows a task to its hash. Anchors with one digest only are done. This is lossless: what remains are the edges of repeated
+   passages, where equal anchors have unequal surroundings.
 3. The surroundings of what remains are gathered per shard of hashes and sorted as suffixes by external induced sorting
    (:func:`suffix_order`): left-most-S suffixes are named and ordered by recursively induced ranks, and bucket queues that
    spill to disk carry the tuples of the L- and S-type suffixes. Common prefixes of neighbours, up to LENGTH bytes, give the classes of
    equal strings; all but the earliest of a class repeat.
+   A hash with over HOT surroundings would not fit a sort: its strings go by their own digests instead, whose earliest place is
+   partially aggregated before the shuffle.
 4. Repeated intervals are merged per document and joined to the texts.
 
 Queues are monotone: tuples arrive in rank order of the suffixes that induce them, so a bucket is a first-in-first-out file and
-needs no heap. A common passage of a third of all documents is narrow rows streamed in sorted order, never held in
-memory, and one row a digest goes on to the sorting.
+needs no heap.
 
 Defined results: null and empty texts have no bytes, no removals and the digest of nothing; rows that share a doc_id are
 documents of their own, ordered by text (exact copies among them: the later goes); null ids come first; texts shorter than LENGTH
@@ -40,6 +43,8 @@ from weftline.llm.common import parts, written
 LENGTH, K = 100, 32
 #: Bytes that one sort takes at once if its anchors allow, and tuples that a queue holds in memory.
 SHARD, IN_MEMORY = 16_000_000, 8_000_000
+#: Surroundings of one hash that are sorted together (about a shard's worth of bytes), and surroundings whose earliest place a task remembers.
+HOT, REMEMBERED = 100_000, 100_000
 #: Bytes of text that one vector step looks at.
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -118,8 +123,41 @@ def anchor_ranges(b: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int
     return low[first], first, count, np.cumsum(again[:-1]) > 0
 
 
+class Repeats:
+    """Which anchors of a task repeat an equal surrounding that starts earlier; surroundings seen often are remembered."""
+
+    def __init__(self, bound: int = REMEMBERED):
+        self.best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.bound, self.known = bound, np.zeros(0, np.uint64)
+
+    def of(self, h: np.ndarray, d: np.ndarray, doc: np.ndarray, n: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """True where the task has seen the same surrounding at an earlier place; of each, the earliest so far stays False."""
+        order = np.lexsort((lo, n, doc, d, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])]
+        done = np.zeros(len(h), bool)
+        done[order[~new]] = True
+        first = order[new]
+        often = np.diff(np.r_[np.flatnonzero(new), len(order)]) > 1
+        if len(self.known):
+            at = np.searchsorted(self.known, d[first])
+            often |= self.known[np.minimum(at, len(self.known) - 1)] == d[first]
+        grown = False
+        for i in first[often].tolist():
+            key, place = (int(h[i]), int(d[i])), (int(doc[i]), int(n[i]), int(lo[i]))
+            best = self.best.get(key)
+            if best is not None and best < place:
+                done[i] = True
+            elif best is not None or len(self.best) < self.bound:
+                self.best[key] = place
+                grown |= best is None
+        if grown:
+            self.known = np.unique(np.array([k[1] for k in self.best], np.uint64))
+        return done
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
+    repeats = Repeats()
 
     def flush(pieces: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch | None:
         raw = b"".join(x[3] for x in pieces)
@@ -132,8 +170,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = first - (ends - [len(x[3]) for x in pieces])[owner] + base
         view = memoryview(raw)
         d = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)], np.uint64)
-        cols = (h.view(np.int64), d.view(np.int64), doc, n, lo << 8 | again.astype(np.int64) << 7 | count)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "ctx", "doc", "n", "at"])
+        done = repeats.of(h, d, doc, n, lo)
+        h, d = np.where(done, doc.view(np.uint64) * _BASE, h), np.where(done, np.uint64(0), d)  # dealt by document
+        at = lo << 9 | done.astype(np.int64) << 8 | again.astype(np.int64) << 7 | count
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), d.view(np.int64), doc, n, at)], names=["h", "ctx", "doc", "n", "at"])
 
     pieces, size = [], 0
     for batch in batches:
@@ -161,6 +201,10 @@ def _sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     sent = False
     for b in batches:
         cols = [np.asarray(b.column(i)) for i in range(5)]
+        told = (cols[4] >> 8 & 1).astype(bool)
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), np.int64)), *[pa.array(c[told]) for c in (cols[0], *cols[2:])]], names=["kind", "h", "doc", "n", "at"])
+            cols = [c[~told] for c in cols]
         h, ctx = cols[0], cols[1]
         if not len(h):
             continue
@@ -373,7 +417,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, n, text, asked in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asked:
-                    lo, count = x["at"] >> 8, x["at"] & 127
+                    lo, count = x["at"] >> 9, x["at"] & 127
                     rows.append((x["h"], doc, n, lo, count, raw[lo : lo + count + LENGTH - 1]))
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -447,7 +491,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return held.select(doc.alias("doc"), number.alias("n"), "doc_id", "text")
 
 
-def intervals(keyed: DataFrame) -> DataFrame:
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc, n, lo, count, bytes) to a row for each string: its hash, 128 bits of digest, and place."""
+    digest = xxhash.xxh3_128_digest
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            h, doc, n, lo, count = (np.asarray(part.column(i)) for i in range(5))
+            owner = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            raw = part.column(5).to_pylist()
+            keys = np.frombuffer(b"".join(digest(raw[k][i : i + LENGTH]) for k, i in zip(owner.tolist(), step.tolist(), strict=True)), ">i8").astype(np.int64).reshape(-1, 2)
+            cols = (h[owner], keys[:, 0], keys[:, 1], doc[owner], n[owner], lo[owner] + step)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "k1", "k2", "doc", "n", "a"])
+
+
+def intervals(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, n, a, b: byte intervals that repeat an earlier string; they may overlap."""
     n = parts(keyed.sparkSession)
     rows = keyed.select("doc", "n", "text").mapInArrow(_anchors, "h long, ctx long, doc long, n long, at long")
@@ -456,18 +515,31 @@ def intervals(keyed: DataFrame) -> DataFrame:
         .sortWithinPartitions("h", "ctx", "doc", "n", "at")
         .mapInArrow(_sorted_classes, "kind long, h long, doc long, n long, at long")
     )
-    lo, count = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(127).cast("long"))
+    lo, count = F.shiftright("at", 9), F.col("at").bitwiseAND(F.lit(127).cast("long"))
     whole = classes.where("kind = 1").select("doc", "n", lo.alias("a"), (lo + count + F.lit(LENGTH - 1)).cast("long").alias("b"))
-    asked = classes.where("kind = 0").groupBy("doc", "n").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-    sought = keyed.select("doc", "n", "text").join(asked, ["doc", "n"]).select("doc", "n", "text", "asked")
-    shards = sought.mapInArrow(_fetch, "h long, doc long, n long, lo long, count long, bytes binary")
-    edges = shards.repartition(n, "h").sortWithinPartitions("h", "doc", "n", "lo").mapInArrow(_sort_shards, "doc long, n long, a long, b long")
-    return whole.unionByName(edges)
+    open_ = classes.where("kind = 0")
+    crowded = open_.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("h")
+
+    def surroundings(of: DataFrame) -> DataFrame:
+        asked = of.groupBy("doc", "n").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+        sought = keyed.select("doc", "n", "text").join(asked, ["doc", "n"]).select("doc", "n", "text", "asked")
+        return sought.mapInArrow(_fetch, "h long, doc long, n long, lo long, count long, bytes binary")
+
+    def sort(of: DataFrame) -> DataFrame:
+        return surroundings(of).repartition(n, "h").sortWithinPartitions("h", "doc", "n", "lo").mapInArrow(_sort_shards, "doc long, n long, a long, b long")
+
+    if crowded.isEmpty():
+        return whole.unionByName(sort(open_))
+    strings = written(surroundings(open_.join(crowded, "h", "left_semi")).mapInArrow(_strings, "h long, k1 long, k2 long, doc long, n long, a long"))
+    place = F.struct("doc", "n", "a")
+    first = strings.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    later = strings.join(first, ["h", "k1", "k2"]).where(place > F.col("first")).select("doc", "n", "a", (F.col("a") + LENGTH).alias("b"))
+    return whole.unionByName(sort(open_.join(crowded, "h", "left_anti"))).unionByName(later)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     keyed = _keyed(docs)
-    spans = intervals(keyed).groupBy("doc", "n").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = intervals(keyed, hot).groupBy("doc", "n").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(spans, ["doc", "n"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
