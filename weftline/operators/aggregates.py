@@ -111,19 +111,19 @@ def limit_balanced(counts: DataFrame, key: str, count: str, total: int) -> DataF
     The level L at which the sum of min(count, L) reaches the total follows from running sums over the sorted counts;
     what is left goes one by one to the categories above the level, largest first. One row per category is windowed.
     """
-    ranked = counts.select(key, F.col(count).cast("long").alias("c")).withColumn("_k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("c", key)))
+    ranked = counts.select(key, F.col(count).cast("long").alias("_c")).withColumn("_k", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_c", key)))
     ordered = W.partitionBy(F.lit(0)).orderBy("_k")
-    summed = ranked.withColumn("_below", F.coalesce(F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    summed = ranked.withColumn("_below", F.coalesce(F.sum("_c").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
     # With the k smallest filled, the others get (total - below) / others each.
     share = F.floor((F.greatest(F.lit(total) - F.col("_below"), F.lit(0))) / (F.col("_n") - F.col("_k") + 1))
     tried = summed.withColumn("_share", share)
     # The level is the share at the first category whose count it does not cover.
-    first = tried.where(F.col("c") > F.col("_share")).agg(F.min(F.struct("_k", "_share", "_below")).alias("f"))
+    first = tried.where(F.col("_c") > F.col("_share")).agg(F.min(F.struct("_k", "_share", "_below")).alias("f"))
     held = tried.crossJoin(F.broadcast(first))
     start, level = F.col("f._k"), F.col("f._share")
     left = F.lit(total) - F.col("f._below") - level * (F.col("_n") - start + 1)
     extra = (F.col("_n") - F.col("_k") < left).cast("long")
-    quota = F.when(F.col("f").isNull() | (F.col("_k") < start), F.col("c")).otherwise(F.least(F.col("c"), level + extra))
+    quota = F.when(F.col("f").isNull() | (F.col("_k") < start), F.col("_c")).otherwise(F.least(F.col("_c"), level + extra))
     return held.select(key, quota.cast("long").alias("quota"))
 
 

@@ -91,14 +91,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, start: int = 0, stop: int | None = None) -> DataFrame:
     """Documents of the lines from start to stop of each file, blank lines counted and left out; a broken line fails with its number."""
-    lines = numbered_lines(spark, path).where((F.col("at") >= start) & (F.col("at") < stop if stop is not None else F.lit(True)))
+    asked = (F.col("at") >= start) & (F.col("at") < stop if stop is not None else F.lit(True))
+    lines = numbered_lines(spark, path).where(asked)
     text = F.ltrim(F.rtrim("line"), F.lit("\x00"))
     held = lines.select("path", "at", text.alias("line")).where("line <> ''")
     # A column for broken text makes the parser say which line it could not read.
     loose = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
     parsed = held.withColumn("doc", F.from_json("line", loose, {"columnNameOfCorruptRecord": "_broken"}))
     failed = F.raise_error(F.concat(F.lit("broken JSON in line "), (F.col("at") + 1).cast("string"), F.lit(" of "), F.col("path"))).cast("string")
-    checked = parsed.withColumn("line", F.when(F.col("doc._broken").isNotNull(), failed).otherwise(F.col("line"))).where("line IS NOT NULL")
+    checked = parsed.withColumn("line", F.when(asked & F.col("doc._broken").isNotNull(), failed).otherwise(F.col("line"))).where("line IS NOT NULL")
     return checked.select("path", "at", *[F.col(f"doc.{f.name}").alias(f.name) for f in schema.fields])
 
 
