@@ -268,3 +268,16 @@ def unescape_backslash(s: pd.Series) -> pd.Series:
     r"""Decode \n, \xNN, \uNNNN and their kind. Python's codec knows them all; no built-in does."""
     pattern = re.compile(r"\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2}|[0-7]{1,3}|N\{[^}]+\}|[\\'\"abfnrtv])")
     return s.map(lambda t: None if t is None else pattern.sub(lambda m: m[0].encode().decode("unicode_escape"), t))
+
+
+def hamming_bytes(a: Column, b: Column) -> Column:
+    """Differing bits of two binary values of one length; other lengths raise."""
+    pairs = F.zip_with(F.split(F.hex(a), "(?<=\\G..)(?!$)"), F.split(F.hex(b), "(?<=\\G..)(?!$)"), lambda x, y: F.bit_count(F.conv(x, 16, 10).cast("int").bitwiseXOR(F.conv(y, 16, 10).cast("int"))))
+    total = F.aggregate(pairs, F.lit(0), lambda s, x: s + x).cast("long")
+    return F.when(F.length(a) != F.length(b), F.raise_error(F.lit("lengths differ")).cast("long")).when(F.length(a) == 0, F.lit(0).cast("long")).otherwise(total)
+
+
+def escaped_ascii(data: Column) -> Column:
+    """Bytes as text, those above 127 as backslash, x and two hex digits."""
+    digits = F.filter(F.split(F.lower(F.hex(data)), "(?<=\\G..)"), lambda x: x != "")
+    return F.array_join(F.transform(digits, lambda x: F.when(x < "80", F.char(F.conv(x, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\x"), x))), "")
