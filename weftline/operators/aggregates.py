@@ -149,7 +149,7 @@ def term_frequency(tok: DataFrame) -> DataFrame:
 def inverse_document_frequency(tok: DataFrame) -> DataFrame:
     """token, idf = log2(documents / documents with the token)."""
     docs = tok.agg(F.count_distinct("doc").alias("m"))
-    return tok.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs)).select("token", F.log2(F.col("m") / F.col("df")).alias("idf"))
+    return tok.select("doc", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs)).select("token", F.log2(F.col("m") / F.col("df")).alias("idf"))
 
 
 def pointwise_information(tok: DataFrame) -> DataFrame:

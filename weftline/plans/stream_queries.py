@@ -24,8 +24,8 @@ def _run(s, d, build, mode):
 
 
 _US = lambda c: F.unix_micros(c)
-add("stream_tumbling_hours", lambda s, d: _run(s, d, lambda e: E.tumbling(e, "ts", "1 hour", ["event_type"], "30 days", F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")), "complete").select(_US("start").alias("start"), "event_type", "n", F.round("total", 1).alias("total")),
-    "SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts::TIMESTAMP)) AS start, event_type, count(*) AS n, round(sum(round(value, 2)), 1) AS total FROM events GROUP BY 1, 2")
+add("stream_tumbling_hours", lambda s, d: _run(s, d, lambda e: E.tumbling(e, "ts", "1 hour", ["event_type"], "30 days", F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")), "complete").select(_US("start").alias("start"), "event_type", "n", "cents"),
+    "SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts::TIMESTAMP)) AS start, event_type, count(*) AS n, sum(round(round(value, 2) * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2")
 add("stream_sliding_windows", lambda s, d: _run(s, d, lambda e: E.sliding(e, "ts", "6 hours", "3 hours", [], "30 days", F.count(F.lit(1)).alias("n")), "complete").select(_US("start").alias("start"), "n"),
     "SELECT epoch_us(w) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 3 hour, ts::TIMESTAMP), time_bucket(INTERVAL 3 hour, ts::TIMESTAMP) - INTERVAL 3 hour]) AS w FROM events) GROUP BY 1")
 add("stream_sessions", lambda s, d: _run(s, d, lambda e: E.sessions(e, "ts", "2 hours", ["user_id"], "60 days", F.count(F.lit(1)).alias("n")), "complete").select("user_id", _US("start").alias("start"), _US("end").alias("finish"), "n"),
