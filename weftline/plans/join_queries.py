@@ -73,7 +73,8 @@ on("ks_by_rank", "lineitem", lambda x: A.ks_by_rank(_KS(x, "A"), _KS(x, "R"), "l
 _AB = lambda x, f: x.where(f"l_returnflag = '{f}'")
 on("ks_two_sample_pmf", "lineitem", lambda x: A.ks_from_cdfs(A.pmf_to_cdf(_AB(x, "A"), "l_linenumber", "l_quantity"), A.pmf_to_cdf(_AB(x, "R"), "l_linenumber", "l_quantity"), "l_linenumber", 7, 7).select(F.round("d", 9).alias("d"), F.round("p", 9).alias("p"), "reject"),
    "WITH w AS (SELECT l_returnflag AS f, l_linenumber AS k, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2), c AS (SELECT f, k, sum(w) OVER (PARTITION BY f ORDER BY k) / sum(w) OVER (PARTITION BY f) AS c FROM w), d AS (SELECT max(abs(a.c - b.c)) AS d FROM c a JOIN c b ON a.k = b.k AND a.f = 'A' AND b.f = 'R') SELECT round(d, 9) AS d, round(exp(-2 * d * d * 3.5), 9) AS p, exp(-2 * d * d * 3.5) < 0.05 AS reject FROM d")
-on("limit_balanced_brands", "part", lambda p: A.limit_balanced(p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand", "n", 400).agg(F.sum("quota").alias("total"), (F.max("quota") - F.min("quota")).alias("spread")), "SELECT CAST(400 AS BIGINT) AS total, CAST(greatest(0, ceil(400.0 / count(*)) - floor(400.0 / count(*))) AS BIGINT) AS spread FROM (SELECT DISTINCT p_brand FROM part)")
+on("limit_balanced_brands", "part", lambda p: A.limit_balanced(p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand", "n", 120),
+   "WITH n AS (SELECT p_brand, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, p_brand DESC) AS k FROM part GROUP BY 1), s AS (SELECT v, sum(least(c, v)) AS t FROM n, range(0, 200) t(v) GROUP BY v), l AS (SELECT max(v) AS level, 120 - max(t) AS rest FROM s WHERE t <= 120) SELECT p_brand, CAST(least(c, level + CASE WHEN k <= rest THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM n, l")
 on("sample_balanced_counts", "lineitem", lambda x: A.sample_balanced(x, ["l_returnflag", "l_linestatus"], 40, ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 1).alias("even")), "SELECT CAST(40 AS BIGINT) AS n, true AS even")
 on("normalize_weights", "lineitem", lambda x: A.with_total(x.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("w")), "w").select("l_linenumber", F.round(F.col("w") / F.col("total"), 9).alias("p")), "SELECT l_linenumber, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 9) AS p FROM lineitem GROUP BY 1")
 on("accuracy_labels", "labels", lambda x: x.agg(F.round(F.avg((F.col("quality") != F.col("toxic")).cast("double")), 9).alias("accuracy")), "SELECT round(avg(CASE WHEN quality <> toxic THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM labels")
