@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.operators.ordering import with_index
+
 Names = Sequence[str]
 
 
@@ -45,9 +47,16 @@ def entropy(df: DataFrame, key: str, base: float = 2) -> DataFrame:
 
 
 def cdf(df: DataFrame, value: str, partition_by: Names = ()) -> DataFrame:
-    """value, cdf: the empirical distribution function of distinct values, from a histogram (rows are not windowed)."""
+    """value, cdf: the empirical distribution function of distinct values.
+
+    With partition_by: windows over each group's histogram. Without: positions of a range-partitioned sort, so that no
+    task sees all values.
+    """
+    if not partition_by:
+        last = with_index(df.select(value), [value], (), "_at").groupBy(value).agg((F.max("_at") + 1).alias("_upto"))
+        return last.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))).select(value, (F.col("_upto") / F.col("_n")).alias("cdf"))
     counts = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*partition_by) if partition_by else W.partitionBy(F.lit(0))
+    w = W.partitionBy(*partition_by)
     run = F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     return counts.select(*partition_by, value, (run / F.sum("n").over(w)).alias("cdf"))
 
@@ -73,8 +82,10 @@ def ks_by_rank(a: DataFrame, b: DataFrame, value: str, alpha: float = 0.05) -> D
     """The variant that compares the two empirical functions by rank, for samples of equal size."""
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        w = W.partitionBy(F.lit(0))
-        return df.select(F.row_number().over(w.orderBy(value)).alias("k"), F.cume_dist().over(w.orderBy(value)).alias(name), F.count(F.lit(1)).over(w).alias(f"n_{name}"))
+        at = with_index(df.select(F.col(value).alias("_v")), ["_v"], (), "k")
+        upto = at.groupBy("_v").agg((F.max("k") + 1).alias("_upto"))
+        size = df.agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        return at.join(upto, "_v").crossJoin(F.broadcast(size)).select("k", (F.col("_upto") / F.col(f"n_{name}")).alias(name), f"n_{name}")
 
     d = ranked(a, "a").join(ranked(b, "b"), "k").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"), F.max("n_a").alias("n1"), F.max("n_b").alias("n2"))
     p = F.exp(-2 * F.pow(F.col("d"), 2) * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))

@@ -14,11 +14,11 @@ def on(name, tab, build, sql):
 
 
 def vec(name, build, sql, places=5):
-    """A number of two slices of each embedding: vec_id, v."""
-    a = lambda: F.slice("embedding", 1, 8)
-    b = lambda: F.slice("embedding", 9, 8)
+    """A number of the two halves of each embedding: vec_id, v."""
+    a = lambda: F.slice("embedding", 1, 32)
+    b = lambda: F.slice("embedding", 33, 32)
     add(name, lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(build(a(), b()), places).alias("v")),
-        f"SELECT vec_id, round({sql}, {places}) AS v FROM (SELECT vec_id, embedding[1:8]::DOUBLE[] AS a, embedding[9:16]::DOUBLE[] AS b FROM embeddings)")
+        f"SELECT vec_id, round({sql}, {places}) AS v FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings)")
 
 
 def fixed(name, columns, rows, build, expected):
@@ -45,10 +45,10 @@ vec("batch_outer_trace", lambda a, b: A.total(F.transform(A.outer(a, b), lambda
 vec("quadratic_form_embeddings", lambda a, b: A.quadratic(A.outer(a, b), b), "list_inner_product(b, a) * list_inner_product(b, b)")
 vec("logtrace_embeddings", lambda a, b: A.log_trace(A.outer(F.transform(a, lambda x: F.abs(x) + 1), F.transform(a, lambda x: F.abs(x) + 1))), "list_sum(list_transform(a, lambda x: 2 * ln(abs(x) + 1)))", 4)
 vec("histogram_correlation_embeddings", lambda a, b: A.histogram_correlation(F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: x.cast("double"))),
-    "(list_inner_product(a, b) - list_sum(a) * list_sum(b) / 8) / sqrt((list_inner_product(a, a) - pow(list_sum(a), 2) / 8) * (list_inner_product(b, b) - pow(list_sum(b), 2) / 8))", 4)
-vec("hamming_dist_signs", lambda a, b: A.hamming(F.transform(a, F.signum), F.transform(b, F.signum)), "list_sum(list_transform(range(1, 9), lambda i: CASE WHEN sign(a[i]) <> sign(b[i]) THEN 1 ELSE 0 END))::BIGINT")
+    "(list_inner_product(a, b) - list_sum(a) * list_sum(b) / 32) / sqrt((list_inner_product(a, a) - pow(list_sum(a), 2) / 32) * (list_inner_product(b, b) - pow(list_sum(b), 2) / 32))", 4)
+vec("hamming_dist_signs", lambda a, b: A.hamming(F.transform(a, F.signum), F.transform(b, F.signum)), "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN sign(a[i]) <> sign(b[i]) THEN 1 ELSE 0 END))::BIGINT")
 vec("hamming_packed_embeddings", lambda a, b: A.hamming_packed(F.transform(a, lambda x: F.floor(F.abs(x) * 255).cast("int")), F.transform(b, lambda x: F.floor(F.abs(x) * 255).cast("int"))),
-    "list_sum(list_transform(range(1, 9), lambda i: bit_count(xor(floor(abs(a[i]) * 255)::INT, floor(abs(b[i]) * 255)::INT))))::BIGINT")
+    "list_sum(list_transform(range(1, 33), lambda i: bit_count(xor(floor(abs(a[i]) * 255)::INT, floor(abs(b[i]) * 255)::INT))))::BIGINT")
 vec("stochastic_rows", lambda a, b: A.inner(A.stochastic(a), A.stochastic(a)), "list_inner_product(a, a) / pow(list_sum(list_transform(a, lambda x: abs(x))), 2)")
 vec("shiftedexp_rows", lambda a, b: A.total(A.shifted_exp(F.transform(a, lambda x: x.cast("double")))), "list_sum(list_transform(a, lambda x: exp(x - list_max(a))))")
 on("batchtopk_embeddings", "embeddings", lambda e: e.select("vec_id", A.top_k(F.col("embedding"), 3).alias("t")).select("vec_id", F.array_join(F.transform("t", lambda x: x["index"]), ",").alias("at"), F.round(F.get("t", 0)["value"].cast("double"), 6).alias("least")),
@@ -82,5 +82,5 @@ fixed("hu_moments_image", "m array<array<double>>", [([[0.0, 1.0, 0.0], [1.0, 2.
 on("sparse_matrix_rows", "lineitem", lambda x: x.groupBy((F.col("l_partkey") % 7).alias("i"), (F.col("l_suppkey") % 5).alias("j")).agg(F.sum("l_quantity").cast("double").alias("v")).where("v <> 0"), "SELECT l_partkey % 7 AS i, l_suppkey % 5 AS j, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2")
 on("variable_row_matrix", "orders", lambda o: o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("width"), F.max("o_orderkey").alias("last")), "SELECT o_custkey, count(*) AS width, max(o_orderkey) AS last FROM orders GROUP BY 1")
 # Distances of a stated query set against all rows, in blocks of queries.
-add("hamming_chunked_queries", lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", F.signum).alias("x")).crossJoin(F.broadcast(table(s, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("q"), F.transform("embedding", F.signum).alias("y")))).select("q", "vec_id", A.hamming(F.col("x"), F.col("y")).alias("dist")),
-    "SELECT b.vec_id AS q, a.vec_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CASE WHEN sign(a.embedding[i]) <> sign(b.embedding[i]) THEN 1 ELSE 0 END))::BIGINT AS dist FROM embeddings a, embeddings b WHERE b.vec_id < 10")
+add("hamming_chunked_queries", lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", F.signum).alias("x")).crossJoin(F.broadcast(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.transform("embedding", F.signum).alias("y")))).select("q", "vec_id", A.hamming(F.col("x"), F.col("y")).alias("dist")),
+    "SELECT b.vec_id AS q, a.vec_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CASE WHEN sign(a.embedding[i]) <> sign(b.embedding[i]) THEN 1 ELSE 0 END))::BIGINT AS dist FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")

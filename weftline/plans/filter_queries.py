@@ -34,8 +34,8 @@ on("any_in_words", "documents", lambda x: x.select("doc_id", L.any_in(F.split("t
 on("any_in_common_words", "documents", lambda x: x.select("doc_id", L.any_in(F.split("text", " "), F.array("lang", "source")).alias("hit")), "SELECT doc_id, list_has_any(string_split(text, ' '), [lang, source]) AS hit FROM documents")
 on("all_equal_embeddings", "embeddings", lambda e: e.groupBy("label").agg((F.count_distinct(F.signum(F.get("embedding", 0))) <= 1).alias("same")), "SELECT label, count(DISTINCT sign(embedding[1])) <= 1 AS same FROM embeddings GROUP BY 1")
 on("all_equal_to_types", "events", lambda e: e.groupBy("user_id").agg(F.coalesce(F.bool_and(F.col("event_type") == "click"), F.lit(True)).alias("same")), "SELECT user_id, coalesce(bool_and(event_type = 'click'), true) AS same FROM events GROUP BY 1")
-on("all_equal_lists", "embeddings", lambda e: e.select("vec_id", L.all_equal(F.transform(F.slice("embedding", 1, 3), F.signum)).alias("same"), L.all_equal_to(F.transform(F.slice("embedding", 1, 2), F.signum), F.lit(1.0)).alias("up")),
-   "SELECT vec_id, len(list_distinct(list_transform(embedding[1:3], lambda x: sign(x)))) <= 1 AS same, embedding[1] > 0 AND embedding[2] > 0 AS up FROM embeddings")
+on("all_equal_lists", "documents", lambda x: x.select("doc_id", L.all_equal(F.split("text", " ")).alias("same"), L.all_equal_to(F.split("text", " "), F.lit("the")).alias("the")),
+   "SELECT doc_id, len(list_distinct(string_split(text, ' '))) <= 1 AS same, len(list_filter(string_split(text, ' '), lambda w: w <> 'the')) = 0 AS the FROM documents")
 on("is_empty_events", "events", lambda e: e.where("event_type = 'nothing'").agg((F.count(F.lit(1)) == 0).alias("is_empty")), "SELECT count(*) = 0 AS is_empty FROM events WHERE event_type = 'nothing'")
 on("one_region", "region", lambda r: r.where("r_regionkey = 2").agg(F.when(F.count(F.lit(1)) == 1, F.max("r_name")).otherwise(F.raise_error(F.lit("not one row"))).alias("r_name")), "SELECT max(r_name) AS r_name FROM region WHERE r_regionkey = 2")
 on("operator_in_types", "events", lambda e: e.select("event_id", L.is_in(F.col("event_type"), ["click", "view"]).alias("a"), L.not_in(F.col("event_type"), ["click", "view"]).alias("b")), "SELECT event_id, event_type IN ('click', 'view') AS a, event_type NOT IN ('click', 'view') AS b FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.catalog import add
+from weftline.functions import text as X
 from weftline.operators import aggregates as A
 from weftline.operators import joins as J
 from weftline.session import table
@@ -22,12 +23,12 @@ on("asof_backward", "events", lambda e: J.asof(_CL(e), _VW(e), "t", ["user_id"])
 on("asof_forward", "events", lambda e: J.asof(_CL(e), _VW(e), "t", ["user_id"], "forward").select("event_id", "r_event_id"), f"SELECT a.event_id, b.event_id AS r_event_id FROM {_C} a ASOF LEFT JOIN {_V} b ON a.user_id = b.user_id AND a.t <= b.t")
 on("asof_nearest", "events", lambda e: J.asof(_CL(e), _VW(e), "t", ["user_id"], "nearest").select("event_id", "r_event_id"),
    f"SELECT a.event_id, arg_min(b.event_id, (abs(a.t - b.t), b.t)) AS r_event_id FROM {_C} a LEFT JOIN {_V} b ON a.user_id = b.user_id GROUP BY 1")
-_ARR = lambda: F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x * 100).cast("long"))
-_DARR = "list_transform(embedding[1:8], lambda x: CAST(CASE WHEN x < 0 THEN -floor(-CAST(x * CAST(100 AS FLOAT) AS FLOAT) + 0.5) ELSE floor(CAST(x * CAST(100 AS FLOAT) AS FLOAT) + 0.5) END AS BIGINT))"
+_ARR = lambda: F.transform("embedding", lambda x: F.round(x * 100).cast("long"))
+_DARR = "list_transform(embedding, lambda x: CAST(CASE WHEN x < 0 THEN -floor(-CAST(x * CAST(100 AS FLOAT) AS FLOAT) + 0.5) ELSE floor(CAST(x * CAST(100 AS FLOAT) AS FLOAT) + 0.5) END AS BIGINT))"
 _T = 5
 for _n, _f, _c, _o in (("argfind_lte", J.lte, f"a[i] <= {_T}", "(-a[i], i)"), ("argfind_gte", J.gte, f"a[i] >= {_T}", "(a[i], i)"), ("closest_value", J.closest, "true", f"(abs(a[i] - {_T}), i)")):
     on(_n, "embeddings", lambda e, f=_f: e.select("vec_id", f(_ARR(), F.lit(_T)).alias("r")).select("vec_id", F.col("r.i").alias("ix"), F.col("r.v").alias("v")),
-       f"WITH x AS (SELECT vec_id, {_DARR} AS a, unnest(range(1, 9)) AS i FROM embeddings) SELECT vec_id, coalesce(arg_min(i, {_o}) FILTER (WHERE {_c}) - 1, -1) AS ix, CAST(arg_min(a[i], {_o}) FILTER (WHERE {_c}) AS DOUBLE) AS v FROM x GROUP BY vec_id")
+       f"WITH x AS (SELECT vec_id, {_DARR} AS a, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) SELECT vec_id, coalesce(arg_min(i, {_o}) FILTER (WHERE {_c}) - 1, -1) AS ix, CAST(arg_min(a[i], {_o}) FILTER (WHERE {_c}) AS DOUBLE) AS v FROM x GROUP BY vec_id")
 on("bisect_positions", "embeddings", lambda e: e.select("vec_id", J.bisect_left(F.sort_array(_ARR()), F.lit(3)).alias("lo"), J.bisect_right(F.sort_array(_ARR()), F.lit(3)).alias("hi")), f"SELECT vec_id, len(list_filter(a, lambda x: x < 3))::BIGINT AS lo, len(list_filter(a, lambda x: x <= 3))::BIGINT AS hi FROM (SELECT vec_id, {_DARR} AS a FROM embeddings)")
 on("search_sorted_position", "part", lambda p: p.groupBy("p_brand").agg(F.count_if(F.col("p_retailprice") <= 1200).alias("pos")), "SELECT p_brand, count(*) FILTER (WHERE p_retailprice <= 1200) AS pos FROM part GROUP BY 1")
 on("triangular_nations", "nation", lambda n: J.triangular(n, "n_nationkey", ["n_nationkey", "n_name"]), "SELECT a.n_nationkey AS n_nationkey_a, a.n_name AS n_name_a, b.n_nationkey AS n_nationkey_b, b.n_name AS n_name_b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -43,8 +44,8 @@ add("metric_range_prices", lambda s, d: J.metric_range(table(s, d, "part").selec
     "SELECT a.p_partkey, b.p_partkey AS q_key FROM part a JOIN part b ON b.p_partkey % 50 = 0 AND abs(a.p_retailprice - b.p_retailprice) <= 1.0")
 add("range_join_prices", lambda s, d: J.range_join(table(s, d, "part").select("p_partkey", "p_retailprice"), s.range(20).select(F.col("id"), (F.col("id") * 70 + 900.0).alias("a"), (F.col("id") * 70 + 1000.0).alias("b")), "p_retailprice", "a", "b", 100.0).select("p_partkey", "id"),
     "SELECT p_partkey, id FROM part JOIN range(20) r(id) ON p_retailprice >= id * 70 + 900.0 AND p_retailprice < id * 70 + 1000.0")
-on("hamming_pairs", "embeddings", lambda e: J.within_hamming(e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda g: F.aggregate(F.slice("embedding", g * 4 + 1, 4), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > 0).cast("long"))).alias("w")), "vec_id", "w", 2, 6),
-   "WITH w AS (SELECT vec_id, list_transform(range(6), lambda g: list_sum(list_transform(range(4), lambda k: CASE WHEN embedding[g * 4 + k + 1] > 0 THEN CAST(pow(2, 3 - k) AS BIGINT) ELSE 0 END))) AS w FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(len(list_filter(range(1, 7), lambda i: a.w[i] <> b.w[i])) AS BIGINT) AS distance FROM w a JOIN w b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 2")
+on("hamming_pairs", "embeddings", lambda e: J.within_hamming(e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: F.aggregate(F.slice("embedding", g * 16 + 1, 16), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > 0).cast("long"))).alias("w")), "vec_id", "w", 3, 4),
+   "WITH w AS (SELECT vec_id, list_transform(range(4), lambda g: list_sum(list_transform(range(16), lambda k: CASE WHEN embedding[g * 16 + k + 1] > 0 THEN CAST(pow(2, 15 - k) AS BIGINT) ELSE 0 END))) AS w FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(len(list_filter(range(1, 5), lambda i: a.w[i] <> b.w[i])) AS BIGINT) AS distance FROM w a JOIN w b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 3")
 
 # ---- aggregations
 on("count_distinct_null", "events", lambda e: e.select("user_id", F.expr("nullif(event_type, 'click')").alias("v")).groupBy("user_id").agg(A.count_distinct(F.col("v")).alias("n")), "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
@@ -66,10 +67,9 @@ on("histogram_2d_blocks", "lineitem", lambda x: A.block_histogram(x.select(F.col
 on("center_of_mass", "lineitem", lambda x: A.center_of_mass(x, "l_linenumber", "l_quantity", "l_discount").select(F.round("x", 8).alias("x"), F.round("y", 8).alias("y")), "SELECT round(sum(l_discount * l_linenumber) / sum(l_discount), 8) AS x, round(sum(l_discount * l_quantity) / sum(l_discount), 8) AS y FROM lineitem")
 on("population_cdf", "lineitem", lambda x: A.cdf(x, "l_quantity", ["l_returnflag"]).withColumn("cdf", F.round("cdf", 9)), "SELECT DISTINCT l_returnflag, l_quantity, round(cume_dist() OVER (PARTITION BY l_returnflag ORDER BY l_quantity), 9) AS cdf FROM lineitem")
 on("pmf_cdf", "lineitem", lambda x: A.pmf_to_cdf(x, "l_linenumber", "l_quantity").withColumn("cdf", F.round("cdf", 9)), "SELECT l_linenumber, round(sum(w) OVER (ORDER BY l_linenumber) / sum(w) OVER (), 9) AS cdf FROM (SELECT l_linenumber, sum(l_quantity) AS w FROM lineitem GROUP BY 1)")
-_KS = lambda x, f: x.where(f"l_returnflag = '{f}'").orderBy("l_orderkey", "l_linenumber").limit(500).select("l_extendedprice")
-_KSQ = "SELECT row_number() OVER (ORDER BY l_extendedprice) AS k, cume_dist() OVER (ORDER BY l_extendedprice) AS c FROM (SELECT l_extendedprice FROM lineitem WHERE l_returnflag = '%s' ORDER BY l_orderkey, l_linenumber LIMIT 500)"
-on("ks_by_rank", "lineitem", lambda x: A.ks_by_rank(_KS(x, "A"), _KS(x, "R"), "l_extendedprice").select(F.round("d", 9).alias("d"), F.round("p", 9).alias("p"), "reject"),
-   f"WITH a AS ({_KSQ % 'A'}), b AS ({_KSQ % 'R'}), d AS (SELECT max(abs(a.c - b.c)) AS d FROM a JOIN b USING (k)) SELECT round(d, 9) AS d, round(exp(-2 * d * d * 250), 9) AS p, exp(-2 * d * d * 250) < 0.05 AS reject FROM d")
+_KSQ = "SELECT row_number() OVER (ORDER BY %s) AS k, cume_dist() OVER (ORDER BY %s) AS c FROM lineitem"
+on("ks_by_rank", "lineitem", lambda x: A.ks_by_rank(x.select(F.col("l_discount").alias("v")), x.select(F.col("l_tax").alias("v")), "v").select(F.round("d", 9).alias("d"), F.round("p", 9).alias("p"), "reject"),
+   f"WITH a AS ({_KSQ % ('l_discount', 'l_discount')}), b AS ({_KSQ % ('l_tax', 'l_tax')}), d AS (SELECT max(abs(a.c - b.c)) AS d, count(*) / 2 AS h FROM a JOIN b USING (k)) SELECT round(d, 9) AS d, round(exp(-2 * d * d * h), 9) AS p, exp(-2 * d * d * h) < 0.05 AS reject FROM d")
 _AB = lambda x, f: x.where(f"l_returnflag = '{f}'")
 on("ks_two_sample_pmf", "lineitem", lambda x: A.ks_from_cdfs(A.pmf_to_cdf(_AB(x, "A"), "l_linenumber", "l_quantity"), A.pmf_to_cdf(_AB(x, "R"), "l_linenumber", "l_quantity"), "l_linenumber", 7, 7).select(F.round("d", 9).alias("d"), F.round("p", 9).alias("p"), "reject"),
    "WITH w AS (SELECT l_returnflag AS f, l_linenumber AS k, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2), c AS (SELECT f, k, sum(w) OVER (PARTITION BY f ORDER BY k) / sum(w) OVER (PARTITION BY f) AS c FROM w), d AS (SELECT max(abs(a.c - b.c)) AS d FROM c a JOIN c b ON a.k = b.k AND a.f = 'A' AND b.f = 'R') SELECT round(d, 9) AS d, round(exp(-2 * d * d * 3.5), 9) AS p, exp(-2 * d * d * 3.5) < 0.05 AS reject FROM d")
@@ -78,8 +78,8 @@ on("limit_balanced_brands", "part", lambda p: A.limit_balanced(p.groupBy("p_bran
 on("sample_balanced_counts", "lineitem", lambda x: A.sample_balanced(x, ["l_returnflag", "l_linestatus"], 40, ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 1).alias("even")), "SELECT CAST(40 AS BIGINT) AS n, true AS even")
 on("normalize_weights", "lineitem", lambda x: A.with_total(x.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("w")), "w").select("l_linenumber", F.round(F.col("w") / F.col("total"), 9).alias("p")), "SELECT l_linenumber, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 9) AS p FROM lineitem GROUP BY 1")
 on("accuracy_labels", "labels", lambda x: x.agg(F.round(F.avg((F.col("quality") != F.col("toxic")).cast("double")), 9).alias("accuracy")), "SELECT round(avg(CASE WHEN quality <> toxic THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM labels")
-add("same_words_similarity", lambda s, d: table(s, d, "documents").where("doc_id % 50 = 0").crossJoin(F.broadcast(table(s, d, "benchmark").limit(40).select("item_id", F.col("text").alias("b")))).select("doc_id", "item_id", F.size(F.array_intersect(F.split(F.lower("text"), "[ \n]+"), F.split(F.lower("b"), "[ \n]+"))).cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("best")),
-    "SELECT doc_id, max(len(list_intersect(regexp_split_to_array(lower(d.text), '[ \\n]+'), regexp_split_to_array(lower(b.text), '[ \\n]+')))::BIGINT) AS best FROM documents d, benchmark b WHERE doc_id % 50 = 0 GROUP BY 1")
+on("same_words_similarity", "conversations", lambda c: c.withColumn("b", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL").select("conv_id", "turn", F.size(F.array_intersect(X.words(F.col("text")), X.words(F.col("b")))).cast("long").alias("n")),
+   "SELECT conv_id, turn, len(list_intersect(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), list_filter(regexp_split_to_array(lower(b), '\\s+'), lambda w: w <> '')))::BIGINT AS n FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL")
 _TOK = "(SELECT doc, token FROM (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM documents) WHERE token <> '')"
 on("term_frequency_docs", "documents", lambda x: A.term_frequency(A.tokens(x, "doc_id", "text")).withColumn("tf", F.round("tf", 6)), f"SELECT token, round(-log2(count(*) / sum(count(*)) OVER ()), 6) AS tf FROM {_TOK} GROUP BY 1")
 on("idf_docs", "documents", lambda x: A.inverse_document_frequency(A.tokens(x, "doc_id", "text")).withColumn("idf", F.round("idf", 6)), f"SELECT token, round(log2((SELECT count(DISTINCT doc) FROM {_TOK}) / count(DISTINCT doc)), 6) AS idf FROM {_TOK} GROUP BY 1")

@@ -13,7 +13,7 @@ from weftline.operators import texts as T
 from weftline.operators import topics as G
 from weftline.session import table
 
-_tok = lambda s, d: T.tokens(table(s, d, "documents").where("length(text) < 2000"), "doc_id", "text")
+_tok = lambda s, d: T.tokens(table(s, d, "documents"), "doc_id", "text")
 
 
 def _gibbs(scheme):
@@ -26,13 +26,13 @@ def _gibbs(scheme):
     return run
 
 
-_WORDS = "(SELECT doc, token FROM (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS token FROM documents WHERE length(text) < 2000))"
+_WORDS = "(SELECT doc, token FROM (SELECT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS token FROM documents))"
 _IN = f"SELECT doc, count(*) AS n, true AS ok FROM {_WORDS} WHERE token IN (SELECT token FROM (SELECT token, count(*) AS n FROM {_WORDS} GROUP BY 1 ORDER BY n DESC, token LIMIT 100)) GROUP BY 1"
 add("lda_gibbs", _gibbs("ONE"), _IN)
 add("lda_term_weight_gibbs", _gibbs("PMI"), _IN)
 for _w in ("ONE", "TF", "IDF", "PMI"):
     _sql = {"ONE": "1.0::DOUBLE", "TF": "-log2(count(*) OVER (PARTITION BY token) / count(*) OVER ())", "IDF": "log2((SELECT count(DISTINCT doc) FROM w) / count(DISTINCT doc) OVER (PARTITION BY token))", "PMI": "greatest(log2(count(*) OVER (PARTITION BY token) / count(*) OVER (PARTITION BY doc, token)), 0)"}[_w]
-    add(f"term_weights_{_w.lower()}", lambda s, d, w=_w: G.term_weights(_tok(s, d).where("doc < 40"), w).withColumn("weight", F.round("weight", 6)), f"WITH w AS (SELECT * FROM {_WORDS} WHERE doc < 40) SELECT DISTINCT doc, token, round({_sql}, 6) AS weight FROM w")
+    add(f"term_weights_{_w.lower()}", lambda s, d, w=_w: G.term_weights(_tok(s, d), w).withColumn("weight", F.round("weight", 6)), f"WITH w AS (SELECT * FROM {_WORDS}) SELECT DISTINCT doc, token, round({_sql}, 6) AS weight FROM w")
 
 
 def _infer(s, d):
@@ -65,6 +65,6 @@ add("linear_regression_prices", lambda s, d: (lambda o: s.createDataFrame([I.lea
 
 # ---- the last of the scalar functions
 add("bisect_generic", lambda s, d: s.createDataFrame([(J.bisect_predicate(0, 100, lambda i: (i > 37) - (i < 37)), J.bisect_predicate(0, 100, lambda i: (i > 37) - (i < 37), True))], "a long, b long"), "SELECT CAST(37 AS BIGINT) AS a, CAST(38 AS BIGINT) AS b")
-add("hamming_distance_bytes", lambda s, d: table(s, d, "region").select("r_regionkey", X.hamming_bytes(F.encode(F.left("r_name", F.lit(4)), "UTF-8"), F.encode(F.lit("ASIA"), "UTF-8")).alias("v")),
-    "SELECT r_regionkey, list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(ascii(r_name[i]), ascii('ASIA'[i])))))::BIGINT AS v FROM region")
+add("hamming_distance_bytes", lambda s, d: table(s, d, "nation").select("n_nationkey", X.hamming_bytes(F.encode(F.md5(F.col("n_name").cast("binary")), "UTF-8"), F.encode(F.md5(F.encode(F.lit("x"), "UTF-8")), "UTF-8")).alias("v")),
+    "SELECT n_nationkey, list_sum(list_transform(range(1, 33), lambda i: bit_count(xor(ascii(md5(n_name)[i]), ascii(md5('x')[i])))))::BIGINT AS v FROM nation")
 add("backslash_escaped_ascii", lambda s, d: s.createDataFrame([("aé\n",), ("x",)], "t string").select("t", X.escaped_ascii(F.encode("t", "UTF-8")).alias("v")), "SELECT * FROM (VALUES ('aé' || chr(10), 'a\\xc3\\xa9' || chr(10)), ('x', 'x')) t(t, v)")

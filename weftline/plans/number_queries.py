@@ -46,8 +46,8 @@ add("int2base_62", lambda s, d: s.createDataFrame([(61,), (62,), (3844,), (-10,)
 num("factorial_exact", 27, lambda c: N.factorial(c).cast("string"), "factorial(n::INT)::VARCHAR")
 num("ceildiv_numbers", 100, lambda c: N.ceil_div(c, F.lit(7)), "-((-n) // 7) + CASE WHEN false THEN 1 ELSE 0 END".replace("-((-n) // 7)", "(n + 6) // 7"))
 num("isqrt_numbers", 3000, N.integer_root, "floor(sqrt(n))::BIGINT")
-on("dist_embeddings", "embeddings", lambda e: e.select("vec_id", F.round(F.sqrt(F.aggregate(F.zip_with(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y)), 6).alias("v")),
-   "SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(embedding[i]::DOUBLE - embedding[i + 8]::DOUBLE, 2)))), 6) AS v FROM embeddings")
+on("dist_embeddings", "embeddings", lambda e: e.select("vec_id", F.round(F.sqrt(F.aggregate(F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y)), 6).alias("v")),
+   "SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 33), lambda i: pow(embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE, 2)))), 6) AS v FROM embeddings")
 num("prod_numbers", 12, lambda c: N.product(F.transform(F.sequence(F.lit(1).cast("long"), c + 1), lambda x: x.cast("double"))), "factorial((n + 1)::INT)::DOUBLE")
 num("ycbcr_numbers", 256, lambda c: F.array_join(F.transform(N.rgb_to_ycbcr(F.array(c / 255, F.lit(0.25), 1 - c / 255)), lambda x: F.round(x * 1000).cast("long")), ","),
     "concat_ws(',', round((65.481 * (n / 255) + 128.553 * 0.25 + 24.966 * (1 - n / 255) + 16) * 1000)::BIGINT, round((-37.797 * (n / 255) - 74.203 * 0.25 + 112.0 * (1 - n / 255) + 128) * 1000)::BIGINT, round((112.0 * (n / 255) - 93.786 * 0.25 - 18.214 * (1 - n / 255) + 128) * 1000)::BIGINT)")

@@ -36,7 +36,7 @@ lit("case_bits_cases", ["aBc", "ABCDEFGHi", ""], X.case_bits, ["010", "111111110
 lit("case_roundtrip_cases", ["aBc", "Hello World", "é"], lambda c: X.apply_case_bits(F.lower(c), X.case_bits(c)), ["aBc", "Hello World", "é"])
 lit("multiple_replace_cases", ["foobarfoo", "xx", "barbaz"], lambda c: X.replace_all(c, {"foo": "bar", "bar": "foo"}), ["barfoobar", "xx", "foobaz"])
 lit("multiple_replace_longest", ["aab", "AAb"], lambda c: X.replace_all(c, {"a": "1", "aa": "2"}, True, True), ["2b", "2b"])
-doc("multiple_replace_text", lambda c: X.replace_all(F.left(c, F.lit(300)), {"the": "THE", "th": "TH", "e": "3"}), "replace(replace(replace(replace(replace(left(text, 300), 'the', chr(1)), 'th', chr(2)), 'e', '3'), chr(1), 'THE'), chr(2), 'TH')")
+doc("multiple_replace_text", lambda c: X.replace_all(c, {"the": "THE", "th": "TH", "e": "3"}), "replace(replace(replace(replace(replace(text, 'the', chr(1)), 'th', chr(2)), 'e', '3'), chr(1), 'THE'), chr(2), 'TH')")
 doc("multiple_replace_list_text", lambda c: X.replace_list(c, ["the", "and"], "$1"), "regexp_replace(text, 'the|and', '$1', 'g')")
 doc("replace_characters_text", lambda c: X.replace_characters(c, {"a": "4", "e": "3", "\n": None}), "translate(text, 'ae' || chr(10), '43')")
 doc("backslashquote_escape_text", lambda c: X.escape_quotes(c), r"""replace(replace(text, '\', '\\'), '"', '\"')""")
