@@ -46,3 +46,43 @@ def test_table(spark):
     got = sorted((r["doc_id"], r["license"]) for r in L.licenses(df).collect())
     assert got == [(3, "MIT"), (4, "Apache-2.0"), (5, "MIT"), (5, "MIT"), (5, "MIT")]
     assert L.licenses(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 9, 15, 30])
+@pytest.mark.parametrize("k", [k for k, (_, t) in enumerate(L.TEMPLATES) if len(L.words_of(t)) > 120])
+def test_inserts_do_not_split_a_license(k, n):
+    name, text = L.TEMPLATES[k]
+    w = L.words_of(text)
+    for at in (len(w) // 3, len(w) // 2, 2 * len(w) // 3):
+        x = w[:at] + [f"new{i}" for i in range(n)] + w[at:]
+        found = L.Templates().find(["pad"] * 20 + x + ["pad"] * 20)
+        assert found == [(name, round(L.dice(bag(w), bag(x)), 6), 20, 20 + len(x))]
+
+
+def test_replaced_holder_keeps_the_license():
+    holder = L._BSD3.replace("the copyright holder", "the University of California, Berkeley")
+    assert [f[0] for f in L.Templates().find(L.words_of(L._BSD2 + holder + L._BSD_END))] == ["BSD-3-Clause"]
+
+
+def test_all_spans_by_brute_force():
+    """Passages are the greedy choice among all spans of a text."""
+    rng = random.Random(3)
+    for _ in range(150):
+        templates = [(f"t{k}", " ".join(rng.choice("abcde") for _ in range(rng.randint(2, 12)))) for k in range(3)]
+        known, words = L.Templates(templates), [rng.choice("abcdexy") for _ in range(40)]
+        for _, t in templates:
+            at = rng.randrange(len(words))
+            words[at:at] = t.split()
+        spans = []
+        for name, t in templates:
+            size = len(t.split()) - 1
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    score = L.dice(bag(t.split()), bag(words[a:b]))
+                    if score >= L.LEAST:
+                        spans.append((-(score * min(1, size / 8)), -size, a, -b, name, score))
+        taken = []
+        for _, _, a, b, name, score in sorted(spans):
+            if all(-b <= c or a >= d for _, _, c, d in taken):
+                taken.append((name, round(score, 6), a, -b))
+        assert known.find(words) == sorted(taken, key=lambda x: x[2])

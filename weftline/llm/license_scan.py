@@ -1,28 +1,32 @@
 """License scans by Dice coefficient over word bigrams (operator 9).
 
 Texts and templates are normalised alike: lower case, words of letters and digits, a few spellings unified. A template's
-bigrams mark the places of a text where it can occur; runs of marked places with small gaps are passages. A passage with b
-bigrams can reach a Dice coefficient of t against a template with m bigrams only if t / (2 - t) <= b / m <= (2 - t) / t, and
-templates outside these bounds are pruned before any bigrams are compared. Longer runs, which may hold several notices,
-are searched by a window of the template's size.
+bigrams mark the places of a text where it can occur. A passage with b bigrams can reach a Dice coefficient of t against a
+template with m bigrams only if t / (2 - t) <= b / m <= (2 - t) / t and if it holds m * t / (2 - t) marked places, however
+far apart; starts without so many places within the bound are pruned by a sliding count before any bigrams are compared.
+From every other start all ends within the bound are compared, so inserts and replacements of any length that leave the
+coefficient at t or above do not hide a passage.
 
 Every whole text is read in one pass; the templates are a fixed list in this module. Defined results: null, empty and
 blank texts have no licenses; of ties the earlier and then the longer passage is reported, and every passage that does
-not overlap a better one of the same license is reported; repeated rows are scanned each for itself; an empty table
+not overlap a better one that is reported is reported too; repeated rows are scanned each for itself; an empty table
 gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, GAP = 0.8, 4
+LEAST = 0.8
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 _SPELLING = {"licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "noncommercial": "nc", "v2": "2.0", "v3": "3"}
 
@@ -121,49 +125,66 @@ class Templates:
                 self.bags.append(bag)
         self.sizes = [b.total() for b in self.bags]
 
+    def _best(self, k: int, at: list[int], i: int, bigrams: list[tuple[str, str]], limit: int) -> tuple[float, int] | None:
+        """(dice, end word) of the best passage from hit i of template k that ends by word limit; of ties the longer."""
+        size, bag, first = self.sizes[k], self.bags[k], at[i]
+        spare = 2 * size * (1 - self.least) / self.least + 1e-9  # bigrams beside the template's that a passage of least can hold
+        left: dict[tuple[str, str], int] = {}
+        common, best = 0, None
+        for j in range(i, len(at)):
+            p = at[j]
+            length = p - first + 1
+            if p + 2 > limit or length - common - 1 > spare:
+                break
+            b = bigrams[p]
+            n = left.get(b)
+            if n is None:
+                n = bag[b]
+            if n:  # a passage that ends at another bigram is worse than its part
+                left[b] = n - 1
+                common += 1
+                score = 2 * common / (size + length)
+                if score >= self.least and (best is None or score >= best[0]):
+                    best = score, p + 2
+        return best
+
     def find(self, words: list[str]) -> list[tuple[str, float, int, int]]:
         """(license, dice, first word, end word) of the passages of a text."""
         places: dict[int, list[int]] = {}
         get = self.index.get
-        for i, b in enumerate(zip(words, words[1:], strict=False)):
+        bigrams = list(zip(words, words[1:], strict=False))
+        for i, b in enumerate(bigrams):
             for k in get(b, ()):
                 places.setdefault(k, []).append(i)
-        found = []
+        # The best passage of a place wins; whole templates beat the short notices inside them.
+        heap: list[tuple] = []
+
+        def offer(k: int, i: int, limit: int) -> None:
+            if best := self._best(k, places[k], i, bigrams, limit):
+                score, end = best
+                heappush(heap, (-(score * min(1, self.sizes[k] / 8)), -self.sizes[k], places[k][i], -end, self.names[k], k, i, score))
+
         for k, at in places.items():
             size = self.sizes[k]
-            low, high = size * self.least / (2 - self.least), size * (2 - self.least) / self.least
-            if len(at) < low / 2:  # the bound on |A and B| that goes with the bound on sizes
+            need = ceil(size * self.least / (2 - self.least) - 1e-9)  # the bound on |A and B| that goes with the bound on sizes
+            high = size * (2 - self.least) / self.least + 1e-9
+            for i in range(len(at) - need + 1):
+                if at[i + need - 1] - at[i] < high:
+                    offer(k, i, len(words))
+        starts: list[int] = []
+        taken: list[tuple[str, float, int, int]] = []  # by first word, as starts
+        while heap:
+            _, _, a, end, name, k, i, score = heappop(heap)
+            t = bisect_right(starts, a)
+            if t and a < taken[t - 1][3]:
                 continue
-            start = 0
-            for j in range(1, len(at) + 1):
-                if j < len(at) and at[j] - at[j - 1] <= GAP:
-                    continue
-                first, end = at[start], at[j - 1] + 1  # bigrams first..end
-                start = j
-                if end - first < low:
-                    continue
-                spans = [(first, end)] if end - first <= high else [(a, min(a + size, end)) for a in range(first, max(first + 1, end - size + 1))]
-                bag, before = Counter(), None
-                for a, b in spans:
-                    if before is None:
-                        bag = Counter(zip(words[a:b], words[a + 1 : b + 1], strict=True))
-                    else:  # the window moves on by one
-                        gone = (words[a - 1], words[a])
-                        bag[gone] -= 1
-                        if not bag[gone]:
-                            del bag[gone]
-                        bag[(words[b - 1], words[b])] += 1
-                    before = a
-                    score = dice(self.bags[k], bag)
-                    if score >= self.least:
-                        found.append((score, a, b + 1, k))
-        # The best passage of a place wins; whole templates beat the short notices inside them.
-        found.sort(key=lambda x: (-(x[0] * min(1, self.sizes[x[3]] / 8)), -self.sizes[x[3]], x[1], -x[2], self.names[x[3]]))
-        taken: list[tuple[str, float, int, int]] = []
-        for score, a, b, k in found:
-            if all(b <= c or a >= d for _, _, c, d in taken):
-                taken.append((self.names[k], round(score, 6), a, b))
-        return sorted(taken, key=lambda x: (x[2], x[0]))
+            limit = starts[t] if t < len(starts) else len(words)
+            if -end > limit:
+                offer(k, i, limit)
+            else:
+                starts.insert(t, a)
+                taken.insert(t, (name, round(score, 6), a, -end))
+        return taken
 
 
 def licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
