@@ -58,3 +58,23 @@ def test_importance_by_hand(spark):
 def test_broken_markup_ends():
     for bad in ("<", "<div", "</", "<!--", "<a href='x", "<script>never closed", "<p><p></b></p></div>", "<" * 2000, "&#xFFFFFFFF;"):
         html_text.parse(bad)
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "site-content has-sidebar", "right-sidebar-layout", "no-comments", "post tag-advertising", "sidebar", "related", "comments"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_class_of_a_wrapper_does_not_hide_the_article(spark, name, tag):
+    page = f"<body><div class='{name}'><div><{tag}><h1>Title</h1><p>Body</p></{tag}></div></div><div class=sidebar><p>Links</p></div></body>"
+    assert texts(spark, [(1, "http://h/", page)])[0][1] == "Title\n\nBody"
+
+
+@pytest.mark.parametrize("name", ["post tag-advertising", "article-header", "content-sidebar-wrap"])
+def test_parts_of_names_decide_nothing(spark, name):
+    page = f"<body><div class='{name}'><h1>Title</h1><p>Body</p></div><div class='ad-slot-3'>Buy</div><div class='cookie-notice'>OK</div></body>"
+    assert texts(spark, [(1, "http://h/", page)])[0][1] == "Title\n\nBody"
+    page = f"<body><article><div class='{name}'><h1>Title</h1></div><div class=header>Sub</div><div class=share-buttons>Tweet</div><p>Body</p></article></body>"
+    assert texts(spark, [(1, "http://h/", page)])[0][1] == "Title\n\nSub\n\nBody"
+
+
+def test_other_articles_stay_out(spark):
+    page = "<body><main><article><p>Body</p><div class=related><article>Teaser</article></div></article></main><div id=comments><article>Nice</article></div></body>"
+    assert texts(spark, [(1, "http://h/", page)])[0][1] == "Body"

@@ -8,8 +8,10 @@ Pages of a host are merged to its style tree: per path the number of pages, the
 
 with content importance 1 - H(text) / log(pages): a block text that stands on every page of a host has none, one that
 stands on a single page has all. Nodes of low importance that occur on enough pages are branches of the site's frame and
-are removed from each page, as are elements whose tag, role or class says what they are (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, styles). Where a page marks its article, only that is read, and no
+are removed from each page, as are elements whose tag, role or whole class name says what they are (menus, headers, footers,
+sidebars, notices, adverts, forms, comments, scripts, styles). Names that only hold such a word ("content-sidebar-wrap") decide
+nothing; the statistic of the host does. A class name does not hide an article or main that its element holds; articles below names
+of other articles (comments, related) are read where the page has none but these. Where a page marks its article, only that is read, and no
 statistic removes a part of it: contract and authors say that it is the text.
 
 The tree is made by two aggregations with map-side combination, so a host with a third of all pages is summed before it
@@ -54,12 +56,18 @@ _SKIP = frozenset(
     " label dialog menu math audio video map noembed noframes".split()
 )
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog toolbar".split())
-_SKIP_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead"
+#: Class names and ids that say frame, as whole names: every part between hyphens is of these words or of the neutral ones.
+_FRAME_WORD = (
+    r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead"
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|disqus|respond|reply"
-    r"|related|recommended|widget|pagination|pager|copyright|legal|skip-link|toolbar)(?=$|[\s_-])",
-    re.I,
+    r"|related|recommended|widget|pagination|pager|copyright|legal|toolbar)"
 )
+_SKIP_NAME = re.compile(rf"(?<!\S)(?:skip-link|{_FRAME_WORD}(?:[-_]+(?:{_FRAME_WORD}|list|box|bar|links?|buttons?|form|items?|slot|unit|block|area|top|bottom|\d+))*)(?!\S)", re.I)
+#: Of these, the ones whose elements hold other articles than the page's own: answers, teasers, adverts.
+_OTHERS_NAME = re.compile(r"(?<!\S)(?:ad|ads|advert|sponsor|promo|comments?|disqus|respond|reply|related|recommended|widget)", re.I)
+_COMMENT_NAME = re.compile(r"(?<!\S)(?:comments?|reply)(?:[-_]+(?:body|content|item|list|box|\d+))*(?!\S)", re.I)
+#: Whether an element is skipped: no; by what it is; by a name, of the layout or of other articles.
+_KEPT, _FRAME, _NAMED, _OTHERS = range(4)
 _MAIN = frozenset(["article", "main"])
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
             "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -74,11 +82,11 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip(" /") else {}
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """(blocks (path, text, inside a marked article), nodes (path, layout of its children)) outside elements that name themselves frame."""
+def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
+    """(blocks (path, text, 1 inside a marked article, 2 inside one of other articles, else 0), nodes (path, layout of its children)) outside frames."""
     text = page or ""
-    stack: list[list] = [["", "", False, False, []]]  # tag, path, skipped, in article, child tags
-    blocks: list[tuple[str, str, bool]] = []
+    stack: list[list] = [["", "", _KEPT, 0, []]]  # tag, path, skipped, in article, child tags
+    blocks: list[tuple[str, str, int]] = []
     nodes: list[tuple[str, str]] = []
     run: list[str] = []
 
@@ -144,18 +152,25 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[str
         names = f"{a.get('class', '')} {a.get('id', '')}"
         top = stack[-1]
         style = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(a.get("class", "").split()))
-        skipped = (
-            top[2]
-            or tag in _SKIP
+        frame = (
+            tag in _SKIP
             and not (tag == "header" and top[3])
             or a.get("role", "").lower() in _SKIP_ROLE
-            or tag not in ("body", "html", "article", "main") and _SKIP_WORD.search(names) is not None
-            or tag == "article" and re.search(r"(?:^|[\s_-])(?:comments?|reply)(?=$|[\s_-])", names) is not None
+            or tag == "article" and _COMMENT_NAME.search(names) is not None
             or "hidden" in a
             or a.get("aria-hidden") == "true"
             or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None
         )
-        inside = top[3] or tag in _MAIN or a.get("role", "").lower() in ("main", "article") or a.get("itemprop") == "articleBody"
+        marks = tag in _MAIN or a.get("role", "").lower() in ("main", "article") or a.get("itemprop") == "articleBody"
+        skipped, inside = top[2], top[3] or int(marks)
+        if frame:
+            skipped = _FRAME
+        elif skipped >= _NAMED and marks and all(e[0] != "article" for e in stack):  # a name does not hide an article that its element holds
+            skipped, inside = _KEPT, 2 if skipped == _OTHERS and tag == "article" else inside
+        elif not skipped and not marks and tag not in ("body", "html"):
+            named = [n for n in _SKIP_NAME.findall(names) if not (top[3] and n.lower() == "header")]
+            if named:
+                skipped = _OTHERS if any(_OTHERS_NAME.match(n) for n in named) else _NAMED
         if tag in _BLOCK and not top[2]:
             top[4].append(style) if not top[4] or top[4][-1] != style else None
         if skipped and not top[2] and tag not in _BLOCK:
@@ -188,7 +203,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, blocks, nodes = [], [], []
             for page in part.column(2).to_pylist():
                 found, styles = parse(page)
-                article = [t for _, t, inside in found if inside]
+                article = [t for _, t, inside in found if inside == 1] or [t for _, t, inside in found if inside]
                 texts.append("\n\n".join(article) if article else None)
                 blocks.append([{"path": _key(p), "text": t} for p, t, inside in found if not inside])
                 nodes.append([{"path": _key(p), "layout": _key(s)} for p, s in styles])
