@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,5 +93,27 @@ def test_redaction(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+def brute_redacted(text):
+    inside = [False] * len(text)
+    for _, a, b in S.spans_of(text):
+        inside[a:b] = [True] * (b - a)
+    return "".join("[secret]" if x and not (i and inside[i - 1]) else "" if x else c for i, (c, x) in enumerate(zip(text, inside, strict=True)))
+
+
+def test_redaction_covers_whole_spans(spark):
+    """Secrets that hold a run of hex digits go whole; the union of all spans goes, by brute force, and nothing else."""
+    hexed = ["ghp_0123456789abcdefGHIJKLMNOPQRSTUVWXYZ0123", "xoxb-1234567890123456-AbCdEfGhIjKlMnOp", "sk_live_0123456789abcdefXYZ", "AIza0123456789abcdef" + "Z" * 19,
+             "eyJ0123456789abcdefgh.eyJ0123456789abcdefgh.0123456789abcdefZZ"]
+    rng = random.Random(1)
+    mixed = ["".join(rng.choice([*hexed, *filter(None, TEXTS[:10]), " ", "\U0001f600é", "x", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts = [*hexed, *[f"a {t} b" for t in hexed], *mixed, "é 0123456789abcdef," * 1500, *[t for t in TEXTS if t]]
+    df = spark.createDataFrame([(i, t, len(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, hex string")
+    got = S.redacted(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert r["text"] == brute_redacted(texts[r["doc_id"]]) and r["n_chars"] == len(r["text"]) and r["hex"] == "x"
+    assert {r["text"] for r in got.where(f"doc_id < {len(hexed)}").collect()} == {"[secret]"}
+
+
 def test_empty_table(spark):
     assert S.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
