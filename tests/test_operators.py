@@ -14,7 +14,7 @@ from weftline.operators import joins as J
 from weftline.operators import ranking as R
 from weftline.operators import sequences as S
 from weftline.operators import tables as TB
-from weftline.operators.ordering import with_index
+from weftline.operators.ordering import carried, running_sum, with_index
 
 
 def seq(spark, values, kind="int"):
@@ -84,6 +84,87 @@ def test_global_index_over_many_partitions(spark):
     assert with_index(df.limit(0), ["k"]).count() == 0
 
 
+def test_global_index_of_wide_rows_and_ties(spark, sf_dir):
+    """Small target sizes make adaptive execution coalesce partitions by their bytes; positions must not depend on the columns that are asked for."""
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        got = with_index(rows, ["l_partkey"])
+        n = rows.count()
+        at = got.select("_idx", "l_partkey", "l_comment" if "l_comment" in rows.columns else "l_orderkey").collect()
+        assert sorted(r[0] for r in at) == list(range(n))
+        keys = [r[1] for r in sorted(at)]
+        assert keys == sorted(keys)
+        assert got.select(rows.columns).exceptAll(rows).isEmpty() and got.count() == n
+        assert S.every_n(rows, 2, ["l_orderkey", "l_linenumber"]).count() == (n + 1) // 2
+        one = spark.range(5000).select(F.lit(1).alias("k"), "id")
+        assert with_index(one, ["k"]).agg(F.count_distinct("_idx"), F.max("_idx")).first()[:] == (5000, 4999)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_running_sums_and_carried_values(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randint(-5, 5), rng.choice([None, None, k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, x long, y long").repartition(9)
+    sums, last, s, y = {}, {}, 0, None
+    for k, x, v in rows:
+        s, y = s + x, v if v is not None else y
+        sums[k], last[k] = s, y
+    assert {r["k"]: r["s"] for r in running_sum(df, "x", ["k"], "s").collect()} == sums
+    assert {r["k"]: r["y"] for r in carried(df, ["y"], ["k"]).collect()} == last
+    nxt, y = {}, None
+    for k, _, v in reversed(rows):
+        y = v if v is not None else y
+        nxt[k] = y
+    assert {r["k"]: r["y"] for r in carried(df, ["y"], ["k"], forward=False).collect()} == nxt
+    assert running_sum(df.limit(0), "x", ["k"], "s").count() == carried(df.limit(0), ["y"], ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_split_asof_is_the_same(spark, direction, by):
+    rng = random.Random(4)
+    left = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for k in range(200)]
+    right = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for k in range(60)]
+    a, b = spark.createDataFrame(left, "id long, g string, t long"), spark.createDataFrame(right, "rid long, g string, t long")
+    if not by:
+        b = b.withColumnRenamed("g", "g2").drop("g2")
+    one, two = (J.asof(x, y, "t", w, direction, split=s) for x, y, w, s in ((a, b, by, True), (a.withColumn("_z", F.lit(1)), b.withColumn("_z", F.lit(1)), [*by, "_z"], False)))
+    assert one.columns == two.drop("_z").columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.drop("_z").collect()))
+
+
+def test_metric_search(spark):
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(120)})
+    df = spark.createDataFrame(list(enumerate(words)), "id long, w string")
+    asked = df.where("id % 9 = 0").select(F.col("id").alias("qid"), F.col("w").alias("q"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j - 1] + (x != y), before[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    got = {(r["qid"], r["id"], r["distance"]) for r in J.metric_search(df, asked, "w", "q", F.levenshtein, 2, [F.lit("abc"), F.lit("")]).collect()}
+    every = [(q, i, edits(words[q], w)) for q in range(0, len(words), 9) for i, w in enumerate(words)]
+    assert got == {x for x in every if x[2] <= 2}
+    near = [(r["qid"], r["rank"], r["id"], r["distance"]) for r in J.metric_nearest(df, asked, "id", "w", "qid", "q", F.levenshtein, 3).collect()]
+    expected = []
+    for q in range(0, len(words), 9):
+        best = sorted((d, i) for x, i, d in every if x == q)[:3]
+        expected += [(q, k, i, d) for k, (d, i) in enumerate(best, 1)]
+    assert sorted(near) == sorted(expected)
+    assert J.metric_nearest(df, asked.limit(0), "id", "w", "qid", "q", F.levenshtein).count() == 0
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 def test_asof_against_brute_force(spark, direction):
     rng = random.Random(3)

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.operators.ordering import with_index
+from weftline.operators.ordering import carried, running_sum, with_index
 
 Names = Sequence[str]
+#: Shards of a category whose rows are chosen among first.
+SHARDS = 64
 
 
 def count_distinct(c: Column) -> Column:
@@ -63,16 +65,16 @@ def cdf(df: DataFrame, value: str, partition_by: Names = ()) -> DataFrame:
 
 def pmf_to_cdf(df: DataFrame, key: str, weight: str) -> DataFrame:
     """key, cdf: normalised running sums of weights."""
-    w = W.partitionBy(F.lit(0))
-    return df.groupBy(key).agg(F.sum(weight).alias("_w")).select(key, (F.sum("_w").over(w.orderBy(key).rowsBetween(W.unboundedPreceding, 0)) / F.sum("_w").over(w)).alias("cdf"))
+    summed = df.groupBy(key).agg(F.sum(weight).alias("_w"))
+    total = df.agg(F.sum(weight).alias("_total"))
+    return running_sum(summed, "_w", [key], "_upto").crossJoin(F.broadcast(total)).select(key, (F.col("_upto") / F.col("_total")).alias("cdf"))
 
 
 def ks_from_cdfs(a: DataFrame, b: DataFrame, key: str, n1: int, n2: int, alpha: float = 0.05) -> DataFrame:
     """d, p, reject of the two-sample test over two distribution functions; gaps take the last value before."""
     both = a.select(key, F.col("cdf").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(b.select(key, F.lit(None).cast("double").alias("a"), F.col("cdf").alias("b")))
     merged = both.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    w = W.partitionBy(F.lit(0)).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    filled = merged.select(F.coalesce(F.last("a", True).over(w), F.lit(0.0)).alias("a"), F.coalesce(F.last("b", True).over(w), F.lit(0.0)).alias("b"))
+    filled = carried(merged, ["a", "b"], [key]).fillna(0.0, ["a", "b"])
     d = filled.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"))
     p = F.exp(-2 * F.pow(F.col("d"), 2) * n1 * n2 / (n1 + n2))
     return d.withColumn("p", p).withColumn("reject", F.col("p") < alpha)
@@ -139,12 +141,16 @@ def limit_balanced(counts: DataFrame, key: str, count: str, total: int) -> DataF
 
 
 def sample_balanced(df: DataFrame, keys: Names, total: int, order_by: Names, seed: int = 0) -> DataFrame:
-    """About as many rows of each category as limit_balanced allows; members by a seeded hash of order_by."""
+    """As many rows of each category as limit_balanced allows; members by a seeded hash of order_by."""
     label = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
     held = df.withColumn("_cat", label)
     quota = limit_balanced(held.groupBy("_cat").agg(F.count(F.lit(1)).alias("n")), "_cat", "n", total)
-    w = W.partitionBy("_cat").orderBy(F.xxhash64(F.lit(seed), *order_by), *order_by)
-    return held.join(quota, "_cat").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("quota")).drop("_cat", "_rn", "quota")
+    chance = F.xxhash64(F.lit(seed), *order_by)
+    # Twice the same choice: first among the rows of a shard of a category, then among what the shards kept.
+    held = held.join(quota, "_cat").withColumn("_chance", chance).withColumn("_shard", F.pmod(F.col("_chance"), F.lit(SHARDS)))
+    for w in (W.partitionBy("_cat", "_shard"), W.partitionBy("_cat")):
+        held = held.withColumn("_rn", F.row_number().over(w.orderBy("_chance", *order_by))).where(F.col("_rn") <= F.col("quota"))
+    return held.drop("_cat", "_rn", "quota", "_chance", "_shard")
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,8 +163,16 @@ def term_frequency(tok: DataFrame) -> DataFrame:
     return with_total(tok.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "n").select("token", (-F.log2(F.col("n") / F.col("total"))).alias("tf"))
 
 
+def inverse_document_frequency_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """token, idf = log2(documents / documents with the token); documents without words don't count, each row is a document."""
+    words = docs.select(F.array_distinct(F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")).alias("w"))
+    total = words.agg(F.count_if(F.size("w") > 0).alias("m"))
+    counts = words.select(F.explode("w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return counts.crossJoin(F.broadcast(total)).select("token", F.log2(F.col("m") / F.col("df")).alias("idf"))
+
+
 def inverse_document_frequency(tok: DataFrame) -> DataFrame:
-    """token, idf = log2(documents / documents with the token)."""
+    """The same of a table (doc, token)."""
     docs = tok.agg(F.count_distinct("doc").alias("m"))
     return tok.select("doc", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs)).select("token", F.log2(F.col("m") / F.col("df")).alias("idf"))
 

@@ -10,28 +10,52 @@ from pyspark.sql import functions as F
 from weftline.session import checkpointed
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) of an undirected edge table.
+#: No more nodes than this are hubs, whose edges do not go through a shuffle by node.
+HUBS = 10_000
 
-    Every round hooks each node's component to the least among its neighbours' and then jumps to the component's own
-    component (pointer doubling); tables are partially aggregated before they are shuffled, and each round is written to
-    the checkpoint folder.
+
+def _with_least(edges: DataFrame, degrees: DataFrame, bound: int) -> DataFrame:
+    """u, v, m (the least neighbour of u). Nodes of more than `bound` edges are at most edges / bound: their m is broadcast; the others meet theirs by a join."""
+    hubs = F.broadcast(degrees.where(F.col("n") > bound).select("u", "m"))
+    of_hubs = edges.join(hubs, "u").select("u", "v", "m")
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(degrees.where(F.col("n") <= bound).select("u", "m"), "u").select("u", "v", "m")
+    return of_hubs.unionByName(rest)
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def contracted(edges: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """u, component (its smallest node) of every node but the smallest of each component; edges (u, v), u > v.
+
+    Large-star and small-star contraction: every node's larger neighbours, and then its smaller ones, go to the least of them,
+    until all edges are stars round the smallest node. Each round is written to the checkpoint folder; rounds grow with the
+    logarithm of the number of nodes and end when nothing changes. A node with a large share of all edges is a hub: there are at most
+    `hubs` of them by count, so what they need is broadcast, and no task gets all edges of a node.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("c")))
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("m"))
-        held = label.join(near, "node").select("node", "c", F.least("c", "m").alias("m"))
-        # The component's representative learns the least label that any member has seen.
-        hooked = held.groupBy(F.col("c").alias("node")).agg(F.min("m").alias("best"))
-        reached = held.join(hooked.withColumnRenamed("node", "c"), "c").select("node", "c", F.least("m", "best").alias("new"))
-        jump = reached.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        after = checkpointed(reached.join(jump, "new", "left").select("node", F.col("c").alias("old"), F.least("new", F.coalesce("further", "new")).alias("c")))
-        label = after.select("node", "c")
-        if after.where("c <> old").isEmpty():
-            return label.withColumnRenamed("c", "component")
-    raise RuntimeError("components did not settle")
+    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    mark = None
+    while True:
+        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(row) == mark or not row[0]:
+            return now.select("u", F.col("v").alias("component"))
+        mark, bound = tuple(row), max(1000, 2 * row[0] // hubs)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = _degrees(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = checkpointed(large)
+        least = _degrees(large)
+        small = _with_least(large, least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", hubs: int = HUBS) -> DataFrame:
+    """node, component (its smallest node) of an undirected edge table; edges with a null end are none, and a loop makes a component."""
+    links = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = contracted(links, hubs).withColumnRenamed("u", "node")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def of_size(edges: DataFrame, least: int = 2, a: str = "a", b: str = "b") -> DataFrame:

@@ -13,25 +13,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.operators.ordering import ranged, with_index
+
 Names = Sequence[str]
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: Names = (), direction: str = "backward", prefix: str = "r_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: Names = (), direction: str = "backward", prefix: str = "r_", split: bool | None = None) -> DataFrame:
     """Each left row with the nearest right row of its group: at or before (backward), at or after (forward), or nearest.
 
     Right columns get the prefix; nulls where there is none. Of equal right values the one that orders first by its other columns
     counts; of equally near ones the earlier.
+
+    With by, each group is one ordered window. Without, or with split (for tables one of whose groups is a large share of the
+    rows), the search runs over the distinct times of a range-partitioned table, and the last values of its ranges are carried on.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction}")
     rest = [c for c in right.columns if c not in by]
+    if split or split is None and not by:
+        return _asof_split(left, right, on, by, direction, prefix)
     once = right.groupBy(*by, on).agg(F.min(F.struct(*[c for c in rest if c != on])).alias("_r")) if len(rest) > 1 else right.select(*by, on).distinct().withColumn("_r", F.struct(F.lit(1)))
     payload = F.struct(F.col(on).alias("at"), F.col("_r").alias("row"))
     kind = f"struct<at:{dict(right.dtypes)[on]},row:{dict(once.dtypes)['_r']}>"
     marked = once.select(*by, F.col(on), F.lit(0).alias("_side"), payload.alias("_right"), F.lit(None).cast(left.select(F.struct("*")).dtypes[0][1]).alias("_left"))
     asked = left.select(*by, F.col(on), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_right"), F.struct(*left.columns).alias("_left"))
     both = marked.unionByName(asked)
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    w = W.partitionBy(*by)
     # Of equal times the right side comes first when looking back, and when looking ahead.
     back = F.last("_right", ignorenulls=True).over(w.orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0))
     ahead = F.last("_right", ignorenulls=True).over(w.orderBy(F.col(on).desc(), "_side").rowsBetween(W.unboundedPreceding, 0))
@@ -48,6 +55,35 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: Names = (), direction:
     return found.where("_side = 1").select(*out)
 
 
+def _asof_split(left: DataFrame, right: DataFrame, on: str, by: Names, direction: str, prefix: str) -> DataFrame:
+    """asof over range partitions. A row is (_by, _on, _r): _r is null for the times of the left side, which are asked for once each."""
+    rest = [c for c in right.columns if c not in by and c != on]
+    group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    value = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_"))
+    known = right.select(group.alias("_by"), F.col(on).alias("_on"), value.alias("_v")).groupBy("_by", "_on").agg(F.min("_v").alias("_v"))
+    known = known.select("_by", "_on", F.struct(F.col("_on").alias("at"), F.col("_v").alias("row")).alias("_r"))
+    asked = left.select(group.alias("_by"), F.col(on).alias("_on")).distinct()
+    keys = ["_by", F.struct("_on").alias("_at")]  # inside a struct, null times meet each other
+    held = ranged(asked.select(*keys, F.lit(True).alias("_asked")).join(known.select(*keys, "_r"), ["_by", "_at"], "full"), ["_by", "_at"])
+    own, across = W.partitionBy("_by", "_part").orderBy("_at"), W.partitionBy("_by").orderBy("_part")
+    # A row for each range that a group touches.
+    when = F.when(F.col("_r").isNotNull(), F.col("_at"))
+    ends = held.groupBy("_by", "_part").agg(F.max_by("_r", when).alias("_last"), F.min_by("_r", when).alias("_first"))
+    ends = ends.select(
+        "_by",
+        "_part",
+        F.last("_last", True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_last"),
+        F.first("_first", True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("_first"),
+    )
+    found = held.withColumn("_b", F.last("_r", True).over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first("_r", True).over(own.rowsBetween(0, W.unboundedFollowing)))
+    found = found.where("_asked").join(ends, ["_by", "_part"])
+    b, a, t = F.coalesce("_b", "_last"), F.coalesce("_a", "_first"), F.col("_at._on")
+    nearer = F.when(b.isNull(), a).when(a.isNull(), b).when((a["at"] - t) < (t - b["at"]), a).otherwise(b)
+    hits = found.select("_by", "_at", {"backward": b, "forward": a, "nearest": nearer}[direction].alias("_hit"))
+    joined = left.withColumn("_by", group).withColumn("_at", F.struct(F.col(on).alias("_on"))).join(hits, ["_by", "_at"])
+    return joined.select(*left.columns, F.col("_hit.at").alias(prefix + on), *[F.col(f"_hit.row.{c}").alias(prefix + c) for c in rest])
+
+
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, low: int, high: int, by: Names = ()) -> DataFrame:
     """Pairs with a + low <= b <= a + high over whole numbers; rows meet in buckets of the band's width, each pair once."""
     if high < low:
@@ -160,3 +196,53 @@ def metric_range(df: DataFrame, queries: DataFrame, x: str, q: str, radius: floa
     ring = F.floor(F.abs(F.col(x) - pivot) / radius)
     asked = queries.withColumn("_ring", F.explode(F.array(*[F.floor(F.abs(F.col(q) - pivot) / radius) + k for k in (-1, 0, 1)])))
     return df.withColumn("_ring", ring).join(asked, "_ring").where(F.abs(F.col(x) - F.col(q)) <= radius).drop("_ring")
+
+
+def metric_search(df: DataFrame, queries: DataFrame, x: str, q: str, distance, radius: float, pivots: Sequence[Column], name: str = "distance") -> DataFrame:
+    """Rows and queries with distance(x, q) <= radius under any metric over any type (a function of two columns).
+
+    Distances to fixed pivots stand for the tree's nodes: by the triangle inequality they differ by radius at most between
+    rows that match. Rows meet queries in rings of the first pivot, a row in its ring and a query in three; the other
+    pivots filter what meets, and the metric itself is computed last. radius is above 0.
+    """
+    if radius <= 0 or not pivots:
+        raise ValueError("a radius above 0 and a pivot are needed")
+
+    def rings(c: str, out: str) -> list[Column]:
+        return [distance(F.col(c), p).cast("double").alias(f"_{out}{i}") for i, p in enumerate(pivots)]
+
+    rows = df.select("*", *rings(x, "x")).withColumn("_ring", F.floor(F.col("_x0") / radius))
+    asked = queries.select("*", *rings(q, "q")).withColumn("_ring", F.explode(F.array(*[F.floor(F.col("_q0") / radius) + k for k in (-1, 0, 1)])))
+    met = rows.join(asked, "_ring")
+    for i in range(len(pivots)):
+        met = met.where(F.abs(F.col(f"_x{i}") - F.col(f"_q{i}")) <= radius)
+    hit = met.withColumn(name, distance(F.col(x), F.col(q))).where(F.col(name) <= radius)
+    return hit.drop("_ring", *[f"_{s}{i}" for s in "xq" for i in range(len(pivots))])
+
+
+#: Queries that one pass of metric_nearest takes to the rows.
+MOST_QUERIES = 10_000
+
+
+def metric_nearest(df: DataFrame, queries: DataFrame, key: str, x: str, query: str, q: str, distance, k: int = 1) -> DataFrame:
+    """query, rank, key, distance: the k nearest rows of each query under any metric, ties by key.
+
+    The queries are a stated set that is compared with all rows: they are counted, and go to the rows in blocks. The k best of a
+    query are chosen among the rows of each task's share first (window group limits cut them before the shuffle), then among those.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    asked = with_index(queries.select(F.col(query).alias("_query"), F.col(q).alias("_q")), ["_query"], (), "_block").withColumn("_block", F.expr(f"_block div {MOST_QUERIES}"))
+    last = asked.agg(F.max("_block")).first()[0]
+    out = None
+    for b in range((last if last is not None else -1) + 1):
+        met = df.select(F.col(key).alias("_key"), F.col(x).alias("_x")).crossJoin(F.broadcast(asked.where(F.col("_block") == b).drop("_block")))
+        near = met.select("_query", "_key", distance(F.col("_x"), F.col("_q")).alias("distance")).where("distance IS NOT NULL")
+        one = near.withColumn("_shard", F.spark_partition_id())
+        for w in (W.partitionBy("_query", "_shard"), W.partitionBy("_query")):
+            one = one.withColumn("rank", F.row_number().over(w.orderBy("distance", "_key"))).where(F.col("rank") <= k)
+        one = one.select(F.col("_query").alias(query), "rank", F.col("_key").alias(key), "distance")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = queries.select(F.col(query), F.lit(1).alias("rank")).crossJoin(df.select(key, F.lit(0.0).alias("distance"))).limit(0)
+    return out

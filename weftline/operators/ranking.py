@@ -136,9 +136,11 @@ def sample_range(spark: SparkSession, total: int, count: int, seed: int = 0, ord
 
 def train_test_split(df: DataFrame, label: str, key: Names, test_share: float, seed: int = 0, name: str = "is_test") -> DataFrame:
     """Rows with a flag; of each label the same share is for tests."""
-    w = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    held = df.withColumn("_rank", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(label)))
-    return held.withColumn(name, F.col("_rank") <= F.round(F.col("_n") * test_share)).drop("_rank", "_n")
+    # Positions of a range-partitioned sort by (label, hash): a label that most rows have is many ranges, not one window.
+    at = with_index(df.withColumn("_chance", F.xxhash64(F.lit(seed), *key)), [label, "_chance", *key], (), "_at")
+    sizes = at.groupBy(F.struct(label).alias("_l")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    held = at.withColumn("_l", F.struct(label)).join(sizes, "_l")
+    return held.withColumn(name, F.col("_at") - F.col("_first") < F.round(F.col("_n") * test_share)).select(*df.columns, name)
 
 
 def top_per_group(df: DataFrame, group: str, score: str, k: int, tie: str) -> DataFrame:

@@ -82,7 +82,7 @@ on("same_words_similarity", "conversations", lambda c: c.withColumn("b", F.lead(
    "SELECT conv_id, turn, len(list_intersect(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), list_filter(regexp_split_to_array(lower(b), '\\s+'), lambda w: w <> '')))::BIGINT AS n FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL")
 _TOK = "(SELECT doc, token FROM (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM documents) WHERE token <> '')"
 on("term_frequency_docs", "documents", lambda x: A.term_frequency(A.tokens(x, "doc_id", "text")).withColumn("tf", F.round("tf", 6)), f"SELECT token, round(-log2(count(*) / sum(count(*)) OVER ()), 6) AS tf FROM {_TOK} GROUP BY 1")
-on("idf_docs", "documents", lambda x: A.inverse_document_frequency(A.tokens(x, "doc_id", "text")).withColumn("idf", F.round("idf", 6)), f"SELECT token, round(log2((SELECT count(DISTINCT doc) FROM {_TOK}) / count(DISTINCT doc)), 6) AS idf FROM {_TOK} GROUP BY 1")
+on("idf_docs", "documents", lambda x: A.inverse_document_frequency_of(x, "text").withColumn("idf", F.round("idf", 6)), f"SELECT token, round(log2((SELECT count(DISTINCT doc) FROM {_TOK}) / count(DISTINCT doc)), 6) AS idf FROM {_TOK} GROUP BY 1")
 on("pmi_docs", "documents", lambda x: A.pointwise_information(A.tokens(x, "doc_id", "text")).withColumn("pmi", F.round("pmi", 6)), f"SELECT doc, token, round(greatest(log2(sum(n) OVER (PARTITION BY token) / n), 0.0), 6) AS pmi FROM (SELECT doc, token, count(*) AS n FROM {_TOK} GROUP BY 1, 2)")
 on("one_weights", "documents", lambda x: A.tokens(x, "doc_id", "text").select("token").distinct().withColumn("w", F.lit(1.0)), f"SELECT DISTINCT token, CAST(1.0 AS DOUBLE) AS w FROM {_TOK}")
 on("count_words", "documents", lambda x: A.tokens(x, "doc_id", "text").agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM {_TOK}")

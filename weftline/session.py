@@ -47,18 +47,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+_made: dict[str, list[str]] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster must name one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(root)
+    return root
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one; :func:`clear` deletes those that this session made."""
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this session; frames that read them can't be used any more. Returns their number."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        delete(spark, path)
+    return len(made)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder; its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.dirname(scratch_dir(df.sparkSession)))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the shared folder, read again: lineage ends, and columns not asked for are not read."""
+    df.write.option("compression", "zstd").parquet(path := f"{scratch_dir(df.sparkSession)}/table")
+    return df.sparkSession.read.parquet(path)
