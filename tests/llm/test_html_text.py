@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 
 from weftline.llm import html_text
@@ -47,12 +50,104 @@ def test_host_frame_goes_by_importance(spark, n):
         assert [t for _, t, _ in got] == [f"Text of page {i} alone" for i in range(n)]
 
 
-def test_importance_by_hand(spark):
-    """40 pages: a shared text has importance 0 (single layout), a text of its own 0.9."""
-    page = "<body><div class=a><p>same</p></div><div class=b><p>own {i}</p></div></body>"
-    pages = spark.createDataFrame([(i, "http://h/", page.format(i=i)) for i in range(40)], "page_id long, url string, html string")
-    found = sorted(round(r["importance"], 6) for r in html_text.style_tree(html_text.parsed_pages(pages)).collect() if r["pages"] == 40)
-    assert found[0] == 0.0 and found[-1] == 1.0
+def by_definition(pages):
+    """{(host, node): (pages, importance, branch)} of a style tree made page by page in plain Python, each different page once."""
+    hosts = {}
+    for url, html in pages:
+        blocks, layouts = html_text.parse(html)
+        hosts.setdefault(html_text.host_of(url), {})[tuple((b.nodes, b.text) for b in blocks)] = layouts
+    out = {}
+    for host, found in hosts.items():
+        texts, styles, on = {}, {}, {}
+        for blocks, layouts in found.items():
+            seen = {n[: i + 1] for n in [*(b[0] for b in blocks), *layouts] for i in range(len(n))}
+            for n in seen:
+                on[n] = on.get(n, 0) + 1
+            for n, t in set(blocks):
+                texts.setdefault(n, []).append(t)
+            for n, x in layouts.items():
+                styles.setdefault(n, []).append(x)
+        own = {}
+        for n, m in on.items():
+            base, parts = math.log(max(m, 2)), []
+            if n in styles:
+                k = len(styles[n])
+                parts.append((1 - html_text.GAMMA, -sum(styles[n].count(x) / k * math.log(styles[n].count(x) / k) for x in set(styles[n])) / base))
+            if n in texts:
+                parts.append((html_text.GAMMA, 1 - sum(math.log(texts[n].count(t)) for t in texts[n]) / len(texts[n]) / base))
+            both = sum(w * x for w, x in parts) if len(parts) == 2 else parts[0][1] if parts else 0.0
+            own[n] = 1.0 if m == 1 else both
+        below = {n: [d for d in on if d[: len(n)] == n] for n in on}
+        w = lambda n, d: on[d] * html_text.DECAY ** (len(d) - len(n))
+        composite = {n: sum(w(n, d) * own[d] for d in ds) / sum(w(n, d) for d in ds) for n, ds in below.items()}
+        for n, ds in below.items():
+            out[host, n] = (on[n], own[n], max(composite[d] for d in ds))
+    return out
+
+
+def test_tree_against_definition(spark):
+    rng = random.Random(4)
+
+    def page(depth=0):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            tag = rng.choice(["div class=a", "div class=b2", "p", "section id=x7", "ul"])
+            inner = page(depth + 1) if depth < 3 and not tag.startswith("p") else rng.choice(["same", "or this", f"own {rng.random()}"])
+            parts.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        return "".join(parts)
+
+    made = [(f"http://h{rng.randint(0, 1)}/", page()) for _ in range(60)]
+    made += made[:20]  # copies count once
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(made)], "page_id long, url string, html string")
+    got = {(r["host"], tuple(r["above"])): (r["pages"], r["importance"], r["branch"]) for r in html_text.style_tree(html_text.parsed_pages(df)).collect()}
+    expected = by_definition(made)
+    assert got.keys() == expected.keys()
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(v), k
+
+
+def test_tree_decides_inside_marked_articles(spark):
+    """A box of its own with the same texts on every page goes from articles too; with the tree switched off it stays."""
+    page = "<body><article><h1>Same title</h1><p>Text {i} of a page</p><div class=x9><p>Our offers</p><ul><li>All</li></ul></div><p>Shared end</p></article></body>"
+    rows = [(i, "http://h.example/p", page.format(i=i)) for i in range(40)]
+    assert [t for _, t, _ in texts(spark, rows)] == [f"Same title\n\nText {i} of a page\n\nShared end" for i in sorted(range(40))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"].count("Our offers") for r in html_text.main_texts(pages, low=0.0).collect()} == {1}
+
+
+def test_repeated_pages_are_no_frame(spark):
+    """Copies, pages of few distinct texts, and one page with many equal cells lose nothing."""
+    cells = "<table class=t>" + "<tr><td>0</td></tr>" * 30 + "</table>"
+    rows = [(i, "http://h/", f"<body><div class=c><p>Copy</p><p>of one</p></div>{cells}</body>") for i in range(50)]
+    want = "Copy\n\nof one" + "\n\n0" * 30
+    assert {t for _, t, _ in texts(spark, rows)} == {want}
+    near = [(i, "http://n/", f"<body><article><div class=c><p>Long text that all of them share</p></div><p>{i}</p></article></body>") for i in range(50)]
+    assert texts(spark, near)[7][1] == "Long text that all of them share\n\n7"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p data-x=it's>Hello world</p><p>don't</p><p>end</p>", "Hello world\n\ndon't\n\nend"),
+        ('<article><p title="5" tall">Main text</p>', "Main text"),
+        ("a<!-->b<!-- x --!>c</3>d</>e", "abcde"),
+        ("<p a = 'x>y' b=\"c>d\" c>z<p/x=1>q", "z\n\nq"),
+        ("<p class=a class=ad>first</p><p a=\"never closed>x</p><p>y</p>", "first\n\nx\n\ny"),
+        ("<div class='ad' class='x'>gone</div>stays &amp; &#x41;&nbsp;&eacute;", "stays & A é"),
+    ],
+)
+def test_tokeniser(spark, page, text):
+    assert texts(spark, [(1, "http://h/", page)])[0][1] == text
+
+
+def test_long_deep_and_clashing(spark):
+    """Very long and very deep pages, and columns named like computed ones."""
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    deep = "<div class=q>" * 3000 + "deep" + "</div>" * 3000
+    rows = [(1, "http://h/", long, 5, "x"), (2, "http://h/", deep, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _row long, node string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
+    assert got == {1: "\n\n".join(["word word"] * 50_000), 2: "deep"}
 
 
 def test_broken_markup_ends():

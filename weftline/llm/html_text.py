@@ -1,49 +1,61 @@
 """Main text of web pages by site style trees (operator 1).
 
-Every page is parsed once, to blocks of text with the style path (tags and classes, digits folded) of their element.
-Pages of a host are merged to its style tree: per path the number of pages, the distribution of child layouts
-(presentation) and of block texts (content). A node's importance is
+Every page is parsed once, to blocks of text under a tree of style nodes: an element's node is its parent's node and its own
+style (tag, classes, id; digits folded). Pages of a host are merged to its style tree; pages of equal content count once, and a feature
+counts once a page. Over the m pages that have a node, its
 
-    (1 - g) * entropy of its presentation variants + g * content importance,  logarithms to the base of its page count,
+* presentation importance is the entropy of the layouts of its children, logarithms to the base m,
+* content importance is 1 - the mean entropy of its block texts: a text that stands on n of the m pages has entropy log n / log m,
+* importance is (1 - GAMMA) * presentation + GAMMA * content, or the one of both that it has; 1 if m is 1,
+* composite importance is the mean of the importance of all nodes of its branch, weighted by their pages and by DECAY per level.
 
-with content importance 1 - H(text) / log(pages): a block text that stands on every page of a host has none, one that
-stands on a single page has all. Nodes of low importance that occur on enough pages are branches of the site's frame and
-are removed from each page, as are elements whose tag, role or whole class name says what they are (menus, headers, footers,
+A branch is noise if it stands on LEAST_PAGES different pages at least and neither its root nor any node in it reaches LOW. Noise is
+cut from every page. Besides, elements whose tag, role or whole class name says what they are go (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts, styles). Names that only hold such a word ("content-sidebar-wrap") decide
-nothing; the statistic of the host does. A class name does not hide an article or main that its element holds; articles below names
-of other articles (comments, related) are read where the page has none but these. Where a page marks its article, only that is read, and no
-statistic removes a part of it: contract and authors say that it is the text.
+nothing; the tree does. A class name does not hide an article or main that its element holds; articles below names
+of other articles (comments, related) are read where the page has none but these.
 
-The tree is made by two aggregations with map-side combination, so a host with a third of all pages is summed before it
-is shuffled; only paths of low importance travel back to the pages, never page lists, and the page side of that join is
-split by adaptive execution.
+An article's mark (article, main, their roles, articleBody) is evidence, not a way round the tree: only what is marked is read, and noise in it is cut
+where an element with a class or an id between the mark and the text makes it a part of its own. Its bare headings and paragraphs stay, and so
+does an article of which noise would take more than half, or an unmarked page of which it would take all: these are repeated pages, and no frame of others.
+
+The tree is made by aggregations with map-side combination over (host, page digest), (host, node, feature) and (host, node), so a host with a
+third of all pages is no single task. A node is aggregated to its ancestors directly, without a round per level. Only the nodes that a
+page may lose are joined with the noise; page lists are never made.
 
 Defined results: null and empty html, and html without text, give an empty text; pages that repeat an id are kept, each with its text; a
-null or odd url is the host ''; broken markup is read as far as it goes; an empty table gives no rows; other columns are
-ignored. No part of a page is capped.
+null or odd url is the host ''; broken markup is read as far as it goes (a quote that is never closed ends with its tag); an empty table gives no
+rows; other columns are ignored. No part of a page is capped; elements below DEPTH levels of style belong to the node at that depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_dir
+from weftline.llm.common import written
 
-#: A path is judged from so many pages of its host on, and removed below this importance.
-LEAST_PAGES, LOW, GAMMA = 8, 0.3, 0.9
+#: A branch is judged from so many pages of its host on, and cut below this importance.
+LEAST_PAGES, LOW, GAMMA, DECAY, DEPTH = 8, 0.3, 0.9, 0.9, 64
 
+#: An attribute as the HTML tokeniser has it: a name, and perhaps a value in double, single or no quotes; a quote inside an unquoted value or a name is one of its characters.
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _BLOCK = frozenset(
@@ -79,39 +91,66 @@ def host_of(url: str | None) -> str:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip(" /") else {}
+    """Of a name that is repeated, the first counts."""
+    found = _ATTRIBUTE.findall(text) if text.strip(" /") else ()
+    return {k.lower(): entities.unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in reversed(found)}
+
+
+class _Element:
+    """An open element: its node (key and keys of the nodes above), what is decided about it, and the styles of its child blocks."""
+
+    __slots__ = ("tag", "nodes", "skipped", "inside", "own", "children")
+
+    def __init__(self, tag: str, nodes: tuple[int, ...], skipped: int, inside: int, own: bool):
+        self.tag, self.nodes, self.skipped, self.inside, self.own = tag, nodes, skipped, inside, own
+        self.children: list[str] = []
+
+
+def _key(text: str, above: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), above & (1 << 63) - 1) - (1 << 63)
+
+
+class Block(NamedTuple):
+    """nodes from the root to the block's own; inside: 1 in a marked article, 2 in one of other articles, else 0; own: below a named part of an article."""
+
+    nodes: tuple[int, ...]
+    text: str
+    inside: int
+    own: bool
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
-    """(blocks (path, text, 1 inside a marked article, 2 inside one of other articles, else 0), nodes (path, layout of its children)) outside frames."""
+def parse(page: str | None) -> tuple[list[Block], dict[tuple[int, ...], str]]:
+    """(blocks, {nodes: layout of the children}) outside of frames."""
     text = page or ""
-    stack: list[list] = [["", "", _KEPT, 0, []]]  # tag, path, skipped, in article, child tags
-    blocks: list[tuple[str, str, int]] = []
-    nodes: list[tuple[str, str]] = []
+    stack = [_Element("", (0,), _KEPT, 0, False)]
+    blocks: list[Block] = []
+    layouts: dict[tuple[int, ...], str] = {}
     run: list[str] = []
+    opened: dict[str, int] = defaultdict(int)
 
     def flush() -> None:
         nonlocal run
         if run:
             words = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
             if words:
-                owner = next((e for e in reversed(stack) if e[0] in _BLOCK), stack[0])
-                blocks.append((owner[1], words, owner[3]))
+                owner = next((e for e in reversed(stack) if e.tag in _BLOCK), stack[0])
+                blocks.append(Block(owner.nodes, words, owner.inside, owner.own))
             run = []
 
     def pop() -> None:
         e = stack.pop()
-        if e[0] in _BLOCK and not e[2] and e[4]:
-            nodes.append((e[1], ",".join(e[4])))
+        opened[e.tag] -= 1
+        if e.tag in _BLOCK and not e.skipped and e.children:
+            layouts.setdefault(e.nodes, ",".join(e.children))
 
     at, size = 0, len(text)
     while at < size:
         m = _TOKEN.search(text, at)
         if m is None:
-            if not stack[-1][2]:
+            if not stack[-1].skipped:
                 run.append(text[at:])
             break
-        if m.start() > at and not stack[-1][2]:
+        if m.start() > at and not stack[-1].skipped:
             run.append(text[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -120,8 +159,8 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            if any(e[0] == tag for e in stack):
-                while stack[-1][0] != tag:
+            if opened[tag]:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
             elif tag == "p":
@@ -134,27 +173,27 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
                 flush()
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P and any(e[0] == "p" for e in stack):
-            scope = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "td", "th", "button", "object")), 0)
-            if stack[scope][0] == "p":
+        if tag in _CLOSES_P and opened["p"]:
+            scope = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("p", "td", "th", "button", "object")), 0)
+            if stack[scope].tag == "p":
                 while len(stack) > scope:
                     pop()
         if tag in _IMPLIED:
             ends, scope = _IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in scope:
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+                if stack[i].tag in scope:
                     break
-                if stack[i][0] in ends:
+                if stack[i].tag in ends:
                     while len(stack) > i:
                         pop()
                     break
         a = _attributes(m[3])
         names = f"{a.get('class', '')} {a.get('id', '')}"
         top = stack[-1]
-        style = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(a.get("class", "").split()))
+        style = tag + _DIGITS.sub("0", "".join("." + c for c in sorted(a.get("class", "").split())) + ("#" + a["id"] if a.get("id") else "")) if a else tag
         frame = (
             tag in _SKIP
-            and not (tag == "header" and top[3])
+            and not (tag == "header" and top.inside)
             or a.get("role", "").lower() in _SKIP_ROLE
             or tag == "article" and _COMMENT_NAME.search(names) is not None
             or "hidden" in a
@@ -162,18 +201,19 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
             or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None
         )
         marks = tag in _MAIN or a.get("role", "").lower() in ("main", "article") or a.get("itemprop") == "articleBody"
-        skipped, inside = top[2], top[3] or int(marks)
+        skipped, inside = top.skipped, top.inside or int(marks)
         if frame:
             skipped = _FRAME
-        elif skipped >= _NAMED and marks and all(e[0] != "article" for e in stack):  # a name does not hide an article that its element holds
+        elif skipped >= _NAMED and marks and not opened["article"]:  # a name does not hide an article that its element holds
             skipped, inside = _KEPT, 2 if skipped == _OTHERS and tag == "article" else inside
         elif not skipped and not marks and tag not in ("body", "html"):
-            named = [n for n in _SKIP_NAME.findall(names) if not (top[3] and n.lower() == "header")]
+            named = [n for n in _SKIP_NAME.findall(names) if not (top.inside and n.lower() == "header")]
             if named:
                 skipped = _OTHERS if any(_OTHERS_NAME.match(n) for n in named) else _NAMED
-        if tag in _BLOCK and not top[2]:
-            top[4].append(style) if not top[4] or top[4][-1] != style else None
-        if skipped and not top[2] and tag not in _BLOCK:
+        if tag in _BLOCK and not top.skipped:
+            if not top.children or top.children[-1] != style:
+                top.children.append(style)
+        if skipped and not top.skipped and tag not in _BLOCK:
             run.append(" ") if tag not in ("script", "style") else None
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
@@ -183,93 +223,108 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str,
             continue
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        stack.append([tag, f"{top[1]}/{style}" if tag in _BLOCK else top[1], skipped, inside, []])
+        nodes = top.nodes
+        if tag in _BLOCK and len(nodes) < DEPTH:
+            nodes = (*nodes, _key(style, nodes[-1]))
+        own = top.own or bool(inside and not marks and names.strip())
+        opened[tag] += 1
+        stack.append(_Element(tag, nodes, skipped, inside, own))
     flush()
     while stack:
         pop()
-    return blocks, nodes
+    return blocks, layouts
 
 
-def _key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode()) - (1 << 63)
+_SCHEMA = (
+    "page_id long, url string, host string, marked boolean, digest long, blocks array<struct<node:bigint,text:string,own:boolean>>,"
+    " nodes array<struct<node:bigint,above:array<bigint>>>, features array<struct<node:bigint,kind:int,feature:bigint>>"
+)
+
+
+def _row(page_id: int | None, url: str | None, page: str | None) -> tuple:
+    """A row of _SCHEMA: the blocks to read, and every node and feature of the page once."""
+    blocks, layouts = parse(page)
+    read = [b for b in blocks if b.inside == 1] or [b for b in blocks if b.inside]
+    marked = bool(read)
+    features = dict.fromkeys((b.nodes[-1], 0, _key(b.text)) for b in blocks)
+    features |= dict.fromkeys((n[-1], 1, _key(x)) for n, x in layouts.items())
+    nodes = {n[-1]: n for n in (*(b.nodes for b in blocks), *layouts)}
+    for n in list(nodes.values()):  # inner nodes too: they are parts of branches
+        for i in range(len(n) - 1, 0, -1):
+            if n[i - 1] in nodes:
+                break
+            nodes[n[i - 1]] = n[:i]
+    return (
+        page_id,
+        url,
+        host_of(url),
+        marked,
+        _key("\0".join(f"{b.nodes[-1]} {b.text}" for b in blocks)),
+        [{"node": b.nodes[-1], "text": b.text, "own": b.own or not marked} for b in (read or blocks)],
+        [{"node": k, "above": list(n)} for k, n in nodes.items()],
+        [{"node": n, "kind": k, "feature": f} for n, k, f in features],
+    )
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("path", pa.int64()), ("text", pa.string())])
-    node = pa.struct([("path", pa.int64()), ("layout", pa.int64())])
+    key, block = pa.int64(), pa.struct([("node", pa.int64()), ("text", pa.string()), ("own", pa.bool_())])
+    node, feature = pa.struct([("node", key), ("above", pa.list_(key))]), pa.struct([("node", key), ("kind", pa.int32()), ("feature", key)])
+    kinds = (key, pa.string(), pa.string(), pa.bool_(), key, pa.list_(block), pa.list_(node), pa.list_(feature))
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            texts, blocks, nodes = [], [], []
-            for page in part.column(2).to_pylist():
-                found, styles = parse(page)
-                article = [t for _, t, inside in found if inside == 1] or [t for _, t, inside in found if inside]
-                texts.append("\n\n".join(article) if article else None)
-                blocks.append([{"path": _key(p), "text": t} for p, t, inside in found if not inside])
-                nodes.append([{"path": _key(p), "layout": _key(s)} for p, s in styles])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([host_of(u) for u in part.column(1).to_pylist()], pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array(blocks, pa.list_(kind)),
-                    pa.array(nodes, pa.list_(node)),
-                ],
-                names=["page_id", "url", "host", "text", "blocks", "nodes"],
-            )
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            rows = [_row(*x) for x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+            names = ["page_id", "url", "host", "marked", "digest", "blocks", "nodes", "features"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, text (of a marked article, else null), blocks array<struct<path, text>> outside it, nodes array<struct<path, layout>>."""
-    return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    ).mapInArrow(
-        _parsed,
-        "page_id long, url string, host string, text string, blocks array<struct<path:bigint,text:string>>, nodes array<struct<path:bigint,layout:bigint>>",
-    )
+    """One row a page: what is read of it (own: whether noise is cut there), and the nodes and features that it adds to the host's tree."""
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return held.mapInArrow(_parsed, _SCHEMA)
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """host, path, pages, importance of every style node of the hosts' merged trees."""
-    content = parsed.select("host", F.explode("blocks").alias("b")).select(
-        "host", F.col("b.path").alias("path"), F.lit(0).alias("kind"), F.xxhash64("b.text").alias("feature")
-    )
-    layout = parsed.select("host", F.explode("nodes").alias("n")).select("host", F.col("n.path").alias("path"), F.lit(1).alias("kind"), F.col("n.layout").alias("feature"))
-    counts = content.unionByName(layout).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
-    # Each text is taken to stand on n pages: its entropy over them is log n.
-    sums = counts.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("blocks"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("h"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("layouts"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("l"),
-    )
-    pages = F.greatest(F.coalesce("blocks", F.lit(0)), F.coalesce("layouts", F.lit(0)))
-    base = F.log(F.greatest(pages, F.lit(2)).cast("double"))
-    content_part = F.when(F.col("blocks") > 0, 1 - F.col("h") / F.col("blocks") / base)
-    presentation = F.when(F.col("layouts") > 0, (F.log(F.col("layouts").cast("double")) - F.col("l") / F.col("layouts")) / base)
-    return sums.select(
-        "host",
-        "path",
-        pages.alias("pages"),
-        F.when(content_part.isNull(), presentation)
-        .when(presentation.isNull(), content_part)
-        .otherwise((1 - GAMMA) * presentation + GAMMA * content_part)
-        .alias("importance"),
+    """host, node, above (nodes from the root to it), pages, importance, composite, branch (largest composite in its branch) of every style node."""
+    once = parsed.groupBy("host", "digest").agg(F.first("nodes").alias("nodes"), F.first("features").alias("features"))
+    pages = once.select("host", F.explode("nodes").alias("n")).groupBy("host", F.col("n.node").alias("node")).agg(F.count(F.lit(1)).alias("pages"), F.first("n.above").alias("above"))
+    counts = once.select("host", F.explode("features").alias("f")).groupBy("host", "f.node", "f.kind", "f.feature").agg(F.count(F.lit(1)).alias("n"))
+    content, layout = F.col("kind") == 0, F.col("kind") == 1
+    sums = counts.groupBy("host", "node").agg(
+        F.sum(F.when(content, F.col("n"))).alias("texts"),
+        F.sum(F.when(content, F.col("n") * F.log("n"))).alias("h"),
+        F.sum(F.when(layout, F.col("n"))).alias("layouts"),
+        F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("l"),
     )
+    base = F.log(F.greatest("pages", F.lit(2)).cast("double"))
+    content_part = 1 - F.col("h") / F.col("texts") / base
+    # Layouts are counted once a page, so their entropy over pages is log m less the mean of log n.
+    presentation = (F.log(F.col("layouts").cast("double")) - F.col("l") / F.col("layouts")) / base
+    both = (1 - GAMMA) * presentation + GAMMA * content_part
+    own = F.when(F.col("pages") == 1, F.lit(1.0)).otherwise(F.coalesce(both, content_part, presentation, F.lit(0.0)))
+    nodes = pages.join(sums, ["host", "node"], "left").select("host", "node", "above", "pages", own.alias("importance"))
+    up = nodes.select("host", "pages", "importance", F.size("above").alias("depth"), F.posexplode("above").alias("level", "top"))
+    weight = F.col("pages") * F.pow(F.lit(DECAY), F.col("depth") - 1 - F.col("level"))
+    composite = up.groupBy("host", F.col("top").alias("node")).agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("composite"))
+    scored = nodes.join(composite, ["host", "node"])
+    branch = scored.select("host", "composite", F.explode("above").alias("node")).groupBy("host", "node").agg(F.max("composite").alias("branch"))
+    return scored.join(branch, ["host", "node"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages."""
-    spark = pages.sparkSession
-    parsed_pages(pages).write.option("compression", "zstd").parquet(path := f"{shared_dir(spark)}/parsed")
-    parsed = spark.read.parquet(path)
-    frame = (
-        style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("_frame"))
-    )
-    # Pages that mark their article are done; only the others meet their host's tree, and are shuffled for it.
-    marked = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
-    joined = parsed.where("text IS NULL").select("page_id", "url", "host", "blocks").join(frame, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("_frame", b["path"]), F.lit(False)))
-    judged = joined.select("page_id", "url", F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"), F.lit("")).alias("text"))
-    return marked.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+    """page_id, url, text, n_chars of every row of pages; low = 0 switches the tree off."""
+    parsed = written(parsed_pages(pages).withColumn("_row", F.monotonically_increasing_id()))
+    noise = style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("branch") < low)).select("host", "node")
+    asked = parsed.select("_row", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["own"]), lambda b: b["node"]))).alias("node"))
+    cut = asked.join(noise, ["host", "node"]).groupBy("_row").agg(F.collect_set("node").alias("_cut"))  # some of a page's own nodes
+    joined = parsed.select("_row", "page_id", "url", "marked", "blocks").join(cut, "_row", "left")
+    stays = F.filter("blocks", lambda b: ~(b["own"] & F.array_contains("_cut", b["node"])))
+
+    def chars(blocks) -> Column:
+        return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+
+    repeated = F.when(F.col("marked"), 2 * chars(F.col("_stays")) < chars(F.col("blocks"))).otherwise(F.size("_stays") == 0)
+    judged = joined.withColumn("_stays", F.when(F.col("_cut").isNull(), F.col("blocks")).otherwise(stays))
+    read = F.when(F.col("_cut").isNotNull() & repeated, F.col("blocks")).otherwise(F.col("_stays"))
+    texts = judged.select("page_id", "url", F.array_join(F.transform(read, lambda b: b["text"]), "\n\n").alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
