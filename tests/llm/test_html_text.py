@@ -113,6 +113,8 @@ def test_tree_decides_inside_marked_articles(spark):
     assert [t for _, t, _ in texts(spark, rows)] == [f"Same title\n\nText {i} of a page\n\nShared end" for i in sorted(range(40))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["text"].count("Our offers") for r in html_text.main_texts(pages, low=0.0).collect()} == {1}
+    both = [sorted(map(str, html_text.main_texts(pages, most_broadcast=n).collect())) for n in (0, 1000)]
+    assert both[0] == both[1]
 
 
 def test_repeated_pages_are_no_frame(spark):

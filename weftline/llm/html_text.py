@@ -20,8 +20,8 @@ where an element with a class or an id between the mark and the text makes it a
 does an article of which noise would take more than half, or an unmarked page of which it would take all: these are repeated pages, and no frame of others.
 
 The tree is made by aggregations with map-side combination over (host, page digest), (host, node, feature) and (host, node), so a host with a
-third of all pages is no single task. A node is aggregated to its ancestors directly, without a round per level. Only the nodes that a
-page may lose are joined with the noise; page lists are never made.
+third of all pages is no single task. A node is aggregated to its ancestors directly, without a round per level. Noise is counted, and
+broadcast up to MOST_BROADCAST rows; beyond, the nodes that a page may lose are joined with it. Page lists are never made.
 
 Defined results: null and empty html, and html without text, give an empty text; pages that repeat an id are kept, each with its text; a
 null or odd url is the host ''; broken markup is read as far as it goes (a quote that is never closed ends with its tag); an empty table gives no
@@ -45,6 +45,8 @@ from weftline.llm.common import written
 
 #: A branch is judged from so many pages of its host on, and cut below this importance.
 LEAST_PAGES, LOW, GAMMA, DECAY, DEPTH = 8, 0.3, 0.9, 0.9, 64
+#: Rows (host, node) of noise that are counted and then broadcast; more are joined with the pages that may lose them.
+MOST_BROADCAST = 200_000
 
 #: An attribute as the HTML tokeniser has it: a name, and perhaps a value in double, single or no quotes; a quote inside an unquoted value or a name is one of its characters.
 _NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++"
@@ -311,13 +313,19 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     return scored.join(branch, ["host", "node"])
 
 
-def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
+def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages; low = 0 switches the tree off."""
     parsed = written(parsed_pages(pages).withColumn("_row", F.monotonically_increasing_id()))
-    noise = style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("branch") < low)).select("host", "node")
-    asked = parsed.select("_row", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["own"]), lambda b: b["node"]))).alias("node"))
-    cut = asked.join(noise, ["host", "node"]).groupBy("_row").agg(F.collect_set("node").alias("_cut"))  # some of a page's own nodes
-    joined = parsed.select("_row", "page_id", "url", "marked", "blocks").join(cut, "_row", "left")
+    noise = written(style_tree(parsed).where((F.col("pages") >= least_pages) & (F.col("branch") < low)).select("host", "node"))
+    safe = ~F.exists("blocks", lambda b: b["own"])
+    held = parsed.select("_row", "page_id", "url", "host", "marked", "blocks")
+    if noise.count() <= most_broadcast:
+        by_host = noise.groupBy("host").agg(F.collect_set("node").alias("_cut"))
+        joined = held.join(F.broadcast(by_host), "host", "left")
+    else:
+        asked = held.select("_row", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["own"]), lambda b: b["node"]))).alias("node"))
+        cut = asked.join(noise, ["host", "node"]).groupBy("_row").agg(F.collect_set("node").alias("_cut"))  # some of a page's own nodes
+        joined = held.where(~safe).join(cut, "_row", "left").unionByName(held.where(safe).withColumn("_cut", F.lit(None).cast("array<bigint>")))
     stays = F.filter("blocks", lambda b: ~(b["own"] & F.array_contains("_cut", b["node"])))
 
     def chars(blocks) -> Column:
