@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
+
 from weftline.llm import decontaminate as D
 
 
@@ -91,3 +94,55 @@ def test_long_text_in_pieces(spark, monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([text])], names=["doc_id", "text"])
         rows = [r for b in D._scan(items)(iter([batch])) for r in b.to_pylist()]
         assert min((r["distance"], r["doc_id"], r["item_id"]) for r in rows) == (0, 9, 1), at
+
+
+def planted(rng, items, n):
+    """Texts of real words that hold an item edited up to its threshold, with the item's number."""
+    every = [w for _, t in items for w in t.split()]
+    for _ in range(n):
+        k = rng.randrange(len(items))
+        w = items[k][1].split()
+        for _ in range(D.allowed(len(w))):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            if kind == 0:
+                w[at] = rng.choice(every)
+            elif kind == 1:
+                w.insert(at, rng.choice(every))
+            elif len(w) > 1:
+                w.pop(at)
+        yield k, [rng.choice(every) for _ in range(rng.randint(0, 30))] + w + [rng.choice(every) for _ in range(rng.randint(0, 30))]
+
+
+def recall(items, found, n=3000, seed=11):
+    hits = 0
+    for k, text in planted(random.Random(seed), items, n):
+        words = np.array([0] * (found.longest + 1) + [found.vocabulary.get(w.encode(), 0) for w in text] + [0] * (found.longest + 1))
+        hits += any(j == k for _, j, _ in found.search(words, np.zeros(len(words), int)))
+    return hits / n
+
+
+def test_recall_of_the_buckets_reaches_the_target(sf_dir):
+    """On the driver's items with as many edits as the threshold allows, by words of the items, unlike those of the calibration."""
+    items = [(r["item_id"], r["text"].lower()) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist() if r["text"]]
+    found = D.Items(items)
+    assert not any(c.exact for c in found.classes)
+    assert recall(items, found) >= D.TARGET - 0.002
+    assert recall(items, D.Items(items, target=0.5), 500) < 0.99  # the buckets decide
+
+
+def test_class_out_of_repetitions_is_searched_exactly(sf_dir, monkeypatch):
+    monkeypatch.setattr(D, "MOST_REPEATS", 1)
+    items = [(r["item_id"], r["text"].lower()) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist() if r["text"]][:40]
+    found = D.Items(items)
+    assert all(c.exact for c in found.classes)
+    assert recall(items, found, 200) == 1.0
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(4, 20)))) for k in range(30)]
+    docs = [(k, items[k % 30][1] + " z z " + items[(k + 7) % 30][1]) for k in range(50)]
+    one = run(spark, docs, items)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    assert run(spark, docs, items) == one
+    assert all((k, k % 30) in one for k in range(50))

@@ -3,15 +3,18 @@
 A document leaks an item if some window of its words is within edit distance ``floor(0.2 * n)`` of the item's n words
 (similarity 0.8 at least); words are compared lower-cased (A-Z) and cut at ASCII white space.
 
-1. Items are read in blocks of bounded size; a block's words, and nothing of the documents, goes to the workers.
-2. An item that may differ in e words is cut into e + 1 runs; by the pigeonhole principle one run stands unchanged in any
-   leaking window. Windows of the item's size are opened around each such run, for all shifts that e edits allow, and
-   those that hold too few of the item's words are dropped. Both steps lose nothing.
-3. The windows are embedded by CGK random walks: step j writes the word under the pointer and a random bit of (j, word)
-   says whether the pointer moves on, so edit distance becomes Hamming distance. Repeated bit sampling compares a
-   few places of window and item; a window that agrees in any repetition is a candidate. The number of repetitions comes
-   from items edited at random up to the threshold, so that TARGET of them are found.
-4. Candidates are verified by exact edit distance (free ends), and the best window per document and item is returned.
+1. Items are read in blocks of bounded size, and those of like length are a class. A block's words, and nothing of the documents, goes to
+   the workers; its findings are written before the next block is read.
+2. Every place of a text begins a window of the item's size. Windows that hold fewer words of the class's items than any match must are
+   passed over; this loses nothing.
+3. The others are embedded by CGK random walks: step j writes the word under the pointer, and a random bit of (j, word)
+   says whether the pointer moves on, so edit distance becomes Hamming distance. Each repetition has a walk and a few sampled places of
+   its own; the words written there are the window's bucket, and the items of the same bucket are its candidates. The walk up to
+   place p reads p + 1 words at most, so with places below the class's smallest size a bucket is that of all its window sizes.
+4. The number of repetitions is calibrated per class: items edited at random up to the threshold, with words of the block, stand between other
+   such words, and repetitions are added until TARGET of them share a bucket with their original from some window. A class that would
+   need over MOST_REPEATS takes every window of step 2 as a candidate instead, so the target is never missed in silence.
+5. Candidates of one item that overlap are one area, whose best window is found by exact edit distance with free ends.
 
 Defined results: null and empty texts and items match nothing; rows that repeat a doc_id count as one document, items that repeat an
 item_id as one item with the best match; empty tables give no rows; other columns are ignored. Long texts are handled
@@ -20,20 +23,25 @@ whole, in pieces that overlap by the longest window.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import shared_dir
+
 RATE, TARGET = 0.2, 0.999
-SAMPLES, WALK = 2, 3
-#: Words of items that one pass over the documents takes to the workers, and the most repetitions.
-BLOCK_WORDS, MOST_REPEATS = 2_000_000, 256
-#: Random edits of each calibration item, at most 100 items.
-TRIALS = 12
+#: Sampled places of a repetition; repetitions beyond which a class is searched without buckets.
+SAMPLES, MOST_REPEATS = 3, 1024
+#: The longest item of a class has so many times the words of its shortest.
+SPREAD = 1.25
+#: Words of items that one pass over the documents takes to the workers.
+BLOCK_WORDS = 2_000_000
+#: Edited items of a class that the repetitions are calibrated with.
+TRIALS = 4000
 #: Words of documents that one vector step looks at.
 STEP_WORDS = 1_000_000
 
@@ -53,20 +61,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def embed(windows: np.ndarray, seed: int, last: int) -> np.ndarray:
-    """CGK walk over each row of word numbers up to output place `last`; zero stands for the end."""
-    rows, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
-    at, out = np.zeros(rows, np.int64), np.zeros((rows, last + 1), windows.dtype)
-    first = np.arange(rows) * (n + 1)
-    flat = padded.ravel()
-    for j in range(last + 1):
-        if j % 64 == 0:  # 64 random bits of each (step block, word)
-            moves = _mix(flat.astype(np.uint64) + np.uint64((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-        place = first + at
-        out[:, j] = flat[place]
-        at = np.minimum(at + (moves[place] >> (j % 64) & 1), n)
-    return out
+def buckets(words: np.ndarray, starts: np.ndarray, repetition: int, places: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The bucket of the window at each start: a hash of the words that the repetition's CGK walk writes at the sampled places.
+
+    The text goes on for places[-1] words after each start; a walk takes 64 random bits of each word per 64 steps.
+    """
+    at, key, k = starts.copy(), np.zeros(len(starts), np.uint64), 0
+    numbers = np.arange(vocabulary + 1, dtype=np.uint64)
+    for j in range(int(places[-1]) + 1):
+        if j % 64 == 0:
+            moves = _mix(numbers + np.uint64((repetition * 1_000_003 + j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        here = words[at]
+        if j == places[k]:
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + here.astype(np.uint64) + np.uint64(1))
+            k += 1
+        at += (moves[here] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
+    return key
+
+
+@dataclass
+class Class:
+    """Items of like length: their numbers, smallest and largest size, words that a window must hold, and the places of each repetition."""
+
+    members: list[int]
+    least: int
+    most: int
+    need: int
+    known: np.ndarray
+    places: list[np.ndarray] = field(default_factory=list)
+    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    exact: bool = False
 
 
 class Items:
@@ -81,118 +105,137 @@ class Items:
                 numbers = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
                 self.items.append((item, numbers, allowed(len(w), rate)))
         self.longest = max((len(w) + 2 * e for _, w, e in self.items), default=0)
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, w, e) in enumerate(self.items):
-            bounds = [len(w) * i // (e + 1) for i in range(e + 2)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                q = min(b - a, 4)  # a part of an unchanged run is unchanged
-                seeds[q][int(self.grams(w[a : a + q], q)[0])].append((k, a))
-        self.seeds = {q: dict(x) for q, x in seeds.items()}
-        self.keys = {q: np.array(sorted(x), np.uint64) for q, x in self.seeds.items()}
-        self.repeats = self.calibrated(rate, target)
-        self.plans = [self.plan(len(w)) for _, w, _ in self.items]
-
-    @staticmethod
-    def grams(words: np.ndarray, q: int) -> np.ndarray:
-        """A hash of each run of q words; equal hashes are verified later."""
-        x = words.astype(np.uint64)
-        n, h = len(x) - q + 1, np.uint64(0)
-        for i in range(q):
-            h = _mix(x[i : i + n] + h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q))
-        return h
-
-    def plan(self, n: int) -> list[tuple[int, np.ndarray]]:
-        """(seed, sampled places) of each repetition. Places stay in the first half of the walk, where fewer edits have met it."""
-        rng = np.random.default_rng(n)
-        return [(r + 1, np.sort(rng.choice(max(SAMPLES, WALK * n // 2), SAMPLES, replace=False))) for r in range(self.repeats)]
-
-    def calibrated(self, rate: float, target: float) -> int:
-        """Repetitions by which `target` of randomly edited items share a bucket with their original."""
-        rng, first = np.random.default_rng(7), []
-        for _, w, e in self.items[:: max(1, len(self.items) // 100)]:
-            if not e:
-                continue
-            edited = np.zeros((TRIALS, len(w)), np.int64)
-            for row in edited:
-                x = w.tolist()
-                for _ in range(e):
-                    at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
-                    if kind == 0:
-                        x[at] = 0
-                    elif kind == 1:
-                        x.insert(at, 0)
-                    elif len(x) > 1:
-                        x.pop(at)
-                row[: min(len(x), len(w))] = x[: len(w)]
-            self.repeats = MOST_REPEATS
-            hit = np.full(TRIALS, MOST_REPEATS)
-            for i, (seed, p) in enumerate(self.plan(len(w))):
-                rest = np.flatnonzero(hit == MOST_REPEATS)
-                if not len(rest):
-                    break
-                same = embed(edited[rest], seed, int(p[-1]))[:, p] == embed(w[None, :], seed, int(p[-1]))[:, p]
-                hit[rest[same.all(axis=1)]] = i
-            first += (hit + 1).tolist()
-        return int(min(MOST_REPEATS, np.quantile(first, target, method="higher"))) if first else 1
-
-    def search(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row of owner, item index, distance, place of the window's end); words: numbers, with room of zeros between texts."""
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for q, keys in self.keys.items():
-            if len(words) < q:
-                continue
-            h = self.grams(words, q)
-            live = np.flatnonzero(words[: len(h)] > 0)
-            at = np.searchsorted(keys, h[live])
-            hits = live[keys[np.minimum(at, len(keys) - 1)] == h[live]]
-            if len(hits):
-                order = np.argsort(h[hits], kind="stable")
-                hits = hits[order]
-                cuts = np.flatnonzero(np.r_[True, h[hits][1:] != h[hits][:-1], True])
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for k, offset in self.seeds[q][int(h[hits[a]])]:
-                        found[k].append(hits[a:b] - offset)
-        for k, starts in found.items():
+        self.classes: list[Class] = []
+        for k in sorted(range(len(self.items)), key=lambda k: len(self.items[k][1])):
+            _, w, e = self.items[k]
+            c = self.classes[-1] if self.classes else None
+            if c is None or len(w) > SPREAD * c.least or (e == 0) != (self.items[c.members[0]][2] == 0):
+                c = Class([], len(w), 0, len(w) - e, np.zeros(len(self.vocabulary) + 1, bool))
+                self.classes.append(c)
+            c.members.append(k)
+            c.most, c.need = len(w) + e, min(c.need, len(w) - e)
+            c.known[w] = True
+        for c in self.classes:
+            self.calibrate(c, target)
+
+    def places(self, c: Class, repetition: int) -> np.ndarray:
+        rng = np.random.default_rng([c.least, repetition])
+        return np.sort(rng.choice(c.least, min(SAMPLES, c.least), replace=False))
+
+    def live(self, c: Class, words: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold enough words of the class's items."""
+        sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(c.known[words], dtype=np.int32)])
+        n = len(words)
+        ends = np.minimum(np.arange(n) + c.most, n)
+        return np.flatnonzero(sums[ends] - sums[:n] >= c.need)
+
+    def own_keys(self, c: Class, repetition: int, places: np.ndarray) -> np.ndarray:
+        """The buckets of the class's items."""
+        words = np.concatenate([self.items[k][1] for k in c.members])
+        sizes = np.array([len(self.items[k][1]) for k in c.members])
+        return buckets(words, np.cumsum(sizes) - sizes, repetition, places, len(self.vocabulary))
+
+    def calibrate(self, c: Class, target: float) -> None:
+        """Add repetitions until `target` of randomly edited items share a bucket with their original."""
+        rng = np.random.default_rng(7)
+        every = np.concatenate([w for _, w, _ in self.items])
+        owner, parts, begin, at = rng.integers(0, len(c.members), TRIALS if self.items[c.members[0]][2] else 1), [], [], 0
+        for o in owner.tolist():
+            _, w, e = self.items[c.members[o]]
+            x = w.tolist()
+            for place, kind, new in zip(rng.random(e).tolist(), rng.integers(0, 3, e).tolist(), every[rng.integers(0, len(every), e)].tolist(), strict=True):
+                i = int(place * len(x))
+                if kind == 0:
+                    x[i] = new
+                elif kind == 1:
+                    x.insert(i, new)
+                elif len(x) > 1:
+                    x.pop(i)
+            around = every[rng.integers(0, len(every), c.most + c.least)]
+            parts += [around[: c.most - c.least + 1], np.array(x, np.int64), around]
+            begin.append(at + c.most - c.least + 1)
+            at += c.most - c.least + 1 + len(x) + len(around)
+        words = np.concatenate([*parts, np.zeros(c.most, np.int64)])
+        lived = np.zeros(len(words), bool)
+        lived[self.live(c, words)] = True
+        trial, shift = np.repeat(np.arange(len(owner)), 2 * (c.most - c.least) + 1), np.tile(np.arange(c.least - c.most, c.most - c.least + 1), len(owner))
+        starts = np.array(begin)[trial] + shift
+        edits_of = np.array([self.items[k][2] for k in c.members])[owner]
+        near = lived[starts] & (np.abs(shift) <= edits_of[trial])
+        trial, starts, missed = trial[near], starts[near], np.ones(len(owner), bool)
+        for r in range(MOST_REPEATS):
+            places = self.places(c, r)
+            own = self.own_keys(c, r, places)
+            order = np.argsort(own, kind="stable")
+            c.places.append(places)
+            c.keys.append((own[order], np.array(c.members)[order]))
+            hit = buckets(words, starts, r, places, len(self.vocabulary)) == own[owner[trial]]
+            missed[trial[hit]] = False
+            rest = missed[trial]
+            trial, starts = trial[rest], starts[rest]
+            if missed.sum() <= (1 - target) * len(owner):
+                return
+        c.exact, c.places, c.keys = True, [], []
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item number, start), ordered, of all windows that share a bucket with an item."""
+        found, n = [], len(words)
+        for c in self.classes:
+            starts = self.live(c, words)
+            starts = starts[starts + c.least <= n]
+            if c.exact:
+                found += [k * n + starts for k in c.members]
+            for r, (places, (keys, items)) in enumerate(zip(c.places, c.keys, strict=True)):
+                if len(starts):
+                    b = buckets(words, starts, r, places, len(self.vocabulary))
+                    low, high = np.searchsorted(keys, b, "left"), np.searchsorted(keys, b, "right")
+                    got = np.flatnonzero(high > low)
+                    count = (high - low)[got]
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    found.append(items[np.repeat(low[got], count) + step] * n + np.repeat(starts[got], count))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pairs // max(n, 1), pairs % max(n, 1)
+
+    def search(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row of owner, item number, distance) of every match; words: numbers, with room of zeros before, between and after texts."""
+        items, starts = self.candidates(words)
+        cuts = np.flatnonzero(np.r_[True, items[1:] != items[:-1], True]) if len(items) else np.zeros(0, np.int64)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            k, own = int(items[a]), starts[a:b]
             _, item, e = self.items[k]
             n = len(item)
-            begin = np.unique(np.concatenate(starts))
             known = np.zeros(len(self.vocabulary) + 1, bool)
             known[item] = True
-            for block in range(0, len(begin), 2_000):
-                some = begin[block : block + 2_000]
-                region = some[:, None] + np.arange(-e, n + e)[None, :]
-                inside = (region >= 0) & (region < len(words))
-                area = np.where(inside, words[np.clip(region, 0, len(words) - 1)], 0)
-                keep = known[area].sum(axis=1) >= n - e
-                if not keep.any():
-                    continue
-                some, area = some[keep], area[keep]
-                near = np.zeros(len(some), bool)
-                for seed, places in self.plans[k]:
-                    target = embed(item[None, :], seed, int(places[-1]))[0, places]
-                    rest = np.flatnonzero(~near)
-                    if not len(rest):
-                        break
-                    shifted = np.lib.stride_tricks.sliding_window_view(area[rest], n, axis=1)
-                    got = embed(shifted.reshape(-1, n), seed, int(places[-1]))[:, places]
-                    near[rest] = (got == target).all(axis=1).reshape(len(rest), -1).any(axis=1)
-                for i in np.flatnonzero(near):
-                    distance, end = edits(item, area[i])
+            sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(known[words], dtype=np.int32)]) if len(own) * n > len(words) else None
+            low, high = np.maximum(own - e, 0), np.minimum(own + n + e, len(words))
+            if sums is not None:
+                held = sums[high] - sums[low]
+            else:
+                area = np.minimum(low[:, None] + np.arange(n + 2 * e)[None, :], len(words) - 1)
+                held = (known[words[area]] & (area < high[:, None])).sum(axis=1)
+            enough = held >= n - e
+            low, high = low[enough], high[enough]
+            if not len(low):
+                continue
+            first = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])  # windows that overlap are one area
+            last = np.r_[first[1:] - 1, len(low) - 1]
+            for i, j in zip(low[first].tolist(), high[last].tolist(), strict=True):
+                inside = owner[i:j]
+                for o in range(int(inside.min()), int(inside.max()) + 1):  # rooms keep texts apart, so this is one text but for its rooms
+                    distance = edits(item, words[i:j][inside == o])
                     if distance <= e:
-                        place = int(some[i]) - e + end
-                        yield int(owner[min(max(int(some[i]), 0) + n // 2, len(owner) - 1)]), k, distance, place
+                        yield o, k, distance
 
 
-def edits(item: np.ndarray, area: np.ndarray) -> tuple[int, int]:
-    """(smallest edit distance between the item and a window of the area, the window's end)."""
+def edits(item: np.ndarray, area: np.ndarray) -> int:
+    """Smallest edit distance between the item and a window of the area."""
     row, places = np.zeros(len(area) + 1, np.int64), np.arange(len(area) + 1)
     for i, w in enumerate(item.tolist(), 1):
         new = np.empty_like(row)
         new[0] = i
         new[1:] = np.minimum(row[:-1] + (area != w), row[1:] + 1)
         row = np.minimum.accumulate(new - places) + places
-    end = int(np.argmin(row))
-    return int(row[end]), end
+    return int(row.min())
 
 
 def _scan(items: Items):
@@ -206,7 +249,7 @@ def _scan(items: Items):
             owner = np.repeat(np.arange(len(arrays)), sizes)
             owner = np.r_[owner, np.full(room, len(arrays) - 1)]
             best: dict[tuple[int, int], int] = {}
-            for row, k, distance, _ in items.search(words, owner):
+            for row, k, distance in items.search(words, owner):
                 key = (owners[row], items.items[k][0])
                 best[key] = min(best.get(key, distance), distance)
             if best:
@@ -250,16 +293,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, target: float = TARGET) -> DataFrame:
     """doc_id, item_id, distance (words) for every document and item within the threshold."""
+    spark = docs.sparkSession
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema, found = "doc_id long, item_id long, distance long", None
-    for block in _blocks(benchmark):
+    schema, path = "doc_id long, item_id long, distance long", f"{shared_dir(spark)}/leaks"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in _blocks(benchmark):  # one block's items at a time are in memory
         items = Items(block, rate, target)
         if items.items:
-            one = held.mapInArrow(_scan(items), schema)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+            held.mapInArrow(_scan(items), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
