@@ -69,3 +69,12 @@ def test_other_template(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     out = C.formatted(df, t)
     assert out.select(C.parsed(F.col("formatted"), t).alias("x")).first()["x"][0]["text"] == "hi"
+
+
+def test_loss_flags_and_read_back_agree(spark):
+    rows = [(1, i, role, t) for i, (role, t) in enumerate((r, t) for r in ("user", "assistant", "<|im_start|>assistant") for t in NASTY)]
+    out = C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    row = out.select("segments", "formatted", C.loss_text(C.parsed(F.col("formatted"))).alias("loss")).first()
+    assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
+    flagged = "".join(s["text"] for s in row["segments"] if s["loss"])
+    assert spark.range(1).select(C.unescape(F.lit(flagged)).alias("t")).first()["t"] == row["loss"] == "".join(t or "" for t in NASTY)

@@ -140,6 +140,27 @@ def test_best_path(texts):
         assert score == pytest.approx(brute_best(p, lib, " " + t.replace(P.MARK, " ")), rel=1e-9), repr(t)[:60]
 
 
+def test_memory_of_segments_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_BYTES", 20_000)
+    p, fresh, rng = P.Pieces(MODEL), P.Pieces(MODEL), random.Random(6)
+    for _ in range(30):
+        t = " ".join("".join(rng.choice("abcdeé中") for _ in range(rng.choice([3, 8, 2000]))) for _ in range(30))
+        assert p.encode(t) == b"".join(np.array(fresh.best(s), "<i4").tobytes() for s in P._SEGMENTS.findall(" " + t))
+        assert p.held <= 22_500 and sum(len(s) + len(g) for s, g in p.cache.items()) <= p.held
+
+
+def test_very_long_text(spark):
+    """Over a million characters, with and without spaces, in one text."""
+    long = ["lorem ipsum dolor " * 70_000, "ab中" * 40_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert {r["text"] for r in P.decoded(P.encoded(df, MODEL), MODEL).collect()} == set(long)
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(VOCABULARY)
+    got = {r["doc_id"]: r["n_tokens"] for r in T.token_table(df, VOCABULARY).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(long)}
+
+
 def test_round_trip(spark, texts):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(*r, [1]) for r in rows], "doc_id long, text string, ids array<int>")

@@ -119,15 +119,15 @@ def probe(spark: SparkSession) -> DataFrame:
     )
 
 
+def loss_text(turns: Column, template: Template = Template()) -> Column:
+    """The text under the loss of turns that :func:`parsed` read back: whose roles the template names."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.loss_roles)), lambda t: t["text"]), "")
+
+
 def digest(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and valid, read back from the output."""
-    back = formatted(conversations).select(
-        "conv_id",
-        "valid",
-        "formatted",
-        parsed(F.col("formatted")).alias("_turns"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("_loss"),
-    )
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and valid; turns and loss are read back from the formatted text alone."""
+    read = formatted(conversations).select("conv_id", "valid", "formatted", parsed(F.col("formatted")).alias("_turns"))
+    back = read.withColumn("_loss", loss_text(F.col("_turns")))
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import checkpointed as cut
+from weftline.session import scratch_dir, written
+
+__all__ = ["BLANKS", "BLANK_RUN", "table", "shared_dir", "cut", "written", "parts", "with_columns_of"]
+
 #: White space of the word rule: everything outside ``[^\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
@@ -21,26 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: lineage ends, a lost executor costs no rerun."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.dirname(shared_dir(spark)))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same by a compressed table in the shared folder: for large intermediate tables of numbers."""
-    df.write.option("compression", "zstd").parquet(path := f"{shared_dir(df.sparkSession)}/table")
-    return df.sparkSession.read.parquet(path)
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset in a local session (tests)."""
+    return scratch_dir(spark)
 
 
 def parts(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ remaining third, the rows that it covers are removed, and the next rule is grown
 ``CASE WHEN`` expression, which Spark evaluates beside the statistics.
 
 Defined results: null and empty texts have zero in all counts and fail the base rule; repeated rows are scored each for
-itself; an empty table gives an empty result; without labels of both classes the list is empty and keeps every row that
+itself (in learning, documents that share an id are one: that of the least statistics); an empty table gives an empty result; without labels of both classes the list is empty and keeps every row that
 passes the base rule. Input columns other than the id and the text are ignored by :func:`statistics`.
 """
 
@@ -210,8 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Decisio
     )
     # At most fit_rows pairs of numbers: a proven bound for the broadcast.
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    stats = statistics(known).join(F.broadcast(sample), "doc_id")
-    rows = stats.select("doc_id", *[F.expr(e).alias(k) for k, e in FEATURES.items()], (F.col("_quality") < 1).alias("bad")).collect()
+    features = F.struct(*[F.expr(e).alias(k) for k, e in FEATURES.items()])
+    # Documents that share an id are one row, so that no more than fit_rows come back.
+    once = statistics(known).groupBy("doc_id").agg(F.min(features).alias("f"))
+    rows = once.join(F.broadcast(sample), "doc_id").select("doc_id", "f.*", (F.col("_quality") < 1).alias("bad")).collect()
     return learn([r.asDict() for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
@@ -226,3 +228,17 @@ def passing(docs: DataFrame, rules: DecisionList) -> DataFrame:
     own = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_id"), "text")
     return score(held, rules).where("kept").select(*[F.col("doc_id").getField(c).alias(c) for c in own])
+
+
+#: DuckDB SQL of the counts and the base rule; what the learned list says has no SQL.
+STATISTICS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM t),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM k CROSS JOIN range(3) s(j) WHERE n > 1 GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""

@@ -31,6 +31,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts and its base rule, without the learned list: the part that SQL can express."""
+    counts = quality_rules.score(table(spark, sf_dir, "documents"), quality_rules.DecisionList())
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -58,8 +64,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if (k.startswith("op") or k == "quality_statistics") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secret_scan.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
+    return {"quality_statistics": quality_rules.STATISTICS_SQL, "op5_secret_scan": secret_scan.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 1_000_000
+#: Bytes of segments and their ids that a worker remembers; beyond, it forgets all and starts anew, which costs time and never a result.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 128 << 20, 160, 256
 _SEGMENTS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -63,6 +64,7 @@ class Pieces:
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.segmented = whole
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def best(self, text: str) -> list[int]:
         """Ids of the best path over one segment."""
@@ -114,12 +116,16 @@ class Pieces:
         get = self.cache.get
         got = list(map(get, segments))
         if None in got:
-            if len(self.cache) > CACHE_SEGMENTS:
-                self.cache.clear()
-            for s, g in zip(segments, got, strict=True):
-                if g is None and s not in self.cache:
-                    self.cache[s] = np.array(self.best(s), "<i4").tobytes()
-            got = [g if g is not None else self.cache[s] for s, g in zip(segments, got, strict=True)]
+            for i, (s, g) in enumerate(zip(segments, got, strict=True)):
+                if g is None and (g := get(s)) is None:
+                    g = np.array(self.best(s), "<i4").tobytes()
+                    if len(s) <= LONGEST_KEPT:  # long segments hardly come again
+                        if self.held > CACHE_BYTES:
+                            self.cache.clear()
+                            self.held = 0
+                        self.cache[s] = g
+                        self.held += 4 * len(s) + len(g) + ENTRY_BYTES
+                got[i] = g
         return b"".join(got)
 
     def decode(self, ids: np.ndarray) -> str:
