@@ -117,3 +117,14 @@ def test_redaction_covers_whole_spans(spark):
 
 def test_empty_table(spark):
     assert S.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_postings_by_brute_force(spark):
+    """One pass finds each trigram of each query in every text, overlapping ones too, and nothing else."""
+    rng, index = random.Random(9), S._index(S.RULES)
+    texts = ["".join(rng.choice([rng.choice(index), rng.choice("aAkI-_:/\\ .é\U0001f600"), rng.choice(index)[:2]]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + TEXTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["trigram"]) for r in S.postings(df).collect())
+    assert got == sorted((i, t) for i, x in enumerate(texts) for t in index if t in (x or "").lower().replace("\u0130", "i\u0307"))
+    columns = spark.createDataFrame([(1, "token=abcdefghijkl", "x", 5, "y")], "doc_id long, text string, _text string, _posted int, assign string")
+    assert S.digest(columns).first()["n_assign"] == 1

@@ -1,10 +1,11 @@
 """Secret scans with trigram queries (operator 5), native expressions only.
 
 Each rule is a regular expression. :func:`trigram_query` derives from it the Boolean query of the trigrams that every match
-must hold (AND of ORs over literal alternatives). A posting list is kept as one bit per document beside the document
-itself, so lists are intersected and united by bitwise AND and OR where the text lies, and no list and no text is
-shuffled. Only candidates are verified by the regular expression; a rule without mandatory trigrams scans every text.
-:func:`postings` gives the same index as a table of (trigram, doc_id) for other uses.
+must hold (AND of ORs over literal alternatives). One pass over a text (:func:`indexed`), led by a tree of the trigrams' characters, finds
+which of all queries' trigrams occur in it. These postings are partitioned by document, as the shards of a
+distributed index are: a document's stand beside its text as bits, one a trigram, so postings are intersected and united by bitwise AND
+and OR where the text lies, and neither postings nor texts are shuffled. Only candidates are verified by the regular
+expression; a rule without mandatory trigrams scans every text. :func:`postings` lays the same index out as rows (trigram, doc_id).
 
 Spans count code points, end exclusive. A match's start is the sum of the lengths of the gaps and matches before it, which
 ``split`` and ``regexp_extract_all`` deliver; sums are taken by blocks of 256, so texts with very many matches stay cheap.
@@ -168,29 +169,45 @@ def _index(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for t in trigrams(trigram_query(r.pattern))})
 
 
+def _tree(words: list[str]) -> str:
+    """A pattern of the words, alternatives that begin alike joined, so that a place of a text is left at its first unlike character."""
+    if "" in words or not words:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    quoted = {c: c if c.isalnum() else "\\" + c for c in heads}
+    if all(rest == [""] for rest in heads.values()):
+        return "[" + "".join(quoted.values()) + "]" if len(heads) > 1 else next(iter(quoted.values()))
+    out = [quoted[c] + _tree(rest) for c, rest in heads.items()]
+    return "(?:" + "|".join(out) + ")" if len(out) > 1 else out[0]
+
+
+def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, _text, _posted: the trigrams of the rules' queries that the lower-cased text holds, each once."""
+    index = _index(rules)
+    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    first = "[" + "".join(sorted({c if c.isalnum() else "\\" + c for t in index for c in t[:1]})) + "]"
+    # Trigrams overlap, so they are looked at and not consumed; the class in front skips the other places in one step.
+    found = F.expr(f"array_distinct(regexp_extract_all(lower(_text), {_literal(f'(?={first})(?=({_tree(index)}))')}, 1))") if index else F.array().cast("array<string>")
+    return held.withColumn("_posted", found)
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index of the rules' trigrams as (trigram, doc_id) rows."""
-    low = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), low.alias("_low"))
-    return held.select(
-        "doc_id", F.explode(F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in _index(rules)]))).alias("trigram")
-    ).select("trigram", "doc_id")
+    return indexed(docs, rules, id_col, text_col).select(F.explode("_posted").alias("trigram"), "doc_id")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and, per rule, an array of (start, end) spans named after its kind."""
     index = _index(rules)
     place = {t: i for i, t in enumerate(index)}
-    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    held = held.withColumn("_low", F.lower("_text"))
-    n_words = (len(index) + 62) // 63
     bits = []
-    for w in range(n_words):
-        terms = [
-            f"(CASE WHEN contains(_low, {_literal(t)}) THEN {1 << (place[t] - 63 * w)}L ELSE 0L END)" for t in index if place[t] // 63 == w
-        ]
-        bits.append(F.expr(" | ".join(terms)).alias(f"_bits{w}"))
-    listed = held.select("doc_id", "_text", *bits)
+    for w in range((len(index) + 62) // 63):
+        own = [t for t in index if place[t] // 63 == w]
+        cases = " ".join(f"WHEN {_literal(t)} THEN {1 << (place[t] - 63 * w)}L" for t in own)
+        bits.append(F.expr(f"aggregate(_posted, 0L, (b, t) -> b | CASE t {cases} ELSE 0L END)").alias(f"_bits{w}"))
+    listed = indexed(docs, rules, id_col, text_col).select("doc_id", "_text", *bits)
 
     def has(t: str | None) -> Column:
         return F.lit(True) if t is None else F.col(f"_bits{place[t] // 63}").bitwiseAND(F.lit(1 << (place[t] % 63))) != 0
