@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftline.llm import sentence_pieces as P
 from weftline.llm import token_files as T
 
@@ -70,9 +72,10 @@ def test_token_table(spark, texts):
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, start string, part int").repartition(5)
     got = T.token_table(df, VOCABULARY).collect()
     assert len(got) == len(rows)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
     of = {}
     start = 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes.get(r[1], 0))):
         ids = lib.encode(text or "", add_special_tokens=False).ids + [1]
         of.setdefault(doc, []).append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -94,6 +97,42 @@ def test_any_token_from_files(spark, tmp_path):
         T.token(files, len(all_ids))
 
 
+def test_files_are_addressable(spark, tmp_path):
+    """Codes lie uncompressed in the file, one segment a page: every segment's image is found there as it is."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, f"some words of {i} " * 4000) for i in range(40)], "doc_id long, text string")
+    T.write(df, path := f"{tmp_path}/t", VOCABULARY, n=2)
+    images = [bytes(r["codes"]) for r in spark.read.parquet(path).select("codes").collect()]
+    assert len(images) > 4
+    raw = b"".join(open(f, "rb").read() for f in glob.glob(f"{path}/*.parquet"))
+    assert all(i in raw for i in images)
+    meta = pq.ParquetFile(glob.glob(f"{path}/*.parquet")[0]).metadata.row_group(0)
+    codes = next(meta.column(i) for i in range(meta.num_columns) if meta.column(i).path_in_schema == "codes")
+    assert codes.compression == "UNCOMPRESSED" and not codes.has_dictionary_page and codes.has_offset_index
+
+
+def test_memory_of_words_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_BYTES", 20_000)
+    code, rng = T.WordEncoder(VOCABULARY), random.Random(6)
+    for _ in range(20):
+        before = code.held
+        code.encode([" ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(40))])
+        assert code.held <= max(before, 20_000) + 40 * 800 and sum(len(k) + len(v) for k, v in code.cache.items()) <= code.held
+
+
+def test_an_id_that_all_rows_share(spark):
+    rows = [(7, f"text number {i} of many") for i in range(400)]
+    got = T.token_table(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at and r["doc_id"] == 7
+        at += r["n_tokens"]
+    assert len(got) == 400
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert T.token_table(empty, VOCABULARY).count() == 0

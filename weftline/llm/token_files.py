@@ -5,16 +5,18 @@ which ids go on; level 1 holds the next chunk of those alone, and so on. A rank
 every 512 bits, so the place of an id in the next level is one look-up and a few bit counts, and any id is read without
 decoding another (:meth:`Codes.access`).
 
-Documents are dealt by ranges of doc_id whose bounds come from a scan of the ids alone, sorted inside each partition, and
-encoded there. Segments of whole documents, about SEGMENT ids each, become the rows of Parquet files in the shared
-folder, written by Spark's committer: a lost executor repeats its partition and leaves no half file.
+Documents are dealt to ranges of (doc_id, hash of the text), sorted inside each, and encoded there, so an id that very many rows share
+is many ranges. Segments of whole documents, SEGMENT ids or one document, become the rows of Parquet files in the shared
+folder, written by Spark's committer: a lost executor repeats its partition and leaves no half file. The codes are not
+compressed, not dictionary-coded, and a page holds one segment, so that the file is addressable: a look-up by place reads the
+page index, then the bytes of one segment, and decodes nothing but the one id (:func:`token`).
 
 Every text is split at ASCII white space, plain words further at the borders of letters, digits and signs, and each
 distinct piece is encoded by the tokenizers library once per worker and cache life. The vocabulary's own pre-tokenizer
 never joins across these borders, so the ids are those of the whole text; tests compare them on odd strings.
 
 Defined results: null, empty and blank texts have the end id alone; rows that repeat a doc_id each get a place, one after
-the other; null ids come first; an empty table gives no rows; other columns are ignored.
+the other, in order of a hash of the text; null ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import parts, shared_dir
 
 END_ID = 1
-SEGMENT = 1 << 19
-#: Words that a worker remembers; beyond, it forgets all and starts anew, which costs time and never a result.
-CACHE_WORDS = 1_000_000
+SEGMENT = 1 << 16
+#: Bytes of words and their ids that a worker remembers; beyond, it forgets all and starts anew, which costs time and never a result.
+CACHE_BYTES, ENTRY_BYTES = 192 << 20, 160
 MAGIC = b"WDAC\x01"
 RANK_BITS = 512
 
@@ -60,6 +63,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.cache: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
         self.model = self.tokenizer.model
         self.plain = self._cuts_alike()
 
@@ -89,18 +93,23 @@ class WordEncoder:
                     got = run.get(p)
                     if got is None:
                         got = run[p] = self._run(p)
+                        self.held += 4 * len(p) + len(got) + ENTRY_BYTES
                     ids += got
                 cache[raw] = ids
+                self.held += len(raw) + len(ids) + ENTRY_BYTES
             else:
                 rest.append(w)
         if rest:
-            cache.update(zip([w.encode("utf-8", "surrogatepass") for w in rest], self._whole(rest), strict=True))
+            for w, ids in zip(rest, self._whole(rest), strict=True):
+                raw = w.encode("utf-8", "surrogatepass")
+                cache[raw] = ids
+                self.held += len(raw) + len(ids) + ENTRY_BYTES
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        if len(self.runs) > CACHE_WORDS:
             self.runs.clear()
+            self.held = 0
         get, got, holes, new = self.cache.get, [], [], set()
         for t in texts:
             words = (t or "").encode("utf-8", "surrogatepass").split()
@@ -231,13 +240,11 @@ def _segments(vocabulary: str, end_id: int):
             number, before, docs, sizes, held = number + 1, before + len(ids), [], [], []
             return row
 
-        part, total = 0, 0
+        part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            if b.num_rows:
-                part = b.column(0)[0].as_py()
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
-                for doc, ids in zip(piece.column(1).to_pylist(), code.encode(piece.column(2).to_pylist()), strict=True):
+                for doc, ids in zip(piece.column(0).to_pylist(), code.encode(piece.column(1).to_pylist()), strict=True):
                     held.append(ids + end)
                     docs.append(doc)
                     sizes.append(len(ids) // 4 + 1)
@@ -256,16 +263,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, n:
     spark = docs.sparkSession
     n = n or parts(spark)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # n - 1 bounds from a scan of the id column; more exact bounds would only even out the partitions further.
-    bounds = sorted(set(held.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    array = F.array(*[F.lit(int(x)).cast("long") for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(array, lambda x: x <= F.col("doc_id"))), F.lit(0)).cast("int")
-    dealt = held.select(part.alias("part"), "doc_id", "text").repartitionById(len(bounds) + 1, "part")
-    rows = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").mapInArrow(
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc(), F.asc_nulls_first("text")]
+    # With a number of partitions, ranges are not coalesced: partition numbers are in order of doc_id.
+    rows = held.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).mapInArrow(
         _segments(vocabulary, end_id),
         "part int, segment int, start long, doc_ids array<long>, sizes array<long>, n_tokens long, codes binary",
     )
-    rows.write.option("compression", "zstd").parquet(path)
+    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1"}
+    rows.write.options(**plain).parquet(path)
 
 
 def read(files: DataFrame) -> DataFrame:
