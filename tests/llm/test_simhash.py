@@ -74,12 +74,12 @@ def chains(seed, n):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("tile", [4096, 8])
-def test_links_lose_nothing(spark, tile):
+@pytest.mark.parametrize(("tile", "midpoints"), [(4096, S.MIDPOINTS), (8, S.MIDPOINTS), (8, 12)])
+def test_links_lose_nothing(spark, tile, midpoints):
     prints = chains(3, 400) + [x ^ (1 << b) for x in (0,) for b in range(64)] + [0]
     prints = list(dict.fromkeys(prints))
     rows = [(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(prints)]
-    edges = S.links(spark.createDataFrame(rows, "node long, fp long"), tile=tile)
+    edges = S.links(spark.createDataFrame(rows, "node long, fp long"), tile=tile, midpoints=midpoints)
     got = {r["node"]: r["component"] for r in S.components(edges).collect()}
     of = brute_components(list(enumerate(prints)))
     assert {i: got.get(i, i) for i in range(len(prints))} == {i: of[i, f] for i, f in enumerate(prints)}

@@ -12,7 +12,11 @@ unless a code word brings them together:
   n near copies gives n - 1 rows and not n * n / 2. Anchors that hold many fingerprints are cut into tiles, and each pair of
   tiles is a task's group of bounded size.
 
-Components come from star contraction over the forest edges, with every round written to the checkpoint folder.
+* An anchor with over MIDPOINTS fingerprints would need too many pairs of tiles. There, every fingerprint goes to all words within two bits of it
+  instead: two fingerprints link if and only if they share such a midpoint, so those of one midpoint are linked without a comparison, by
+  the least of them, which is aggregated before it is shuffled. Its cost is 2081 short rows a fingerprint, however many there are.
+
+Components come from star contraction over the forest edges, with every round written to the checkpoint folder; hubs are broadcast.
 
 Defined results: null, empty and blank texts have no words and fingerprint zero, and link like any other; repeated
 ids share what their texts give; a null id is kept as a row of its own fingerprint; an empty table gives no rows; other
@@ -29,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, parts
+from weftline.operators.graphs import components as graph_components
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
 #: Fingerprints of one anchor that one group may hold; larger anchors are tiled.
 TILE = 4096
+#: Fingerprints of an anchor from which pairs of tiles cost more than midpoints: 2081 copies, of tiles of half a TILE.
+MIDPOINTS = 2081 * TILE // 2
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -175,7 +182,7 @@ def _compare(threshold: int):
     return run
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, midpoints: int = MIDPOINTS) -> DataFrame:
     """Forest edges u > v between fingerprints (node, fp) within threshold bits; every link's ends are connected by them.
 
     threshold may be at most 4, which the two halves and the radius of the code cover.
@@ -184,12 +191,38 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> Dat
         raise ValueError("the covering is made for at most four differing bits")
     spark = nodes.sparkSession
     copies = nodes.select("node", "fp").mapInArrow(_replicate, "anchor long, node long, fp long")
-    return tiled(copies, threshold, tile, parts(spark))
+    return tiled(copies, threshold, tile, parts(spark), midpoints)
 
 
-def tiled(copies: DataFrame, threshold: int, tile: int, n: int) -> DataFrame:
-    """Compare per anchor. Rows of an anchor with over `tile` fingerprints are dealt to k blocks by hash, and go to each pair of blocks."""
-    sizes = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
+def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp) to (point, node) for the 2081 words within two bits; each task keeps the least node of its points in a batch."""
+    ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    flips = np.r_[np.zeros(1, np.uint64), ones, ones[i] | ones[j]]
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            node, fp = np.asarray(part.column(0)), np.asarray(part.column(1)).view(np.uint64)
+            points = (fp[:, None] ^ flips[None, :]).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(node, len(flips)))], names=["point", "node"])
+
+
+def by_midpoints(nodes: DataFrame) -> DataFrame:
+    """Edges u > v between each fingerprint and the least one at each of its midpoints: those within four bits are connected, and no others."""
+    points = nodes.mapInArrow(_midpoints, "point long, node long")
+    least = points.groupBy("point").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("point", "v")
+    return points.join(least, "point").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def tiled(copies: DataFrame, threshold: int, tile: int, n: int, midpoints: int = MIDPOINTS) -> DataFrame:
+    """Compare per anchor. Rows of an anchor with over `tile` fingerprints are dealt to k blocks by hash, and go to each pair of blocks; with over `midpoints`, by those."""
+    every = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
+    sizes = cut(every)  # anchors are few: at most rows / tile
+    dense = sizes.where(F.col("size") > midpoints)
+    extra = None
+    if threshold == 4 and not dense.isEmpty():
+        extra = by_midpoints(copies.join(dense.select("anchor"), "anchor", "left_semi").select("node", "fp").distinct())
+        copies = copies.join(dense.select("anchor"), "anchor", "left_anti")
     k = F.ceil(F.col("size") / (tile / 2)).cast("int")
     both = copies.join(sizes, "anchor", "left").select(
         "anchor", "node", "fp", F.when(F.col("size").isNull(), F.lit(0)).otherwise(k).alias("k")
@@ -202,33 +235,13 @@ def tiled(copies: DataFrame, threshold: int, tile: int, n: int) -> DataFrame:
         )
     )
     dealt = both.select("anchor", F.explode(pairs).alias("tile"), "node", "fp")
-    return dealt.repartition(n, "anchor", "tile").sortWithinPartitions("anchor", "tile").mapInArrow(_compare(threshold), "u long, v long").distinct()
-
+    found = dealt.repartition(n, "anchor", "tile").sortWithinPartitions("anchor", "tile").mapInArrow(_compare(threshold), "u long, v long").distinct()
+    return found if extra is None else found.unionByName(extra).distinct()
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) for every node with an edge; large-star / small-star contraction.
 
-    Each round is checkpointed. The rounds end when a small-star leaves the edges as they were.
-    """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    mark = None
-    for _ in range(most_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        large = large.distinct()
-        # Small star: the neighbours below a node, and the node, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest reachable node) for every node with an edge; no number of rounds is too many, no node's edges are one task's."""
+    return graph_components(edges.where("u <> v"), "u", "v")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
