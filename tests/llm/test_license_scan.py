@@ -48,6 +48,21 @@ def test_table(spark):
     assert L.licenses(df.limit(0)).count() == 0
 
 
+def test_templates_from_a_table(spark):
+    own = spark.createDataFrame([("House-1.0", "you may use this text at home but never in the garden"), (None, "x y"), ("Empty", None)], "license string, text string")
+    known = L.template_table(own)
+    df = spark.createDataFrame([(1, "z z You may use this text at home, but never in the garden! z z"), (2, "MIT License")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["dice"]) for r in L.licenses(df, known).collect()] == [(1, "House-1.0", 1.0)]
+    assert L.licenses(df, L.template_table(own.limit(0))).count() == 0
+
+
+def test_long_text_ties_and_clashing_columns(spark):
+    many = " and ".join(["MIT License"] * 3000) + " word" * 200_000
+    df = spark.createDataFrame([(1, many, 2, 0.5), (1, many, 3, 0.1)], "doc_id long, text string, first_word int, dice double")
+    got = L.licenses(df)
+    assert got.columns == ["doc_id", "license", "dice", "first_word", "end_word"] and got.count() == 6000  # repeated rows each for itself
+
+
 @pytest.mark.parametrize("n", [5, 9, 15, 30])
 @pytest.mark.parametrize("k", [k for k, (_, t) in enumerate(L.TEMPLATES) if len(L.words_of(t)) > 120])
 def test_inserts_do_not_split_a_license(k, n):

@@ -7,7 +7,8 @@ far apart; starts without so many places within the bound are pruned by a slidin
 From every other start all ends within the bound are compared, so inserts and replacements of any length that leave the
 coefficient at t or above do not hide a passage.
 
-Every whole text is read in one pass; the templates are a fixed list in this module. Defined results: null, empty and
+Every whole text is read in one pass; the templates are a fixed list of notices and short licenses in this module, or a table
+(:func:`template_table`), for full texts and further versions. Defined results: null, empty and
 blank texts have no licenses; of ties the earlier and then the longer passage is reported, and every passage that does
 not overlap a better one that is reported is reported too; repeated rows are scanned each for itself; an empty table
 gives no rows; other columns are ignored.
@@ -88,6 +89,69 @@ TEMPLATES = (
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
         above copyright notice and this permission notice appear in all copies.""",
     ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    ),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "BSL-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
+        such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    (
+        "EPL-2.0",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/""",
+    ),
+    (
+        "PostgreSQL",
+        """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written
+        agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all
+        copies.""",
+    ),
+    (
+        "LGPL-2.1",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+        A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
+    (
+        "AGPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+        A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    ),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means.""",
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -99,6 +163,19 @@ TEMPLATES = (
 )
 
 
+#: Characters of a template table that are sent to the workers.
+MOST_CHARACTERS = 50_000_000
+
+
+def template_table(templates: DataFrame) -> tuple[tuple[str, str], ...]:
+    """Templates from a table (license, text), of any number of licenses and versions; its size is summed before it is read to the driver."""
+    rows = templates.where("license IS NOT NULL AND text IS NOT NULL").select("license", "text").distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_CHARACTERS:
+        raise ValueError(f"the templates have {size} characters, and {MOST_CHARACTERS} are sent to every worker at most")
+    return tuple(sorted((r["license"], r["text"]) for r in rows.collect()))
+
+
 def words_of(text: str | None) -> list[str]:
     return [_SPELLING.get(w, w) for w in _WORD.findall((text or "").lower())]
 
