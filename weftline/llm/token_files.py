@@ -38,7 +38,7 @@ from weftline.llm.common import parts, shared_dir
 END_ID = 1
 SEGMENT = 1 << 16
 #: Bytes of words and their ids that a worker remembers; beyond, it forgets all and starts anew, which costs time and never a result.
-CACHE_BYTES, ENTRY_BYTES = 192 << 20, 160
+CACHE_BYTES, ENTRY_BYTES = 320 << 20, 160
 MAGIC = b"WDAC\x01"
 RANK_BITS = 512
 
@@ -269,7 +269,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, n:
         _segments(vocabulary, end_id),
         "part int, segment int, start long, doc_ids array<long>, sizes array<long>, n_tokens long, codes binary",
     )
-    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1"}
+    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1", "parquet.block.size": str(16 << 20)}
     rows.write.options(**plain).parquet(path)
 
 
