@@ -28,9 +28,9 @@ def brute(docs):
     return sorted(out, key=str)
 
 
-def run(spark, docs, hot=S.HOT):
+def run(spark, docs, crowd=S.CROWD):
     df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, n long, spans string").repartition(3)
-    return sorted((tuple(r) for r in S.dedup(df, hot).collect()), key=str)
+    return sorted((tuple(r) for r in S.dedup(df, crowd).collect()), key=str)
 
 
 def corpus(seed: int, n: int = 60) -> list:
@@ -49,11 +49,11 @@ def corpus(seed: int, n: int = 60) -> list:
     return docs + [(1000 + k, docs[k * 7][1]) for k in range(5)]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, S.HOT), (2, S.HOT), (1, 3), (3, 0)])
-def test_random_corpora(spark, seed, hot):
-    """hot: also with surroundings of crowded hashes told by digests."""
+@pytest.mark.parametrize(("seed", "crowd"), [(1, S.CROWD), (2, S.CROWD), (1, 3), (3, 0)])
+def test_random_corpora(spark, seed, crowd):
+    """crowd: also with surroundings of crowded hashes told by digests."""
     docs = corpus(seed)
-    assert run(spark, docs, hot) == brute(docs)
+    assert run(spark, docs, crowd) == brute(docs)
 
 
 def test_one_passage_in_all_documents(spark):
@@ -99,11 +99,48 @@ def test_suffix_order(bound):
     for alphabet in ("ab", "abcd", "a"):
         parts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(8)]
         text = np.array([x for p in parts for x in [*(ord(c) - 96 for c in p), 0]], np.int16)
-        got = S.suffix_order(text, 50, bound)
+        got, common = S.suffix_order(text, 50, bound)
         assert sorted(got.tolist()) == list(range(len(text)))
         cut = lambda i: text[i : i + int(np.flatnonzero(text[i:] == 0)[0]) + 1].tolist()
         keys = [cut(i) for i in got]
         assert keys == sorted(keys)
+        for a, b, c in zip(keys, keys[1:], common[1:].tolist(), strict=False):
+            same = next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == 0)
+            assert c == min(same, 50)
+
+
+def test_common_prefixes_stop_at_the_depth():
+    text = np.array(([1, 2] * 40 + [0]) * 3 + [1] * 90 + [0, 1] + [1] * 95 + [0], np.int16)
+    got, common = S.suffix_order(text, 30)
+    for a, b, c in zip(got, got[1:], common[1:].tolist(), strict=False):
+        x, y = (list(text[i : i + 31]) for i in (a, b))
+        same = next((i for i in range(min(len(x), len(y))) if x[i] != y[i] or x[i] == 0), 31)
+        assert c == min(same, 30)
+
+
+def test_crowds_of_a_task():
+    """A row is called open only if the task has sent two digests of its hash before, and `few` rows of it."""
+    rng = np.random.default_rng(3)
+    crowds, sent = S.Crowds(few=5, bound=4), {}
+    for _ in range(60):
+        h, d = rng.integers(0, 6, 25).astype(np.uint64), rng.integers(0, 3, 25).astype(np.uint64)
+        rest = rng.random(25) < 0.8
+        told = crowds.of(h, d, rest)
+        assert not (told & ~rest).any()
+        for k in set(h[told].tolist()):
+            assert len(sent[k]) >= 5 and len(set(sent[k])) > 1
+        for i in np.flatnonzero(rest & ~told):
+            sent.setdefault(int(h[i]), []).append(int(d[i]))
+    assert any(len(v) < 60 for v in sent.values())
+
+
+def test_a_line_between_texts_of_their_own(spark):
+    """A common line with unlike neighbours in every document: each of three tasks sends FEW rows of its hashes and calls the others open."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = " ".join(word() for _ in range(9))
+    docs = [(k, f"{' '.join(word() for _ in range(rng.randint(5, 12)))} {line} {rng.choice(['x y z ' * 9, ''])}{word()} {word()} {line} {word()}") for k in range(900)]
+    assert run(spark, docs) == brute(docs) == run(spark, docs, 5)
 
 
 def test_shards(spark, monkeypatch):

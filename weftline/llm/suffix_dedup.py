@@ -6,20 +6,22 @@ All strings of that length are judged, on the input as it is:
 1. Anchors. Of the hashes of a string's K-byte parts the leftmost smallest is its anchor, so equal strings have equal
    anchors at equal places, and the strings of one anchor are neighbours. About one byte in 35 is an anchor. Its row is
    (hash, digest of the bytes that its strings span, place); no text is shuffled.
-2. Rows are dealt by (hash, digest) order. All rows of one digest but the earliest repeat in full; those that a task can
-   tell by itself are told before the shuffle and dealt by document, so a passage that a third of all documents share sends a
-   few rows a task to its hash. Anchors with one digest only are done. This is lossless: what remains are the edges of repeated
-   passages, where equal anchors have unequal surroundings.
-3. The surroundings of what remains are gathered per shard of hashes and sorted as suffixes by external induced sorting
-   (:func:`suffix_order`): left-most-S suffixes are named and ordered by recursively induced ranks, and bucket queues that
-   spill to disk carry the tuples of the L- and S-type suffixes. Common prefixes of neighbours, up to LENGTH bytes, give the classes of
-   equal strings; all but the earliest of a class repeat.
-   A hash with over HOT surroundings would not fit a sort: its strings go by their own digests instead, whose earliest place is
-   partially aggregated before the shuffle.
+2. Rows are dealt by hash, in order of (hash, digest). All rows of one digest but the earliest repeat in full. Anchors with one
+   digest only are done. This is lossless: what remains, and is open, are the edges of repeated passages, where equal anchors have unequal surroundings.
+   A passage that a third of all documents share would make its hash one task's; so what a task can tell by itself is told before the
+   shuffle and dealt by document: that a surrounding is a repeat of one that the task has seen (:class:`Repeats`), and that a hash is open, once the
+   task has sent FEW rows of it with two digests at least (:class:`Crowds`). A hash then gets FEW rows from each task at most.
+3. The surroundings of what is open are gathered per shard of hashes and sorted as suffixes by induced sorting (:func:`suffix_order`). Bucket
+   queues that spill to disk carry tuples of place and common prefix with the neighbour through the induction of the L- and S-type suffixes: between
+   two suffixes of a bucket it is one more than the least value among their inducers. It gives the classes of equal strings; all but the
+   earliest of a class repeat.
+   The surroundings of a hash that has over CROWD of them are split further, so that they are no single task's: each of their strings goes by its
+   128-bit digest, whose earliest place is partially aggregated before the shuffle.
 4. Repeated intervals are merged per document and joined to the texts.
 
 Queues are monotone: tuples arrive in rank order of the suffixes that induce them, so a bucket is a first-in-first-out file and
-needs no heap.
+needs no heap. Departures from external induced sorting in full are named in the README: shards are cut so that they fit a task, and the names of left-most-S
+substrings are ordered by doubling and not by a recursive induction.
 
 Defined results: null and empty texts have no bytes, no removals and the digest of nothing; rows that share a doc_id are
 documents of their own, ordered by text (exact copies among them: the later goes); null ids come first; texts shorter than LENGTH
@@ -43,8 +45,10 @@ from weftline.llm.common import parts, written
 LENGTH, K = 100, 32
 #: Bytes that one sort takes at once if its anchors allow, and tuples that a queue holds in memory.
 SHARD, IN_MEMORY = 16_000_000, 8_000_000
-#: Surroundings of one hash that are sorted together (about a shard's worth of bytes), and surroundings whose earliest place a task remembers.
-HOT, REMEMBERED = 100_000, 100_000
+#: Surroundings of one hash that one task sorts, surroundings and hashes that a task remembers, and rows of a hash that it sends there before it calls it open.
+CROWD, REMEMBERED, FEW = 2_000, 100_000, 64
+#: Common prefixes are held in so many bits of a tuple, below the place.
+_BITS = 16
 #: Bytes of text that one vector step looks at.
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -155,9 +159,47 @@ class Repeats:
         return done
 
 
+class Crowds:
+    """Which hashes a task knows to be open, as it has sent `few` rows of them with two digests at least; hashes seen often are remembered."""
+
+    def __init__(self, few: int = FEW, bound: int = REMEMBERED):
+        self.seen: dict[int, list] = {}  # hash: rows sent, digest of the first, whether another was sent
+        self.few, self.bound, self.known = few, bound, np.zeros(0, np.uint64)
+
+    def of(self, h: np.ndarray, d: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """True for rows (of those where rest holds) that need not be sent to their hash; the others are counted as sent."""
+        open_ = np.zeros(len(h), bool)
+        live = np.flatnonzero(rest)
+        order = live[np.argsort(h[live], kind="stable")]
+        if not len(order):
+            return open_
+        cuts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1], True])
+        heads = h[order[cuts[:-1]]]
+        often = np.diff(cuts) > 1
+        if len(self.known):
+            often |= self.known[np.minimum(np.searchsorted(self.known, heads), len(self.known) - 1)] == heads
+        grown = False
+        for g in np.flatnonzero(often).tolist():
+            rows, key = order[cuts[g] : cuts[g + 1]], int(heads[g])
+            entry = self.seen.get(key)
+            if entry is None:
+                if len(self.seen) >= self.bound:
+                    continue
+                entry = self.seen[key] = [0, int(d[rows[0]]), False]
+                grown = True
+            if entry[2] and entry[0] >= self.few:
+                open_[rows] = True
+                continue
+            entry[0] += len(rows)
+            entry[2] |= bool((d[rows] != np.uint64(entry[1])).any())
+        if grown:
+            self.known = np.sort(np.array(list(self.seen), np.uint64))
+        return open_
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
-    repeats = Repeats()
+    repeats, crowds = Repeats(), Crowds()
 
     def flush(pieces: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch | None:
         raw = b"".join(x[3] for x in pieces)
@@ -171,8 +213,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(raw)
         d = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)], np.uint64)
         done = repeats.of(h, d, doc, n, lo)
-        h, d = np.where(done, doc.view(np.uint64) * _BASE, h), np.where(done, np.uint64(0), d)  # dealt by document
-        at = lo << 9 | done.astype(np.int64) << 8 | again.astype(np.int64) << 7 | count
+        told = crowds.of(h, d, ~done)
+        dealt = doc.view(np.uint64) * _BASE + lo.view(np.uint64)  # what is told is dealt by its place, and an open row's hash goes along
+        h, d = np.where(done | told, dealt, h), np.where(done, np.uint64(0), np.where(told, h, d))
+        at = lo << 10 | told.astype(np.int64) << 9 | done.astype(np.int64) << 8 | again.astype(np.int64) << 7 | count
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), d.view(np.int64), doc, n, at)], names=["h", "ctx", "doc", "n", "at"])
 
     pieces, size = [], 0
@@ -201,9 +245,10 @@ def _sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     sent = False
     for b in batches:
         cols = [np.asarray(b.column(i)) for i in range(5)]
-        told = (cols[4] >> 8 & 1).astype(bool)
+        told = (cols[4] >> 8 & 3) > 0
         if told.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(told.sum()), np.int64)), *[pa.array(c[told]) for c in (cols[0], *cols[2:])]], names=["kind", "h", "doc", "n", "at"])
+            kind = cols[4][told] >> 8 & 1  # 1: a repeat; 0: open, of the hash that stands in ctx
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(c[told]) for c in cols[1:]]], names=["kind", "h", "doc", "n", "at"])
             cols = [c[~told] for c in cols]
         h, ctx = cols[0], cols[1]
         if not len(h):
@@ -265,63 +310,115 @@ class BucketQueue:
             self.file.close()
 
 
-def _deal(queue: BucketQueue, text: np.ndarray, places: np.ndarray) -> None:
-    """Push places to the buckets of their symbols, keeping their order."""
-    if not len(places):
-        return
-    symbols = text[places]
-    order = np.argsort(symbols, kind="stable")
-    symbols = symbols[order]
-    cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1], True])
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        queue.push(int(symbols[a]), places[order[a:b]])
+class _Induction:
+    """Tuples (place << _BITS | common prefix with the one before) pushed to the buckets of their symbols, in the order of their inducers.
 
+    The common prefix of two neighbours in a bucket is one more than the least among those of the processed suffixes after the first's inducer up to the
+    second's; `least` holds that minimum per symbol since its last push.
+    """
 
-def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int, in_memory: int) -> np.ndarray:
-    """The order of all suffixes, induced from an order of the left-most-S suffixes."""
-    in_order: dict[int, np.ndarray] = {}
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, in_memory: int):
+        self.text, self.depth, self.queue = text, depth, BucketQueue(in_memory)
+        self.least, self.empty = np.full(symbols, depth, np.int64), np.ones(symbols, bool)
+
+    def process(self, common: np.ndarray, from_: np.ndarray, places: np.ndarray) -> None:
+        """The next suffixes in order have these common prefixes with those before them; the from_-th of them induces places."""
+        if not len(common):
+            return
+        padded = np.r_[common, self.depth]
+        least = np.minimum(self.least, common.min())
+        if len(places):
+            symbols = self.text[places]
+            order = np.argsort(symbols, kind="stable")
+            symbols, from_, places = symbols[order], from_[order], places[order]
+            cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1], True])
+            upto = np.minimum.accumulate(common)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                c, inducers = int(symbols[a]), from_[a:b]
+                between = np.minimum.reduceat(padded, inducers + 1)  # the last is what follows the last inducer
+                first = 0 if self.empty[c] else 1 + min(int(self.least[c]), int(upto[inducers[0]]))
+                values = np.minimum(np.r_[first, 1 + between[:-1]], self.depth)
+                self.queue.push(c, places[a:b] << _BITS | values)
+                least[c], self.empty[c] = between[-1], False
+        self.least = least
+
+
+def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int, in_memory: int, common: np.ndarray | None = None, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(all suffixes in order, common prefix of each with the one before, up to depth), induced from an order of the left-most-S suffixes and their common prefixes."""
+    common = np.zeros(len(seeds), np.int64) if common is None else common
+    in_order: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     starts = text[seeds]
     order = np.argsort(starts, kind="stable")
     cuts = np.flatnonzero(np.r_[True, starts[order][1:] != starts[order][:-1], True])
     for a, b in zip(cuts, cuts[1:], strict=False):
-        in_order[int(starts[order[a]])] = seeds[order[a:b]]
-    left: dict[int, list[np.ndarray]] = {}
-    queue = BucketQueue(in_memory)
+        in_order[int(starts[order[a]])] = seeds[order[a:b]], common[order[a:b]]
+    change = np.flatnonzero(np.diff(text, append=-1))
+
+    def run(place: int) -> int:
+        """How often the symbol at a place is repeated from there on."""
+        return int(change[np.searchsorted(change, place)]) - place + 1 if text[place] else 0
+
+    left: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    level = _Induction(text, symbols, depth, in_memory)
+
+    def induced(places: np.ndarray, values: np.ndarray, kept) -> None:
+        from_ = np.flatnonzero(places > 0)
+        before = places[from_] - 1
+        mask = kept(before)
+        level.process(values, from_[mask], before[mask])
+
+    def is_left(before: np.ndarray) -> np.ndarray:
+        return ~s_type[before]
+
     for c in range(symbols):
-        found = []
-        while len(now := queue.pop(c)):  # L-type suffixes of this symbol, wave by wave
-            found.append(now)
-            before = now[now > 0] - 1
-            _deal(queue, text, before[~s_type[before]])
-        left[c] = found
+        found = [none]
+        while len(now := level.queue.pop(c)):  # L-type suffixes of this symbol, wave by wave
+            places, values = now >> _BITS, now & (1 << _BITS) - 1
+            found.append((places, values))
+            induced(places, values, is_left)
+        left[c] = tuple(np.concatenate(x) for x in zip(*found, strict=True))
         if c in in_order:
-            before = in_order[c]
-            before = before[before > 0] - 1
-            _deal(queue, text, before[~s_type[before]])
-    queue.close()
-    queue = BucketQueue(in_memory)
-    out: list[np.ndarray] = []
+            places, values = in_order[c]
+            values = values.copy()
+            values[0] = min(run(int(left[c][0][-1])), run(int(places[0])), depth) if len(left[c][0]) else 0
+            induced(places, values, is_left)
+    level.queue.close()
+    level = _Induction(text, symbols, depth, in_memory)
+    out = [none]
+
+    def is_small(before: np.ndarray) -> np.ndarray:
+        return s_type[before] & (text[before] > 0)
+
     for c in range(symbols - 1, -1, -1):
-        while len(now := queue.pop(c)):  # S-type suffixes, largest first
-            out.append(now)
-            before = now[now > 0] - 1
-            _deal(queue, text, before[s_type[before] & (text[before] > 0)])
-        large = np.concatenate(left[c])[::-1] if left[c] else np.zeros(0, np.int64)
-        if c == 0:  # separators are S-type by definition and nothing induces them
-            large = np.r_[large, in_order.get(0, np.zeros(0, np.int64))[::-1]]
-        if len(large):
-            out.append(large)
-            before = large[large > 0] - 1
-            _deal(queue, text, before[s_type[before] & (text[before] > 0)])
-    queue.close()
-    return np.concatenate(out)[::-1] if out else np.zeros(0, np.int64)
-
-
-def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMORY) -> np.ndarray:
-    """Suffixes of a text of small symbols, each part ended by a 0, sorted by their first `depth` symbols at least."""
+        last = None
+        while len(now := level.queue.pop(c)):  # S-type suffixes, largest first
+            places, values = now >> _BITS, now & (1 << _BITS) - 1
+            out.append((places, values))
+            last = int(places[-1])
+            induced(places, values, is_small)
+        places, values = left[c]
+        values = np.r_[values[1:], 0][::-1] if len(values) else values  # now with the larger neighbour
+        places = places[::-1].copy()
+        if len(places) and last is not None:
+            values = values.copy()
+            values[0] = min(run(last), run(int(places[0])), depth)
+        if c == 0:  # separators are S-type by definition, nothing induces them, and no two are equal
+            ends = in_order.get(0, none)[0][::-1]
+            places, values = np.r_[places, ends], np.r_[values, np.zeros(len(ends), np.int64)]
+        if len(places):
+            out.append((places, values))
+            induced(places, values, is_small)
+    level.queue.close()
+    places, values = (np.concatenate(x)[::-1] for x in zip(*out, strict=True))
+    return places, np.r_[0, values[:-1]] if len(values) else values
+
+
+def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a text of small symbols, each part ended by a 0, sorted by their first `depth` symbols at least, and the common prefix of each with the one before, up to depth."""
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if text[-1] != 0:
         raise ValueError("the last part has no end")
     change = np.sign(np.diff(text.astype(np.int32), append=0)).astype(np.int8)
@@ -334,7 +431,7 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMO
         lms = np.flatnonzero(text == 0)
     symbols = int(text.max()) + 1
     # Sort the left-most-S substrings by inducing from any order of their first symbols, then name them.
-    rough = _induce(text, s_type, lms, symbols, in_memory)
+    rough, _ = _induce(text, s_type, lms, symbols, in_memory)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
@@ -363,30 +460,33 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMO
         rank = np.empty_like(rank)
         rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
         k *= 2
-    return _induce(text, s_type, lms[order], symbols, in_memory)
+    # Common prefixes of neighbours among the left-most-S suffixes, symbol by symbol; an end equals no other.
+    sorted_lms, common = lms[order], np.zeros(len(lms), np.int64)
+    live = np.arange(1, len(lms))
+    for k in range(depth):
+        x, y = text[np.minimum(sorted_lms[live] + k, n - 1)], text[np.minimum(sorted_lms[live - 1] + k, n - 1)]
+        live = live[(x == y) & (x > 0)]
+        if not len(live):
+            break
+        common[live] = k + 1
+    return _induce(text, s_type, sorted_lms, symbols, in_memory, common, depth)
 
 
 def repeated_starts(contexts: list[bytes], counts: np.ndarray, length: int = LENGTH, in_memory: int = IN_MEMORY) -> list[np.ndarray]:
     """Per context the starts, of its first `count`, whose string also starts earlier; contexts come in order of their places."""
     sizes = np.array([len(c) + 1 for c in contexts], np.int64)
     firsts = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0" * 9, np.uint8)
     n = int(sizes.sum())
-    text = raw[:n].astype(np.int16) + 1
+    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
     text[firsts + sizes - 1] = 0
-    order = suffix_order(text, length, in_memory)
+    order, common = suffix_order(text, length, in_memory)
     judged = np.zeros(n + 1, np.int64)
     np.add.at(judged, firsts, 1)
     np.add.at(judged, firsts + counts, -1)
-    order = order[np.cumsum(judged[:n])[order] > 0]
-    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    new = np.ones(len(order), bool)
-    live = np.arange(1, len(order))
-    for k in [*range(0, length - 7, 8), length - 8]:  # common prefixes of neighbours, eight bytes a step
-        live = live[words[order[live] + k] == words[order[live - 1] + k]]
-        if not len(live):
-            break
-    new[live] = False
+    taken = np.flatnonzero(np.cumsum(judged[:n])[order] > 0)
+    # Between neighbours that are judged, the least common prefix of all suffixes after the one up to the other.
+    new = np.r_[True, np.minimum.reduceat(np.r_[common, length], taken + 1)[:-1] < length] if len(taken) else np.zeros(0, bool)
+    order = order[taken]
     heads = np.flatnonzero(new)
     repeated = np.ones(n, bool)
     if len(heads):
@@ -417,7 +517,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, n, text, asked in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asked:
-                    lo, count = x["at"] >> 9, x["at"] & 127
+                    lo, count = x["at"] >> 10, x["at"] & 127
                     rows.append((x["h"], doc, n, lo, count, raw[lo : lo + count + LENGTH - 1]))
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -506,7 +606,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "k1", "k2", "doc", "n", "a"])
 
 
-def intervals(keyed: DataFrame, hot: int = HOT) -> DataFrame:
+def intervals(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc, n, a, b: byte intervals that repeat an earlier string; they may overlap."""
     n = parts(keyed.sparkSession)
     rows = keyed.select("doc", "n", "text").mapInArrow(_anchors, "h long, ctx long, doc long, n long, at long")
@@ -515,10 +615,10 @@ def intervals(keyed: DataFrame, hot: int = HOT) -> DataFrame:
         .sortWithinPartitions("h", "ctx", "doc", "n", "at")
         .mapInArrow(_sorted_classes, "kind long, h long, doc long, n long, at long")
     )
-    lo, count = F.shiftright("at", 9), F.col("at").bitwiseAND(F.lit(127).cast("long"))
+    lo, count = F.shiftright("at", 10), F.col("at").bitwiseAND(F.lit(127).cast("long"))
     whole = classes.where("kind = 1").select("doc", "n", lo.alias("a"), (lo + count + F.lit(LENGTH - 1)).cast("long").alias("b"))
     open_ = classes.where("kind = 0")
-    crowded = open_.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("h")
+    crowded = open_.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowd).select("h")
 
     def surroundings(of: DataFrame) -> DataFrame:
         asked = of.groupBy("doc", "n").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
@@ -537,9 +637,9 @@ def intervals(keyed: DataFrame, hot: int = HOT) -> DataFrame:
     return whole.unionByName(sort(open_.join(crowded, "h", "left_anti"))).unionByName(later)
 
 
-def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     keyed = _keyed(docs)
-    spans = intervals(keyed, hot).groupBy("doc", "n").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = intervals(keyed, crowd).groupBy("doc", "n").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(spans, ["doc", "n"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
