@@ -31,6 +31,7 @@ keep all; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -40,13 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import parts, written
+from weftline.llm.common import cut, parts, written
 
 LENGTH, K = 100, 32
 #: Bytes that one sort takes at once if its anchors allow, and tuples that a queue holds in memory.
-SHARD, IN_MEMORY = 16_000_000, 8_000_000
+SHARD, IN_MEMORY = 4_000_000, 4_000_000
 #: Surroundings of one hash that one task sorts, surroundings and hashes that a task remembers, and rows of a hash that it sends there before it calls it open.
 CROWD, REMEMBERED, FEW = 2_000, 100_000, 64
+#: Hashes with a crowd that are counted and then broadcast.
+MOST_BROADCAST = 1_000_000
 #: Common prefixes are held in so many bits of a tuple, below the place.
 _BITS = 16
 #: Bytes of text that one vector step looks at.
@@ -317,12 +320,21 @@ class _Induction:
     second's; `least` holds that minimum per symbol since its last push.
     """
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int, in_memory: int):
-        self.text, self.depth, self.queue = text, depth, BucketQueue(in_memory)
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, in_memory: int, carry: bool):
+        self.text, self.depth, self.queue, self.carry = text, depth, BucketQueue(in_memory), carry
         self.least, self.empty = np.full(symbols, depth, np.int64), np.ones(symbols, bool)
 
     def process(self, common: np.ndarray, from_: np.ndarray, places: np.ndarray) -> None:
         """The next suffixes in order have these common prefixes with those before them; the from_-th of them induces places."""
+        if not self.carry:  # the first induction, of names, needs places alone
+            if len(places):
+                symbols = self.text[places]
+                order = np.argsort(symbols, kind="stable")
+                symbols, places = symbols[order], places[order] << _BITS
+                cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1], True])
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    self.queue.push(int(symbols[a]), places[a:b])
+            return
         if not len(common):
             return
         padded = np.r_[common, self.depth]
@@ -345,7 +357,8 @@ class _Induction:
 
 def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int, in_memory: int, common: np.ndarray | None = None, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(all suffixes in order, common prefix of each with the one before, up to depth), induced from an order of the left-most-S suffixes and their common prefixes."""
-    common = np.zeros(len(seeds), np.int64) if common is None else common
+    carry = common is not None
+    common = common if carry else np.zeros(len(seeds), np.int64)
     in_order: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     starts = text[seeds]
     order = np.argsort(starts, kind="stable")
@@ -358,9 +371,9 @@ def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: in
         """How often the symbol at a place is repeated from there on."""
         return int(change[np.searchsorted(change, place)]) - place + 1 if text[place] else 0
 
-    left: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    level = _Induction(text, symbols, depth, in_memory)
+    left: dict[int, np.ndarray] = {}
+    none, low = np.zeros(0, np.int64), (1 << _BITS) - 1
+    level = _Induction(text, symbols, depth, in_memory, carry)
 
     def induced(places: np.ndarray, values: np.ndarray, kept) -> None:
         from_ = np.flatnonzero(places > 0)
@@ -374,17 +387,16 @@ def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: in
     for c in range(symbols):
         found = [none]
         while len(now := level.queue.pop(c)):  # L-type suffixes of this symbol, wave by wave
-            places, values = now >> _BITS, now & (1 << _BITS) - 1
-            found.append((places, values))
-            induced(places, values, is_left)
-        left[c] = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            found.append(now)
+            induced(now >> _BITS, now & low, is_left)
+        left[c] = np.concatenate(found)
         if c in in_order:
             places, values = in_order[c]
             values = values.copy()
-            values[0] = min(run(int(left[c][0][-1])), run(int(places[0])), depth) if len(left[c][0]) else 0
+            values[0] = min(run(int(left[c][-1] >> _BITS)), run(int(places[0])), depth) if len(left[c]) else 0
             induced(places, values, is_left)
     level.queue.close()
-    level = _Induction(text, symbols, depth, in_memory)
+    level = _Induction(text, symbols, depth, in_memory, carry)
     out = [none]
 
     def is_small(before: np.ndarray) -> np.ndarray:
@@ -393,25 +405,24 @@ def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: in
     for c in range(symbols - 1, -1, -1):
         last = None
         while len(now := level.queue.pop(c)):  # S-type suffixes, largest first
-            places, values = now >> _BITS, now & (1 << _BITS) - 1
-            out.append((places, values))
-            last = int(places[-1])
-            induced(places, values, is_small)
-        places, values = left[c]
+            out.append(now)
+            last = int(now[-1] >> _BITS)
+            induced(now >> _BITS, now & low, is_small)
+        places, values = left[c][::-1] >> _BITS, left[c] & low
         values = np.r_[values[1:], 0][::-1] if len(values) else values  # now with the larger neighbour
-        places = places[::-1].copy()
         if len(places) and last is not None:
             values = values.copy()
             values[0] = min(run(last), run(int(places[0])), depth)
         if c == 0:  # separators are S-type by definition, nothing induces them, and no two are equal
-            ends = in_order.get(0, none)[0][::-1]
+            ends = in_order[0][0][::-1] if 0 in in_order else none
             places, values = np.r_[places, ends], np.r_[values, np.zeros(len(ends), np.int64)]
         if len(places):
-            out.append((places, values))
+            out.append(places << _BITS | values)
+            left[c] = none
             induced(places, values, is_small)
     level.queue.close()
-    places, values = (np.concatenate(x)[::-1] for x in zip(*out, strict=True))
-    return places, np.r_[0, values[:-1]] if len(values) else values
+    both = np.concatenate(out)[::-1]
+    return both >> _BITS, np.r_[0, both[:-1] & low] if len(both) else none
 
 
 def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -423,9 +434,10 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMO
         raise ValueError("the last part has no end")
     change = np.sign(np.diff(text.astype(np.int32), append=0)).astype(np.int8)
     change[text == 0] = 1  # an end is smaller than all that follows
-    at = np.where(change != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    s_type = change[np.minimum(nearest, n - 1)] > 0
+    nearest = np.where(change != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]
+    s_type = change[nearest] > 0
+    del nearest, change
     lms = np.flatnonzero(s_type & ~np.r_[True, s_type[:-1]])
     if not len(lms):
         lms = np.flatnonzero(text == 0)
@@ -435,8 +447,9 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMO
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
-    index = np.zeros(n, np.int64)
-    index[lms] = np.arange(len(lms))
+    del rough, is_lms
+    index = np.zeros(n, np.int32)
+    index[lms] = np.arange(len(lms), dtype=np.int32)
     size = np.diff(np.r_[lms, n - 1]) + 1
     a, b = ordered[:-1], ordered[1:]
     la, lb = size[index[a]], size[index[b]]
@@ -460,16 +473,28 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH, in_memory: int = IN_MEMO
         rank = np.empty_like(rank)
         rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
         k *= 2
-    # Common prefixes of neighbours among the left-most-S suffixes, symbol by symbol; an end equals no other.
-    sorted_lms, common = lms[order], np.zeros(len(lms), np.int64)
-    live = np.arange(1, len(lms))
-    for k in range(depth):
-        x, y = text[np.minimum(sorted_lms[live] + k, n - 1)], text[np.minimum(sorted_lms[live - 1] + k, n - 1)]
-        live = live[(x == y) & (x > 0)]
-        if not len(live):
-            break
-        common[live] = k + 1
-    return _induce(text, s_type, sorted_lms, symbols, in_memory, common, depth)
+    del index, rank
+    sorted_lms = lms[order]
+    return _induce(text, s_type, sorted_lms, symbols, in_memory, common_prefixes(text, sorted_lms, depth), depth)
+
+
+def common_prefixes(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """How many symbols, up to depth, each place of a text of 16-bit symbols has in common with the one before in the list; an end (0) equals no other."""
+    padded = np.r_[text.astype(np.int16), np.zeros(depth + 4, np.int16)]
+    fours = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
+    common, live, k = np.zeros(len(places), np.int64), np.arange(1, len(places)), 0
+    while len(live) and k < depth:
+        x = fours[places[live] + k]
+        ended = (x - np.uint64(0x0001000100010001)) & ~x & np.uint64(0x8000800080008000) > 0
+        stops = ended | (x != fours[places[live - 1] + k])
+        some = live[stops]
+        for j in range(k, min(k + 4, depth)):
+            x = padded[places[some] + j]
+            some = some[(x == padded[places[some - 1] + j]) & (x > 0)]
+            common[some] = j + 1
+        live, k = live[~stops], k + 4
+        common[live] = min(k, depth)
+    return common
 
 
 def repeated_starts(contexts: list[bytes], counts: np.ndarray, length: int = LENGTH, in_memory: int = IN_MEMORY) -> list[np.ndarray]:
@@ -508,8 +533,18 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]]
 
 
+_FETCHED = "h long, doc long, n long, lo long, count long, bytes binary, k1 long, k2 long"
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n, text, [(h, at)]) to the bytes of each surrounding."""
+    """(doc, n, text, [(h, at, crowd)]) to the bytes of each surrounding, or, of a crowd, to the 128-bit digests of its strings."""
+    names = [x.split()[0] for x in _FETCHED.split(", ")]
+    digest = xxhash.xxh3_128_digest
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
@@ -518,12 +553,17 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in asked:
                     lo, count = x["at"] >> 10, x["at"] & 127
-                    rows.append((x["h"], doc, n, lo, count, raw[lo : lo + count + LENGTH - 1]))
+                    if not x["crowd"]:
+                        rows.append((x["h"], doc, n, lo, count, raw[lo : lo + count + LENGTH - 1], None, None))
+                        continue
+                    for i in range(lo, lo + count):
+                        k1, k2 = struct.unpack("<qq", digest(raw[i : i + LENGTH]))
+                        rows.append((x["h"], doc, n, i, 1, None, k1, k2))
+                    if len(rows) > 20_000:
+                        yield rows_of(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)],
-                    names=["h", "doc", "n", "lo", "count", "bytes"],
-                )
+                yield rows_of(rows)
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -591,21 +631,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return held.select(doc.alias("doc"), number.alias("n"), "doc_id", "text")
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, n, lo, count, bytes) to a row for each string: its hash, 128 bits of digest, and place."""
-    digest = xxhash.xxh3_128_digest
-    for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            part = b.slice(at, 1024)
-            h, doc, n, lo, count = (np.asarray(part.column(i)) for i in range(5))
-            owner = np.repeat(np.arange(len(count)), count)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            raw = part.column(5).to_pylist()
-            keys = np.frombuffer(b"".join(digest(raw[k][i : i + LENGTH]) for k, i in zip(owner.tolist(), step.tolist(), strict=True)), ">i8").astype(np.int64).reshape(-1, 2)
-            cols = (h[owner], keys[:, 0], keys[:, 1], doc[owner], n[owner], lo[owner] + step)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "k1", "k2", "doc", "n", "a"])
-
-
 def intervals(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc, n, a, b: byte intervals that repeat an earlier string; they may overlap."""
     n = parts(keyed.sparkSession)
@@ -618,23 +643,19 @@ def intervals(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
     lo, count = F.shiftright("at", 10), F.col("at").bitwiseAND(F.lit(127).cast("long"))
     whole = classes.where("kind = 1").select("doc", "n", lo.alias("a"), (lo + count + F.lit(LENGTH - 1)).cast("long").alias("b"))
     open_ = classes.where("kind = 0")
-    crowded = open_.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowd).select("h")
-
-    def surroundings(of: DataFrame) -> DataFrame:
-        asked = of.groupBy("doc", "n").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-        sought = keyed.select("doc", "n", "text").join(asked, ["doc", "n"]).select("doc", "n", "text", "asked")
-        return sought.mapInArrow(_fetch, "h long, doc long, n long, lo long, count long, bytes binary")
-
-    def sort(of: DataFrame) -> DataFrame:
-        return surroundings(of).repartition(n, "h").sortWithinPartitions("h", "doc", "n", "lo").mapInArrow(_sort_shards, "doc long, n long, a long, b long")
-
-    if crowded.isEmpty():
-        return whole.unionByName(sort(open_))
-    strings = written(surroundings(open_.join(crowded, "h", "left_semi")).mapInArrow(_strings, "h long, k1 long, k2 long, doc long, n long, a long"))
-    place = F.struct("doc", "n", "a")
+    crowded = cut(open_.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowd).select("h", F.lit(True).alias("crowd")))
+    if crowded.count() <= MOST_BROADCAST:  # at most open rows / crowd
+        crowded = F.broadcast(crowded)
+    marked = open_.join(crowded, "h", "left").select("doc", "n", F.struct("h", "at", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("x"))
+    asked = marked.groupBy("doc", "n").agg(F.collect_list("x").alias("asked"))  # of one document each
+    sought = keyed.select("doc", "n", "text").join(asked, ["doc", "n"]).select("doc", "n", "text", "asked")
+    fetched = written(sought.mapInArrow(_fetch, _FETCHED))
+    shards = fetched.where("k1 IS NULL").select("h", "doc", "n", "lo", "count", "bytes").repartition(n, "h").sortWithinPartitions("h", "doc", "n", "lo")
+    sorted_ = shards.mapInArrow(_sort_shards, "doc long, n long, a long, b long")
+    strings, place = fetched.where("k1 IS NOT NULL").select("h", "k1", "k2", "doc", "n", F.col("lo").alias("a")), F.struct("doc", "n", "a")
     first = strings.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     later = strings.join(first, ["h", "k1", "k2"]).where(place > F.col("first")).select("doc", "n", "a", (F.col("a") + LENGTH).alias("b"))
-    return whole.unionByName(sort(open_.join(crowded, "h", "left_anti"))).unionByName(later)
+    return whole.unionByName(sorted_).unionByName(later)
 
 
 def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
