@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages; each calls one operator of weftline.llm and hands whole documents on."""
+"""A corpus pipeline of five stages; each calls one operator of weftline.llm and hands whole documents on.
+
+Every stage but the last returns the columns of documents and works on all rows that the one before kept. Defined results: a null or
+empty text fails the base rule of the first stage and goes; without labels of both classes the base rule alone decides; without benchmark items nothing
+leaks; rows that repeat a doc_id are judged each for itself by the rules, all stay or go together where near duplicates or leaks are told by
+id, and of rows with different texts under one id those go whose component has a smaller id; rows with a null id are no near duplicates and leak
+nothing, as no other row can be meant by them; ties go to the smallest id; very long texts are read whole; an empty table gives no rows;
+columns beside those of documents are dropped, whatever their names. :func:`run` deletes each stage's table once the next one is written.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, quality_rules, secret_scan, sentence_pieces, simhash
 from weftline.llm.common import shared_dir, table
+from weftline.session import delete
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,10 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs, root = table(spark, sf_dir, "documents"), shared_dir(spark)
+    docs, root, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{root}/{name}")
             docs = spark.read.parquet(f"{root}/{name}")
+            if before:
+                delete(spark, before)
+            before = f"{root}/{name}"
     return docs
