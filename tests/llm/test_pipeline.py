@@ -52,3 +52,25 @@ def test_empty_documents(spark, tmp_path, sf_dir):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty, repeated, tied and very long rows, null ids, and extra columns named like computed ones."""
+    words = lambda seed, n: " ".join(f"{chr(97 + seed % 26)}{(seed * 7919 + i * i * 31 + i) % 999983}" for i in range(n))
+    long = words(3, 120_000)
+    rows = [(1, None), (2, ""), (3, words(1, 80)), (4, words(1, 80)), (5, words(2, 90)), (5, words(2, 90)), (6, long), (None, words(4, 70)), (7, words(5, 60) + " token=abcdefghijkl " + words(6, 60)), (8, "\n \t")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "x", True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _leaked long, _kept string, kept boolean")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words(9, 40).split()))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = C.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 3), (False, 5), (False, 5), (False, 6), (False, 7), (True, 0)]
+    p = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: p.decode(p_ids(r["ids"])) for r in got}
+    assert texts[6] == long and "token=abc" not in texts[7] and "[secret]" in texts[7]
+
+
+def p_ids(ids):
+    import numpy as np
+
+    return np.array(ids, "<i4")
