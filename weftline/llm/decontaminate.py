@@ -43,7 +43,7 @@ BLOCK_WORDS = 2_000_000
 #: Edited items of a class that the repetitions are calibrated with.
 TRIALS = 4000
 #: Words of documents that one vector step looks at.
-STEP_WORDS = 1_000_000
+STEP_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,8 +126,8 @@ class Items:
         """Starts of the windows that hold enough words of the class's items."""
         sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(c.known[words], dtype=np.int32)])
         n = len(words)
-        ends = np.minimum(np.arange(n) + c.most, n)
-        return np.flatnonzero(sums[ends] - sums[:n] >= c.need)
+        held = np.r_[sums[c.most :], np.full(min(c.most, n + 1), sums[-1], np.int32)][:n] - sums[:n]
+        return np.flatnonzero(held >= c.need)
 
     def own_keys(self, c: Class, repetition: int, places: np.ndarray) -> np.ndarray:
         """The buckets of the class's items."""
@@ -243,11 +243,11 @@ def _scan(items: Items):
         get, room = items.vocabulary.get, items.longest + 1
 
         def flush(arrays: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
-            gap = np.zeros(room, np.int64)
+            gap = np.zeros(room, np.int32)
             words = np.concatenate([x for a in arrays for x in (gap, a)] + [gap])
             sizes = [len(a) + room for a in arrays]
-            owner = np.repeat(np.arange(len(arrays)), sizes)
-            owner = np.r_[owner, np.full(room, len(arrays) - 1)]
+            owner = np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
+            owner = np.r_[owner, np.full(room, len(arrays) - 1, np.int32)]
             best: dict[tuple[int, int], int] = {}
             for row, k, distance in items.search(words, owner):
                 key = (owners[row], items.items[k][0])
@@ -266,7 +266,7 @@ def _scan(items: Items):
                     w = words_of(text)
                     for first in range(0, max(1, len(w)), STEP_WORDS):  # very long texts in overlapping pieces
                         piece = w[first : first + STEP_WORDS + room]
-                        arrays.append(np.array([get(x, 0) for x in piece], np.int64))
+                        arrays.append(np.array([get(x, 0) for x in piece], np.int32))
                         owners.append(doc)
                         held += len(piece) + room
                         if held >= STEP_WORDS:
