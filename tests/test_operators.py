@@ -309,3 +309,51 @@ def test_split_by_label_and_samples(spark):
     assert a == b
     with pytest.raises(ValueError):
         R.sample_range(spark, 5, 6)
+
+
+def test_rectangle_in_perspective():
+    """A rectangle of known sides, turned in space and projected through a camera of known focal length."""
+    import numpy as np
+
+    from weftline.functions.numbers import rectangle_ratio
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        w, h, focal = rng.uniform(1, 5), rng.uniform(1, 5), 800.0
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        tilt = np.linalg.qr(np.eye(3) + 0.3 * q)[0]
+        points = np.array([[0, 0, 0], [w, 0, 0], [w, h, 0], [0, h, 0]]) @ tilt.T + [0, 0, 20]
+        seen = focal * points[:, :2] / points[:, 2:] + [320, 240]
+        assert rectangle_ratio(seen, np.array([320, 240]), focal) == pytest.approx(h / w, rel=1e-6)
+        assert rectangle_ratio(seen, np.array([320, 240])) == pytest.approx(h / w, rel=1e-3)
+
+
+def test_rotations_update_a_factor():
+    import numpy as np
+
+    from weftline.functions.arrays import rotated
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 9):
+        m = rng.normal(size=(n, n))
+        low, x = np.linalg.cholesky(m @ m.T + n * np.eye(n)), rng.normal(size=n) / 3
+        for sign in (1, -1):
+            assert rotated(low, x, sign) == pytest.approx(np.linalg.cholesky(low @ low.T + sign * np.outer(x, x)))
+    with pytest.raises(ValueError):
+        rotated(np.eye(2), np.array([2.0, 0.0]), -1)
+
+
+def test_shuffle_buffer_and_prefetch():
+    values = list(range(1000))
+    out = list(R.buffer_shuffled(iter(values), 50, 3))
+    assert sorted(out) == values and out != values and all(v <= i + 50 for i, v in enumerate(out))
+    assert list(R.buffer_shuffled(iter(values), 1)) == values and list(R.buffer_shuffled(iter([]), 9)) == []
+    assert list(C.prefetched(iter(values), 3)) == values
+
+    def fails():
+        yield 1
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        list(C.prefetched(fails(), 2))
+    assert next(C.prefetched(iter(int, 1), 2)) == 0  # an endless source ends with its reader

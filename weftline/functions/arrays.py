@@ -262,27 +262,55 @@ def assignment_cost(costs: pd.Series) -> pd.Series:
     return costs.map(lambda c: assignment(_matrix(c)))
 
 
+def _substituted(m: np.ndarray, v: np.ndarray, order: range) -> np.ndarray:
+    """The solution by substitution, one unknown after the other in the given order: n steps of one product each."""
+    x = np.zeros(len(v))
+    for i in order:
+        x[i] = (v[i] - m[i] @ x) / m[i, i]
+    return x
+
+
 @pandas_udf(ArrayType(DoubleType()))
 def solve_lower(matrices: pd.Series, vectors: pd.Series) -> pd.Series:
-    """Solutions of lower triangular systems; what stands above the diagonal is not read."""
-    return pd.Series([np.linalg.solve(np.tril(_matrix(m)), np.asarray(v, float)).tolist() for m, v in zip(matrices, vectors, strict=True)])
+    """Solutions of lower triangular systems by forward substitution; what stands above the diagonal is not read."""
+    return pd.Series([_substituted(np.tril(_matrix(m)), np.asarray(v, float), range(len(v))).tolist() for m, v in zip(matrices, vectors, strict=True)])
 
 
 @pandas_udf(ArrayType(DoubleType()))
 def solve_upper(matrices: pd.Series, vectors: pd.Series) -> pd.Series:
-    return pd.Series([np.linalg.solve(np.triu(_matrix(m)), np.asarray(v, float)).tolist() for m, v in zip(matrices, vectors, strict=True)])
+    """Solutions of upper triangular systems by backward substitution."""
+    return pd.Series([_substituted(np.triu(_matrix(m)), np.asarray(v, float), range(len(v) - 1, -1, -1)).tolist() for m, v in zip(matrices, vectors, strict=True)])
+
+
+def rotated(factor: np.ndarray, vector: np.ndarray, sign: float) -> np.ndarray:
+    """The factor of L L' + sign * x x' by n plane rotations (sign 1) or hyperbolic ones (sign -1), each of which takes one entry of x into a column: O(n^2)."""
+    low, x = np.tril(factor).astype(float), np.array(vector, float)
+    for k in range(len(x)):
+        square = low[k, k] ** 2 + sign * x[k] ** 2
+        if square <= 0:
+            raise ValueError("the downdated matrix is not positive definite")
+        cos, sin = low[k, k] / np.sqrt(square), x[k] / np.sqrt(square)
+        low[k:, k], x[k:] = cos * low[k:, k] + sign * sin * x[k:], cos * x[k:] - sin * low[k:, k]
+    return low
 
 
 @pandas_udf(ArrayType(ArrayType(DoubleType())))
 def cholesky_update(factors: pd.Series, vectors: pd.Series, signs: pd.Series) -> pd.Series:
-    """The factor of L L' + sign * x x', by an orthogonal (or hyperbolic) triangularisation of [L, x]."""
+    """Column form of :func:`rotated`."""
+    return pd.Series([rotated(_matrix(m), np.asarray(x, float), s).tolist() for m, x, s in zip(factors, vectors, signs, strict=True)])
+
+
+def above_all() -> Column:
+    """A number above every whole number."""
+    return F.lit(float("inf"))
 
-    def one(m, x, sign):
-        low = np.tril(_matrix(m))
-        v = np.asarray(x, float)
-        return np.linalg.cholesky(low @ low.T + sign * np.outer(v, v)).tolist()
 
-    return pd.Series([one(*r) for r in zip(factors, vectors, signs, strict=True)])
+def random_triangular(key: Column, size: int, lower: Column | bool = True, seed: int = 0) -> Column:
+    """A size * size matrix of numbers above 0 and below 1 on and below (or above) the diagonal, drawn by a seeded hash of the key and the place; zeros elsewhere."""
+    side = F.sequence(F.lit(0), F.lit(size - 1))
+    lower = F.lit(lower) if isinstance(lower, bool) else lower
+    draw = lambda i, j: (F.pmod(F.xxhash64(F.lit(seed), key, i, j), F.lit((1 << 53) - 1)) + 1).cast("double") / (1 << 53)
+    return F.transform(side, lambda i: F.transform(side, lambda j: F.when((i == j) | ((i > j) == lower), draw(i, j)).otherwise(F.lit(0.0))))
 
 
 # ---- images as arrays of rows

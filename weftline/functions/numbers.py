@@ -170,19 +170,19 @@ def rgb_to_hsi(rgb: Column) -> Column:
 
 
 def rectangle_ratio(corners: np.ndarray, center: np.ndarray, focal: float | None = None) -> float:
-    """Width to height of a rectangle seen in perspective (whiteboard rectification by vanishing points).
+    """Ratio of a rectangle's sides, seen in perspective, after Zhang and He, "Whiteboard scanning and image enhancement" (2007).
 
-    corners: top left, top right, bottom right, bottom left in pixels; center: the principal point.
+    corners: in pixels, one way round; the side from the first to the last is divided by that from the first to the second. center: the principal point. The rectangle's two directions are
+    the kernels that make its corners meet: scales s of the corners' rays with s0 r0 - s1 r1 + s2 r2 - s3 r3 = 0 give its sides
+    s1 r1 - s0 r0 and s3 r3 - s0 r0 in the camera's frame, up to the focal length, which follows from their right angle.
     """
-    m1, m3, m4, m2 = (np.append(np.asarray(c, float) - center, 1.0) for c in corners)
-    k2 = np.cross(m1, m4) @ m3 / (np.cross(m2, m4) @ m3)
-    k3 = np.cross(m1, m4) @ m2 / (np.cross(m3, m4) @ m2)
-    n2, n3 = k2 * m2 - m1, k3 * m3 - m1
-    if np.isclose(k2, 1) and np.isclose(k3, 1):  # seen straight on
-        return float(np.hypot(*(m2 - m1)[:2]) / np.hypot(*(m3 - m1)[:2]))
-    f2 = focal * focal if focal else -(n2[:2] @ n3[:2]) / (n2[2] * n3[2])
-    length = lambda n: n[:2] @ n[:2] / f2 + n[2] * n[2]
-    ratio = length(n2) / length(n3)
+    rays = np.column_stack([np.asarray(corners, float) - center, np.ones(4)])
+    scale = np.append(1.0, np.linalg.solve(np.column_stack([rays[1], -rays[2], rays[3]]), rays[0]))
+    across, down = scale[1] * rays[1] - scale[0] * rays[0], scale[3] * rays[3] - scale[0] * rays[0]
+    if np.allclose([across[2], down[2]], 0, atol=1e-8):  # seen straight on
+        return float(np.linalg.norm(down[:2]) / np.linalg.norm(across[:2]))
+    square = focal * focal if focal else -(across[:2] @ down[:2]) / (across[2] * down[2])
+    ratio = (down[:2] @ down[:2] + square * down[2] ** 2) / (across[:2] @ across[:2] + square * across[2] ** 2)
     return float(np.sqrt(ratio)) if ratio >= 0 else -1.0
 
 

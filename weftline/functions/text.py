@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Sequence
 
@@ -281,3 +282,94 @@ def escaped_ascii(data: Column) -> Column:
     """Bytes as text, those above 127 as backslash, x and two hex digits."""
     digits = F.filter(F.split(F.lower(F.hex(data)), "(?<=\\G..)"), lambda x: x != "")
     return F.array_join(F.transform(digits, lambda x: F.when(x < "80", F.char(F.conv(x, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\x"), x))), "")
+
+
+def detokenize(tokens: Column) -> Column:
+    """A sentence from words in the Penn Treebank's style: clitics, closing marks and units go to the word before, opening marks to the one after."""
+    out = F.array_join(tokens, " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(^| )`` ?", '$1"'), r" ?''(?= |$)", '"')
+    out = F.regexp_replace(out, r" (n't|'(?:s|m|d|ll|re|ve|S|M|D|LL|RE|VE))(?= |$)", "$1")
+    out = F.regexp_replace(out, r"([(\[{$#]) ", "$1")
+    return F.regexp_replace(out, r" ((?:\.\.\.|[.,;:!?%)\]}])+)", "$1")
+
+
+_INLINE = re.compile(r"(`+)(.+?)\1|\*\*(.+?)\*\*|__(.+?)__|\*(.+?)\*|(?<!\w)_(.+?)_(?!\w)|\[([^\]]*)\]\(([^)\s]*)\)|<(https?://[^>\s]+)>|\\([!-/:-@\[-`{-~])", re.S)
+
+
+def _inline(t: str) -> str:
+    out, at = [], 0
+    for m in _INLINE.finditer(t):
+        out.append(html.escape(t[at : m.start()]))
+        code, strong, em = m[2], m[3] or m[4], m[5] or m[6]
+        if code:
+            out.append(f"<code>{html.escape(code)}</code>")
+        elif strong:
+            out.append(f"<strong>{_inline(strong)}</strong>")
+        elif em:
+            out.append(f"<em>{_inline(em)}</em>")
+        elif m[8] is not None:
+            out.append(f'<a href="{html.escape(m[8])}">{_inline(m[7])}</a>')
+        elif m[9]:
+            out.append(f'<a href="{html.escape(m[9])}">{html.escape(m[9])}</a>')
+        else:
+            out.append(html.escape(m[10]))
+        at = m.end()
+    return "".join(out) + html.escape(t[at:])
+
+
+_BULLET, _NUMBER = re.compile(r"[-*+] +(.*)"), re.compile(r"\d+[.)] +(.*)")
+
+
+def _blocks_to_html(lines: list[str]) -> str:
+    out, i = [], 0
+
+    def taken(test) -> list[str]:
+        nonlocal i
+        first = i
+        while i < len(lines) and test(lines[i]):
+            i += 1
+        return lines[first:i]
+
+    def starts(x: str) -> bool:
+        return bool(re.match(r"#{1,6} |```|>|(?:-{3,}|\*{3,}|_{3,})\s*$", x) or _BULLET.match(x) or _NUMBER.match(x))
+
+    while i < len(lines):
+        x = lines[i]
+        if not x.strip():
+            i += 1
+        elif x.startswith("```"):
+            i += 1
+            code = taken(lambda y: not y.startswith("```"))
+            i += 1
+            out.append("<pre><code>" + "".join(html.escape(y) + "\n" for y in code) + "</code></pre>")
+        elif m := re.match(r"(#{1,6}) +(.*?)\s*#*$", x):
+            i += 1
+            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
+        elif re.match(r"(?:-{3,}|\*{3,}|_{3,})\s*$", x):
+            i += 1
+            out.append("<hr />")
+        elif x.startswith(">"):
+            out.append("<blockquote>\n" + _blocks_to_html([re.sub(r"^> ?", "", y) for y in taken(lambda y: y.startswith(">"))]) + "\n</blockquote>")
+        elif kind := next((k for k in (_BULLET, _NUMBER) if k.match(x)), None):
+            name = "ul" if kind is _BULLET else "ol"
+            items = "".join(f"<li>{_inline(kind.match(y)[1])}</li>\n" for y in taken(kind.match))
+            out.append(f"<{name}>\n{items}</{name}>")
+        else:
+            first = i
+            i += 1
+            taken(lambda y: y.strip() and not starts(y))
+            out.append("<p>" + _inline("\n".join(y.strip() for y in lines[first:i])) + "</p>")
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def markdown_to_html(s: pd.Series) -> pd.Series:
+    """Headings, paragraphs, lists, quotes, rules, fenced and inline code, emphasis and links as HTML; a single paragraph stands without its tags."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        made = _blocks_to_html(t.splitlines())
+        return made[3:-4] if made.count("<p>") == made.count("</p>") == 1 and made.startswith("<p>") and made.endswith("</p>") else made
+
+    return s.map(one)

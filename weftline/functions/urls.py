@@ -51,3 +51,11 @@ def path_extension(path: Column) -> Column:
 
 def url_extension(url: Column) -> Column:
     return path_extension(path_of(url))
+
+
+def file_uri(path: Column, **parameters: Column) -> Column:
+    """A file: URI of an embedded database: reserved characters of the path are written by their codes, parameters follow as a query."""
+    for mark, code in (("%", "%25"), ("?", "%3f"), ("#", "%23")):  # the per cent sign first
+        path = F.replace(path, F.lit(mark), F.lit(code))
+    query = [F.concat(F.url_encode(F.lit(k)), F.lit("="), F.url_encode(v)) for k, v in parameters.items()]
+    return F.concat(F.lit("file:"), F.regexp_replace(path, "/+", "/"), F.lit("?"), F.concat_ws("&", *query))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def parallel_map(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -69,6 +73,19 @@ def at_most_every(seconds: float, f: Callable[..., Any], clock: Callable[[], flo
     return call
 
 
+@contextmanager
+def lasting(seconds: float, sleep: Callable[[float], Any] = time.sleep, clock: Callable[[], float] = time.monotonic, on_error: bool = False) -> Iterator[None]:
+    """What runs inside takes so many seconds at least: the rest is waited for, after an error only if asked."""
+    began, ok = clock(), False
+    try:
+        yield
+        ok = True
+    finally:
+        left = seconds - (clock() - began)
+        if left > 0 and (ok or on_error):
+            sleep(left)
+
+
 def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     """The table and an observation of its rows, taken as they pass."""
     seen = Observation(name)
@@ -114,3 +131,60 @@ def good_and_bad(df: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
     """(rows that pass, rows for quarantine); a test without answer is not passed."""
     ok = F.coalesce(test, F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+def consume(df: DataFrame) -> int:
+    """Compute every row and keep none; their number."""
+    seen = Observation("consumed")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
+
+
+def array_only(df: DataFrame, column: str) -> DataFrame:
+    """df, if the column holds arrays; a text or bytes, which would be taken apart by mistake, is refused before anything runs."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, ArrayType):
+        raise TypeError(f"{column} is {kind.simpleString()} and no array")
+    return df
+
+
+def prefetched(values: Iterator, size: int) -> Iterator:
+    """The values, computed by a thread up to `size` ahead of who reads them; it waits when the buffer is full, and its error is raised in turn."""
+    waiting: queue.Queue = queue.Queue(size)
+    end, gone = object(), threading.Event()
+
+    def put(x) -> bool:
+        while not gone.is_set():
+            try:
+                waiting.put(x, timeout=0.1)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def work() -> None:
+        try:
+            for v in values:
+                if not put((None, v)):
+                    return
+            put((None, end))
+        except BaseException as e:  # handed to the reader
+            put((e, end))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        while True:
+            error, v = waiting.get()
+            if error is not None:
+                raise error
+            if v is end:
+                return
+            yield v
+    finally:
+        gone.set()
+
+
+def frame_json(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """One row `json`: an object of column arrays, for small frames (it is one value)."""
+    rows = df.agg(F.sort_array(F.collect_list(F.struct(F.struct(*order_by).alias("_k"), F.struct(*df.columns).alias("_v")))).alias("_l"))
+    return rows.select(F.to_json(F.struct(*[F.col("_l._v").getField(c).alias(c) for c in df.columns])).alias("json"))

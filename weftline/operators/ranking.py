@@ -7,9 +7,11 @@ Samples are drawn by a seeded hash of a key, so a lost partition that is compute
 from __future__ import annotations
 
 import heapq
+import random
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -126,6 +128,47 @@ def shuffled(df: DataFrame, key: Names, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
 
 
+def buffer_shuffled(values: Iterator, size: int, seed: int = 0) -> Iterator:
+    """A stream in partly random order, through a buffer of `size` values: each new value takes the place of one drawn from it."""
+    if size < 1:
+        raise ValueError("size must be 1 or more")
+    rng, held = random.Random(seed), []
+    for v in values:
+        if len(held) < size:
+            held.append(v)
+            continue
+        k = rng.randrange(size)
+        yield held[k]
+        held[k] = v
+    rng.shuffle(held)
+    yield from held
+
+
+def buffer_shuffle(df: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """The rows of each partition in partly random order, without a shuffle between tasks and with `size` rows in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        schema, out = None, []
+
+        def rows() -> Iterator[dict]:
+            nonlocal schema
+            for b in batches:
+                schema = b.schema
+                yield from b.to_pylist()
+
+        for r in buffer_shuffled(rows(), size, hash((seed, TaskContext.get().partitionId()))):
+            out.append(r)
+            if len(out) == 4096:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sample_range(spark: SparkSession, total: int, count: int, seed: int = 0, ordered: bool = False) -> DataFrame:
     """count of the numbers below total, without replacement."""
     if count > total:

@@ -21,6 +21,12 @@ def vec(name, build, sql, places=5):
         f"SELECT vec_id, round({sql}, {places}) AS v FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings)")
 
 
+def whole(name, build, sql, places=5):
+    """A number of each whole embedding: vec_id, v."""
+    add(name, lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(build(F.col("embedding")), places).alias("v")),
+        f"SELECT vec_id, round({sql}, {places}) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings)")
+
+
 def fixed(name, columns, rows, build, expected):
     """A function of literal rows with fixed results: k, v."""
     def q(v):
@@ -37,20 +43,20 @@ def text(x, depth=1):
 
 
 vec("dot_embeddings", A.inner, "list_inner_product(a, b)")
-vec("euclidean_norm_embeddings", lambda a, b: A.norm(a), "sqrt(list_inner_product(a, a))")
+whole("euclidean_norm_embeddings", lambda a: A.norm(a), "sqrt(list_inner_product(a, a))")
 vec("cosine_similarity_embeddings", A.cosine, "list_cosine_similarity(a, b)")
 vec("batch_inner_embeddings", A.inner, "list_inner_product(a, b)")
 vec("vector_distance_embeddings", A.distance, "list_distance(a, b)")
 vec("batch_outer_trace", lambda a, b: A.total(F.transform(A.outer(a, b), lambda r, i: F.get(r, i))), "list_inner_product(a, b)")
 vec("quadratic_form_embeddings", lambda a, b: A.quadratic(A.outer(a, b), b), "list_inner_product(b, a) * list_inner_product(b, b)")
-vec("logtrace_embeddings", lambda a, b: A.log_trace(A.outer(F.transform(a, lambda x: F.abs(x) + 1), F.transform(a, lambda x: F.abs(x) + 1))), "list_sum(list_transform(a, lambda x: 2 * ln(abs(x) + 1)))", 4)
+whole("logtrace_embeddings", lambda a: A.log_trace(A.outer(F.transform(a, lambda x: F.abs(x) + 1), F.transform(a, lambda x: F.abs(x) + 1))), "list_sum(list_transform(a, lambda x: 2 * ln(abs(x) + 1)))", 4)
 vec("histogram_correlation_embeddings", lambda a, b: A.histogram_correlation(F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: x.cast("double"))),
     "(list_inner_product(a, b) - list_sum(a) * list_sum(b) / 32) / sqrt((list_inner_product(a, a) - pow(list_sum(a), 2) / 32) * (list_inner_product(b, b) - pow(list_sum(b), 2) / 32))", 4)
 vec("hamming_dist_signs", lambda a, b: A.hamming(F.transform(a, F.signum), F.transform(b, F.signum)), "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN sign(a[i]) <> sign(b[i]) THEN 1 ELSE 0 END))::BIGINT")
 vec("hamming_packed_embeddings", lambda a, b: A.hamming_packed(F.transform(a, lambda x: F.floor(F.abs(x) * 255).cast("int")), F.transform(b, lambda x: F.floor(F.abs(x) * 255).cast("int"))),
     "list_sum(list_transform(range(1, 33), lambda i: bit_count(xor(floor(abs(a[i]) * 255)::INT, floor(abs(b[i]) * 255)::INT))))::BIGINT")
-vec("stochastic_rows", lambda a, b: A.inner(A.stochastic(a), A.stochastic(a)), "list_inner_product(a, a) / pow(list_sum(list_transform(a, lambda x: abs(x))), 2)")
-vec("shiftedexp_rows", lambda a, b: A.total(A.shifted_exp(F.transform(a, lambda x: x.cast("double")))), "list_sum(list_transform(a, lambda x: exp(x - list_max(a))))")
+whole("stochastic_rows", lambda a: A.inner(A.stochastic(a), A.stochastic(a)), "list_inner_product(a, a) / pow(list_sum(list_transform(a, lambda x: abs(x))), 2)")
+whole("shiftedexp_rows", lambda a: A.total(A.shifted_exp(F.transform(a, lambda x: x.cast("double")))), "list_sum(list_transform(a, lambda x: exp(x - list_max(a))))")
 on("batchtopk_embeddings", "embeddings", lambda e: e.select("vec_id", A.top_k(F.col("embedding"), 3).alias("t")).select("vec_id", F.array_join(F.transform("t", lambda x: x["index"]), ",").alias("at"), F.round(F.get("t", 0)["value"].cast("double"), 6).alias("least")),
    "SELECT vec_id, string_agg((i - 1)::VARCHAR, ',' ORDER BY v, i) FILTER (WHERE k <= 3) AS at, round(min(v)::DOUBLE, 6) AS least FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v, i) AS k FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY 1")
 on("batchtopk_reverse", "embeddings", lambda e: e.select("vec_id", F.array_join(F.transform(A.top_k(F.col("embedding"), 2, True), lambda x: x["index"]), ",").alias("at")),

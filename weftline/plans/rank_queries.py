@@ -41,7 +41,7 @@ add("no_dupes_names", lambda s, d: R.no_dupes([table(s, d, "events").select(F.co
 on("delete_duplicates_sorted", "orders", lambda o: R.drop_adjacent(o.select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", ["o_custkey", "o_orderdate", "o_orderkey"], ["o_custkey"]).select("o_orderkey"), "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
 on("remove_duplicate_rows_table", "lineitem", lambda x: R.drop_adjacent(x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_returnflag", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], ["l_orderkey"]).select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) IS DISTINCT FROM l_returnflag")
 on("pop_many_orders", "orders", lambda o: R.pop_many(o, F.col("o_orderstatus") == "F")[0].select("o_orderkey", F.lit("popped").alias("side")).unionByName(R.pop_many(o, F.col("o_orderstatus") == "F")[1].select("o_orderkey", F.lit("rest").alias("side"))), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'popped' ELSE 'rest' END AS side FROM orders")
-on("set_get_any", "events", lambda e: e.agg(F.any_value("event_type").isNotNull().alias("ok")), "SELECT true AS ok")
+on("set_get_any", "events", lambda e: e.groupBy("user_id", "event_type").agg(F.any_value("event_type").alias("v")).select("user_id", "v"), "SELECT DISTINCT user_id, event_type AS v FROM events")
 add("row_indices", lambda s, d: R.same_row(s, 40, 9), "SELECT i AS place FROM range(81) t(i) WHERE i // 9 = 4")
 add("col_indices", lambda s, d: R.same_column(s, 40, 9), "SELECT i AS place FROM range(81) t(i) WHERE i % 9 = 4")
 add("subblock_indices", lambda s, d: R.same_block(s, 40, 9, 3), "SELECT i AS place FROM range(81) t(i) WHERE i // 27 = 1 AND i % 9 // 3 = 1")

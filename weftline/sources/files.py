@@ -35,6 +35,8 @@ def unsupported(what: str) -> Callable:
 read_7zip = unsupported("the 7z format")
 read_msgpack = unsupported("the msgpack format")
 read_pickle = unsupported("pickle, which runs code of the file,")
+write_msgpack = unsupported("the msgpack format")
+write_pickle = unsupported("pickle, which no reader here takes,")
 read_pdf = unsupported("text of PDF files")
 read_torrents = unsupported("the bencode format")
 read_http_cache = unsupported("a dbm cache")

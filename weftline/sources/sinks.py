@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -128,3 +129,27 @@ def write_file(spark: SparkSession, lines: Sequence[str], path: str) -> None:
     spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k long, value string").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
 
 
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write df to path, whole or not at all: it is written beside, and renamed when complete; a failure leaves what stood there as it was.
+
+    Stores that rename folders do so at once; between the two renames a reader finds nothing, and never a half.
+    """
+    spark = df.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+        there = fs.exists(jvm_path(path))
+        if there and not fs.rename(jvm_path(path), jvm_path(old)):
+            raise OSError(f"{path} could not be moved away")
+        if not fs.rename(jvm_path(new), jvm_path(path)):
+            if there:
+                fs.rename(jvm_path(old), jvm_path(path))
+            raise OSError(f"{path} could not be replaced")
+        if there:
+            fs.delete(jvm_path(old), True)
+    finally:
+        fs.delete(jvm_path(new), True)
