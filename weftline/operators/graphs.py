@@ -14,8 +14,10 @@ from weftline.session import checkpointed
 HUBS = 10_000
 
 
-def _with_least(edges: DataFrame, degrees: DataFrame, bound: int) -> DataFrame:
-    """u, v, m (the least neighbour of u). Nodes of more than `bound` edges are at most edges / bound: their m is broadcast; the others meet theirs by a join."""
+def _with_least(edges: DataFrame, degrees: DataFrame, bound: int | None) -> DataFrame:
+    """u, v, m (the least neighbour of u). With a bound, nodes of more edges than that, at most edges / bound of them, get their m by a broadcast and not by a join."""
+    if bound is None:
+        return edges.join(degrees.select("u", "m"), "u").select("u", "v", "m")
     hubs = F.broadcast(degrees.where(F.col("n") > bound).select("u", "m"))
     of_hubs = edges.join(hubs, "u").select("u", "v", "m")
     rest = edges.join(hubs.select("u"), "u", "left_anti").join(degrees.where(F.col("n") <= bound).select("u", "m"), "u").select("u", "v", "m")
@@ -23,7 +25,7 @@ def _with_least(edges: DataFrame, degrees: DataFrame, bound: int) -> DataFrame:
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
 
 
 def contracted(edges: DataFrame, hubs: int = HUBS) -> DataFrame:
@@ -37,14 +39,16 @@ def contracted(edges: DataFrame, hubs: int = HUBS) -> DataFrame:
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     mark = None
     while True:
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark or not row[0]:
-            return now.select("u", F.col("v").alias("component"))
-        mark, bound = tuple(row), max(1000, 2 * row[0] // hubs)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _degrees(both).select("u", F.least("u", "m").alias("m"), "n")
+        degrees = _degrees(both)
+        row = degrees.agg(F.sum("n").alias("ends"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+        if not row["ends"] or row == mark:
+            return now.select("u", F.col("v").alias("component"))
+        mark, bound = row, max(1000, row["ends"] // hubs)
+        bound = bound if row["most"] > bound else None  # later in the round no node has more edges than here
+        least = degrees.select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both, least, bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = checkpointed(large)
+        large = checkpointed(large) if bound else large
         least = _degrees(large)
         small = _with_least(large, least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

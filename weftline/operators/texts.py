@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from weftline.operators.ordering import with_index
+from weftline.session import written
 
 Names = Sequence[str]
 
@@ -38,13 +40,23 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "token"))
 
 
+#: Sizes up to this are numbered by one window over so many rows; larger vocabularies by a range-partitioned sort.
+SMALL = 100_000
+
+
 def vocabulary(tok: DataFrame, size: int | None = None) -> DataFrame:
-    """token, count, idx: by first appearance, or with a size its most frequent tokens (ties by token) by count."""
-    counted = tok.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("doc", "pos")).alias("_first"))
+    """token, count, idx: by first appearance, or with a size its most frequent tokens (ties by token) by count. Written once, so that it may be used often."""
     if size is None:
+        # The place of whole-number ids as one number: a struct's least can't be kept in a hash aggregation, and would sort all words.
+        whole = isinstance(tok.schema["doc"].dataType, T.IntegralType)
+        place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos") if whole else F.struct("doc", "pos")
+        counted = tok.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("_first"))
         return with_index(counted, ["_first"], (), "idx").select("token", "count", "idx")
-    top = counted.orderBy(F.col("count").desc(), "token").limit(size)
-    return with_index(top, [F.col("count").desc(), F.col("token").asc()], (), "idx").select("token", "count", "idx")
+    order = [F.col("count").desc(), F.col("token").asc()]
+    top = tok.groupBy("token").agg(F.count(F.lit(1)).alias("count")).orderBy(*order).limit(size)
+    if size > SMALL:
+        return with_index(top, order, (), "idx").select("token", "count", "idx")
+    return written(top.withColumn("idx", (F.row_number().over(W.orderBy(*order)) - 1).cast("long")))
 
 
 def transform(tok: DataFrame, vocab: DataFrame) -> DataFrame:
