@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from weftline.llm.common import shared_dir
 
 RATE, TARGET = 0.2, 0.999
-#: Sampled places of a repetition; repetitions beyond which a class is searched without buckets.
-SAMPLES, MOST_REPEATS = 3, 1024
+#: Sampled places of a repetition in blocks of up to FEW_WORDS words of items, and in larger ones, where buckets must part more items.
+FEW_SAMPLES, SAMPLES, FEW_WORDS = 2, 3, 100_000
+#: Repetitions beyond which a class is searched without buckets.
+MOST_REPEATS = 1024
 #: The longest item of a class has so many times the words of its shortest.
 SPREAD = 1.25
 #: Words of items that one pass over the documents takes to the workers.
@@ -105,6 +107,7 @@ class Items:
                 numbers = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
                 self.items.append((item, numbers, allowed(len(w), rate)))
         self.longest = max((len(w) + 2 * e for _, w, e in self.items), default=0)
+        self.samples = FEW_SAMPLES if sum(len(w) for _, w, _ in self.items) <= FEW_WORDS else SAMPLES
         self.classes: list[Class] = []
         for k in sorted(range(len(self.items)), key=lambda k: len(self.items[k][1])):
             _, w, e = self.items[k]
@@ -120,7 +123,7 @@ class Items:
 
     def places(self, c: Class, repetition: int) -> np.ndarray:
         rng = np.random.default_rng([c.least, repetition])
-        return np.sort(rng.choice(c.least, min(SAMPLES, c.least), replace=False))
+        return np.sort(rng.choice(c.least, min(self.samples, c.least), replace=False))
 
     def live(self, c: Class, words: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold enough words of the class's items."""
