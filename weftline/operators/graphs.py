@@ -44,7 +44,7 @@ def contracted(edges: DataFrame, hubs: int = HUBS) -> DataFrame:
         row = degrees.agg(F.sum("n").alias("ends"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
         if not row["ends"] or row == mark:
             return now.select("u", F.col("v").alias("component"))
-        mark, bound = row, max(1000, row["ends"] // hubs)
+        mark, bound = row, max(100, row["ends"] // hubs)
         bound = bound if row["most"] > bound else None  # later in the round no node has more edges than here
         least = degrees.select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both, least, bound).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
