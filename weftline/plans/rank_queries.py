@@ -47,7 +47,10 @@ add("col_indices", lambda s, d: R.same_column(s, 40, 9), "SELECT i AS place FROM
 add("subblock_indices", lambda s, d: R.same_block(s, 40, 9, 3), "SELECT i AS place FROM range(81) t(i) WHERE i // 27 = 1 AND i % 9 // 3 = 1")
 add("to_2d_index", lambda s, d: s.range(50).select("id", R.to_2d(F.col("id"), 7).alias("p")).select("id", "p.y", "p.x"), "SELECT i AS id, i // 7 AS y, i % 7 AS x FROM range(50) t(i)")
 add("indices_2d", lambda s, d: s.range(12).select(R.to_2d(F.col("id"), 5).alias("p")).select("p.y", "p.x"), "SELECT i // 5 AS y, i % 5 AS x FROM range(12) t(i)")
-on("connected_subgraph_parts", "lineitem", lambda x: G.of_size(x.select((F.col("l_partkey") % 400).alias("a"), (F.col("l_partkey") % 400 + F.col("l_linenumber") * 400 % 7).alias("b")), 3).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+on("connected_subgraph_parts", "lineitem", lambda x: G.of_size(x.select((F.col("l_partkey") % 400).alias("a"), (F.col("l_partkey") % 400 + F.col("l_linenumber") * 400 % 7).alias("b")), 3).groupBy("component").agg(F.count(F.lit(1)).alias("n")),
+   """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS a, l_partkey % 400 + l_linenumber * 400 % 7 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node)
+SELECT component, count(*) AS n FROM (SELECT node, min(c) AS component FROM r GROUP BY 1) GROUP BY 1 HAVING count(*) >= 3""")
 add("connected_subgraph_chains", lambda s, d: G.of_size(s.range(2000).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), 2), "SELECT i AS node, i // 10 * 10 AS component FROM range(2000) t(i)")
 _TREE = lambda s, d: table(s, d, "nation").select(F.split(F.lower("n_name"), "").alias("k"), F.col("n_nationkey").alias("value")).select(F.slice("k", 1, 4).alias("keys"), "value")
 add("trie_longest_prefix", lambda s, d: G.longest_prefix(table(s, d, "nation").select("n_nationkey", F.split(F.lower("n_name"), "").alias("q")), "q", _TREE(s, d).groupBy("keys").agg(F.min("value").alias("value")), ids=["n_nationkey"]).select("n_nationkey", F.array_join("prefix", "").alias("prefix"), "value"),
