@@ -14,6 +14,7 @@ from weftline.operators import joins as J
 from weftline.operators import ranking as R
 from weftline.operators import sequences as S
 from weftline.operators import tables as TB
+from weftline.operators import topics as TP
 from weftline.operators.ordering import carried, running_sum, with_index
 
 
@@ -357,3 +358,49 @@ def test_shuffle_buffer_and_prefetch():
     with pytest.raises(KeyError):
         list(C.prefetched(fails(), 2))
     assert next(C.prefetched(iter(int, 1), 2)) == 0  # an endless source ends with its reader
+
+
+# ---- topics
+
+
+def _two_subjects(spark, parts=3):
+    rows = [(d, p, w) for d in range(24) for p, w in enumerate(random.Random(d).choices("abcd" if d % 2 else "wxyz", k=30))]
+    tok = spark.createDataFrame(rows, "doc long, pos int, token string").repartition(parts)
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate("abcdwxyz")], "token string, idx long")
+    return tok, vocab
+
+
+def test_sampled_topics_part_two_subjects(spark):
+    tok, vocab = _two_subjects(spark)
+    found, counts = TP.sample_topics(tok, vocab, 2, 15, seed=3)
+    rows = found.collect()
+    assert len(rows) == 24 * 30
+    mains = {d: max((0, 1), key=[r["topic"] for r in rows if r["doc"] == d].count) for d in range(24)}
+    assert {mains[d] for d in range(0, 24, 2)} != {mains[d] for d in range(1, 24, 2)}
+    assert len({mains[d] for d in range(0, 24, 2)}) == len({mains[d] for d in range(1, 24, 2)}) == 1
+    brute = {}
+    for r in rows:
+        brute.setdefault(r["idx"], [0.0, 0.0])[r["topic"]] += 1
+    assert {r["idx"]: r["counts"] for r in counts.collect()} == brute
+    # New documents take the topic of their subject.
+    new = spark.createDataFrame([(1, 0, "a"), (1, 1, "c"), (1, 2, "unknown"), (2, 0, "z"), (2, 1, "w")], "doc long, pos int, token string")
+    told = {r["doc"]: r["topics"] for r in TP.infer(new, vocab, counts, 2).collect()}
+    assert told == {1: [mains[1]] * 2, 2: [mains[0]] * 2}
+
+
+def test_sampled_topics_do_not_depend_on_partitions(spark):
+    results = []
+    for parts in (1, 7):
+        tok, vocab = _two_subjects(spark, parts)
+        found, _ = TP.sample_topics(tok, vocab, 2, 2, scheme="RAND")
+        results.append(sorted(tuple(r) for r in found.collect()))
+    assert results[0] == results[1]
+
+
+def test_sampled_topics_of_empty_and_odd_rows(spark):
+    tok, vocab = _two_subjects(spark)
+    found, counts = TP.sample_topics(tok.limit(0), vocab, 2, 1)
+    assert found.count() == counts.count() == 0
+    assert TP.infer(tok, vocab, counts, 2, 1).count() == 24
+    odd = spark.createDataFrame([(None, 0, "a"), (5, 0, None), (6, 0, "a"), (6, 1, "a")], "doc long, pos int, token string")
+    assert {(r["doc"], r["pos"], r["idx"]) for r in TP.sample_topics(odd, vocab, 2, 1)[0].collect()} == {(6, 0, 0), (6, 1, 0)}

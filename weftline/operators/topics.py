@@ -1,9 +1,10 @@
 """Collapsed Gibbs sampling of topics, distributed over documents, with optional term weights.
 
-Documents keep their assignments in a table. In each round every task samples its documents against the word-topic counts
-of the round before, which it updates by its own moves as it goes; the counts are then summed anew (approximate distributed
-sampling, as published for parallel topic models). The counts are vocabulary size times topics numbers, which `most_counts`
-bounds before they are sent to the tasks.
+Documents keep their assignments in a table, and so do words their counts: one row a word, one number a topic. In each round a document
+is joined with the rows of its own words and sampled against these counts of the round before, changed by its own moves alone (approximate
+distributed sampling, as published for parallel topic models); then the counts are summed anew. A document's result follows from its id, its words
+and the round's counts, so it is the same however documents are dealt to tasks, and a lost task draws the same again. Nothing
+that grows with the vocabulary comes to the driver or is sent in a closure: that is one total a topic.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregates as A
-from weftline.session import checkpointed
+from weftline.session import checkpointed, written
 
-_SCHEMA = "doc long, ids array<int>, weights array<double>, topics array<int>"
+_SCHEMA = "doc long, ids array<long>, weights array<double>, topics array<int>"
+#: Documents that become Python lists at a time.
+STEP = 256
 
 
 def term_weights(tok: DataFrame, scheme: str, seed: int = 0) -> DataFrame:
@@ -41,81 +44,102 @@ def _uniform(h: Column) -> Column:
     return F.pmod(h, F.lit(1 << 30)).cast("double") / (1 << 30)
 
 
-def _round(topics: int, alpha: float, beta: float, counts: np.ndarray | None, seed: int, frozen: bool):
+def _sampled(rng: np.random.Generator, ids: list[int], weights: list[float], now: list[int], seen: dict[int, np.ndarray], totals: np.ndarray, size: int, alpha: float, beta: float, frozen: bool) -> list[int]:
+    """The topics of one document's words after one sweep from those in `now`."""
+    topics = len(totals)
+    own = np.bincount(now, weights, topics) if now else np.zeros(topics)
+    nothing = np.zeros(topics)
+    for i, (t, w) in enumerate(zip(ids, weights, strict=True)):
+        k, of_word = now[i], seen.get(t, nothing)
+        own[k] -= w
+        if not frozen:
+            of_word[k] -= w
+            totals[k] -= w
+        p = np.cumsum(np.maximum((own + alpha / topics) * (of_word + beta / size) / (totals + beta), 0))
+        k = now[i] = int(min(np.searchsorted(p, rng.random() * p[-1], side="right"), topics - 1))
+        own[k] += w
+        if not frozen:
+            of_word[k] += w
+            totals[k] += w
+    return now
+
+
+def _round(topics: int, alpha: float, beta: float, totals: list[float] | None, size: int, seed: int, sweeps: int, frozen: bool):
+    """doc, ids, weights, topics, seen (idx, counts of the document's words) to the same with new topics; random ones without totals."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = None if counts is None else counts.astype(float).copy()
-        size = 0 if local is None else local.shape[1]
-        sums = None if local is None else local.sum(axis=1)
-        for b in batches:
-            out = []
-            for doc, ids, weights, old in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rng = np.random.default_rng([seed, doc & 0x7FFFFFFF])
-                if local is None or old is None:
-                    now = rng.integers(0, topics, len(ids)).tolist()
-                else:
-                    now, own = list(old), np.bincount(old, weights, topics) if len(old) else np.zeros(topics)
-                if local is not None:
-                    if old is None:
-                        own = np.bincount(now, weights, topics) if len(now) else np.zeros(topics)
-                    for i, (t, w) in enumerate(zip(ids, weights, strict=True)):
-                        k = now[i]
-                        own[k] -= w
-                        if not frozen:
-                            local[k, t] -= w
-                            sums[k] -= w
-                        p = np.cumsum(np.maximum((own + alpha / topics) * (local[:, t] + beta / size) / (sums + beta), 0))
-                        k = now[i] = int(min(np.searchsorted(p, rng.random() * p[-1], side="right"), topics - 1))
-                        own[k] += w
-                        if not frozen:
-                            local[k, t] += w
-                            sums[k] += w
-                out.append(now)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.int32()))], names=["doc", "ids", "weights", "topics"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                b, out = whole.slice(at, STEP), []
+                for doc, ids, weights, old, seen in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    rng = np.random.default_rng([seed, (doc or 0) & 0x7FFFFFFF])
+                    now = list(old) if old is not None else rng.integers(0, topics, len(ids)).tolist()
+                    if totals is not None:
+                        known = {x["idx"]: np.array(x["counts"]) for x in seen or ()}
+                        for _ in range(sweeps):
+                            now = _sampled(rng, ids, weights, now, known, np.array(totals), size, alpha, beta, frozen)
+                    out.append(now)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(out, pa.list_(pa.int32()))], names=["doc", "ids", "weights", "topics"])
 
     return run
 
 
-def _counts(held: DataFrame, topics: int, size: int) -> np.ndarray:
+def _counts(held: DataFrame, topics: int) -> DataFrame:
+    """idx, counts (array of one number a topic) of the assignments, summed per word and topic before they meet per word."""
     flat = held.select(F.explode(F.arrays_zip("ids", "weights", "topics")).alias("x"))
-    out = np.zeros((topics, size))
-    for r in flat.groupBy("x.ids", "x.topics").agg(F.sum("x.weights").alias("n")).toLocalIterator():  # at most size * topics rows
-        out[r["topics"], r["ids"]] = r["n"]
-    return out
+    cells = flat.groupBy(F.col("x.ids").alias("idx"), F.col("x.topics").alias("topic")).agg(F.sum("x.weights").alias("n"))
+    rows = cells.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(topics - 1))
+    return written(rows.select("idx", F.transform(every, lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("counts")))
+
+
+def _totals(counts: DataFrame, topics: int) -> list[float]:
+    """One number a topic."""
+    return [float(x or 0) for x in counts.agg(*[F.sum(F.get("counts", F.lit(k))).alias(f"t{k}") for k in range(topics)]).first()]
+
+
+def _with_counts(held: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """held with `seen`: the counts of each document's distinct words."""
+    if counts is None:
+        return held.withColumn("seen", F.lit(None).cast("array<struct<idx:bigint,counts:array<double>>>"))
+    of_words = held.select("doc", F.explode(F.array_distinct("ids")).alias("idx")).join(counts, "idx")
+    return held.join(of_words.groupBy("doc").agg(F.collect_list(F.struct("idx", "counts")).alias("seen")), "doc", "left")
+
+
+def _documents(words: DataFrame) -> DataFrame:
+    """doc, places, ids, weights of rows (doc, pos, idx, weight)."""
+    docs = words.groupBy(F.col("doc").cast("long").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("pos", "idx", "weight"))).alias("w"))
+    return docs.select("doc", F.col("w.pos").alias("places"), F.col("w.idx").alias("ids"), F.col("w.weight").alias("weights"))
 
 
-def sample_topics(tok: DataFrame, vocab: DataFrame, topics: int, rounds: int = 20, alpha: float = 0.1, beta: float = 0.01, seed: int = 0, scheme: str = "ONE", most_counts: int = 20_000_000) -> tuple[DataFrame, np.ndarray]:
-    """(doc, pos, idx, topic of every word in the vocabulary; the word-topic counts of the last round).
+def sample_topics(tok: DataFrame, vocab: DataFrame, topics: int, rounds: int = 20, alpha: float = 0.1, beta: float = 0.01, seed: int = 0, scheme: str = "ONE") -> tuple[DataFrame, DataFrame]:
+    """(doc, pos, idx, topic of every word in the vocabulary; idx, counts: the word-topic counts of the last round).
 
-    tok: doc, pos, token; vocab: token, idx.
+    tok: doc (a whole number), pos, token; vocab: token, idx. Words outside the vocabulary and rows without a document's id go; empty
+    tables give empty ones. A document must fit a task, a vocabulary need not.
     """
-    size = vocab.count()
-    if size * topics > most_counts:
-        raise ValueError(f"{size} words and {topics} topics are more than {most_counts} counts")
-    words = tok.join(vocab.select("token", "idx"), "token")
+    size = max(vocab.count(), 1)
+    words = tok.where("doc IS NOT NULL").join(vocab.select("token", F.col("idx").cast("long").alias("idx")), "token")
     if scheme == "ONE":
         words = words.withColumn("weight", F.lit(1.0))
     else:
         words = words.join(term_weights(words.select("doc", "token"), scheme, seed), ["doc", "token"])
-    docs = words.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("idx").cast("int").alias("idx"), "weight"))).alias("w"))
-    held = docs.select(F.col("doc").cast("long").alias("doc"), F.transform("w", lambda x: x["idx"]).alias("ids"), F.transform("w", lambda x: x["weight"]).alias("weights"), F.lit(None).cast("array<int>").alias("topics"))
-    places = checkpointed(docs.select("doc", F.transform("w", lambda x: x["pos"]).alias("places")))
-    counts = None
+    docs = checkpointed(_documents(words))
+    held, counts = docs.select("doc", "ids", "weights", F.lit(None).cast("array<int>").alias("topics")), None
     for r in range(rounds + 1):
-        held = checkpointed(held.mapInArrow(_round(topics, alpha, beta, counts, seed + r, False), _SCHEMA))
-        counts = _counts(held, topics, size)
-    laid = held.join(places, "doc").select("doc", F.explode(F.arrays_zip("places", "ids", "topics")).alias("x"))
-    return laid.select("doc", F.col("x.places").alias("pos"), F.col("x.ids").cast("long").alias("idx"), F.col("x.topics").alias("topic")), counts
-
-
-def infer(tok: DataFrame, vocab: DataFrame, counts: np.ndarray, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01, seed: int = 0) -> DataFrame:
-    """doc, topics of new documents under frozen word-topic counts."""
-    topics = len(counts)
-    words = tok.join(vocab.select("token", "idx"), "token")
-    docs = words.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("idx").cast("int").alias("idx")))).alias("w"))
-    held = docs.select(F.col("doc").cast("long").alias("doc"), F.transform("w", lambda x: x["idx"]).alias("ids"), F.transform("w", lambda _: F.lit(1.0)).alias("weights"), F.lit(None).cast("array<int>").alias("topics"))
-    for r in range(rounds):
-        held = held.mapInArrow(_round(topics, alpha, beta, counts, seed + r, True), _SCHEMA)
-    return held.select("doc", "topics")
+        totals = None if counts is None else _totals(counts, topics)
+        held = checkpointed(_with_counts(held, counts).mapInArrow(_round(topics, alpha, beta, totals, size, seed + r, 1, False), _SCHEMA))
+        counts = _counts(held, topics)
+    laid = held.join(docs.select("doc", "places"), "doc").select("doc", F.explode(F.arrays_zip("places", "ids", "topics")).alias("x"))
+    return laid.select("doc", F.col("x.places").alias("pos"), F.col("x.ids").alias("idx"), F.col("x.topics").alias("topic")), counts
+
+
+def infer(tok: DataFrame, vocab: DataFrame, counts: DataFrame, topics: int, rounds: int = 10, alpha: float = 0.1, beta: float = 0.01, seed: int = 0) -> DataFrame:
+    """doc, topics of new documents under frozen word-topic counts (idx, counts), in one pass; a word without counts has zeros."""
+    words = tok.where("doc IS NOT NULL").join(vocab.select("token", F.col("idx").cast("long").alias("idx")), "token")
+    held = _documents(words.withColumn("weight", F.lit(1.0))).select("doc", "ids", "weights", F.lit(None).cast("array<int>").alias("topics"))
+    step = _round(topics, alpha, beta, _totals(counts, topics), max(vocab.count(), 1), seed, rounds, True)
+    return _with_counts(held, counts).mapInArrow(step, _SCHEMA).select("doc", "topics")
 
 
 def categorical(key: Column, weights: Column, seed: int = 0) -> Column:

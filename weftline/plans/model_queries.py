@@ -30,6 +30,17 @@ _WORDS = "(SELECT doc, token FROM (SELECT doc_id AS doc, unnest(list_filter(rege
 _IN = f"SELECT doc, count(*) AS n, true AS ok FROM {_WORDS} GROUP BY 1"
 add("lda_gibbs", _gibbs("ONE"), _IN)
 add("lda_term_weight_gibbs", _gibbs("PMI"), _IN)
+
+
+def _gibbs_counts(s, d):
+    tok = _tok(s, d)
+    vocab = T.vocabulary(tok)
+    _, counts = G.sample_topics(tok, vocab, 3, 1)
+    n = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    return counts.join(vocab, "idx").select("token", n.cast("long").alias("n"), F.size("counts").cast("long").alias("topics"))
+
+
+add("lda_gibbs_counts", _gibbs_counts, f"SELECT token, count(*) AS n, 3::BIGINT AS topics FROM {_WORDS} GROUP BY 1")
 for _w in ("ONE", "TF", "IDF", "PMI"):
     _sql = {"ONE": "1.0::DOUBLE", "TF": "-log2(count(*) OVER (PARTITION BY token) / count(*) OVER ())", "IDF": "log2((SELECT count(DISTINCT doc) FROM w) / count(DISTINCT doc) OVER (PARTITION BY token))", "PMI": "greatest(log2(count(*) OVER (PARTITION BY token) / count(*) OVER (PARTITION BY doc, token)), 0)"}[_w]
     add(f"term_weights_{_w.lower()}", lambda s, d, w=_w: G.term_weights(_tok(s, d), w).withColumn("weight", F.round("weight", 6)), f"WITH w AS (SELECT * FROM {_WORDS}) SELECT DISTINCT doc, token, round({_sql}, 6) AS weight FROM w")
@@ -39,7 +50,7 @@ def _infer(s, d):
     tok = _tok(s, d)
     vocab = T.vocabulary(tok)
     _, counts = G.sample_topics(tok, vocab, 3, 1)
-    return G.infer(tok, vocab, counts, 2).select("doc", F.size("topics").cast("long").alias("n"), F.forall("topics", lambda t: t.between(0, 2)).alias("ok"))
+    return G.infer(tok, vocab, counts, 3, 2).select("doc", F.size("topics").cast("long").alias("n"), F.forall("topics", lambda t: t.between(0, 2)).alias("ok"))
 
 
 add("lda_infer_frozen", _infer, _IN)
