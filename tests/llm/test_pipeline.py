@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline as C
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_simhash import brute_print, brute_repeated
 from weftline.llm import sentence_pieces, secret_scan
 
 
@@ -25,9 +25,8 @@ def test_stages(spark, sf_dir, tmp_path):
     assert set(ruled) <= set(start) and len(ruled) < len(start)
     assert all(len((start[d] or "").split()) >= 45 for d in ruled)
     # near duplicates: exactly the smallest id of each component stays
-    rows = [(d, brute_print(t)) for d, t in ruled.items()]
-    of = brute_components(rows)
-    assert set(unique) == {d for d, f in rows if of[d, f] == d}
+    of = brute_repeated([(d, tuple(brute_print(t, r) for r in range(C.REPETITIONS))) for d, t in ruled.items()])
+    assert set(unique) == {d for d in of if of[d] == d}
     # decontamination: what goes, leaks
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     gone = [(d, unique[d]) for d in unique if d not in clean and len(unique[d].split()) < 2000]

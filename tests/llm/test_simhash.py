@@ -12,13 +12,25 @@ import xxhash
 from weftline.llm import simhash as S
 
 
-def brute_print(text):
+M = (1 << 64) - 1
+
+
+def brute_mix(h, repetition):
+    if not repetition:
+        return h
+    x = (h + repetition * 0x9E3779B97F4A7C15) & M
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M
+    return x ^ x >> 31
+
+
+def brute_print(text, repetition=0):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return 0
     grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    hashes = [brute_mix(xxhash.xxh64_intdigest(g.encode(), 42), repetition) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -43,6 +55,18 @@ def brute_components(rows):
     return {(d, f): least.get(root(f)) for d, f in rows}
 
 
+def brute_repeated(rows):
+    """rows: (doc_id, prints of all repetitions); the smallest id reachable over links of any repetition."""
+    rows = sorted(rows)
+    component = {d: d for d, _ in rows}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if component[a] != component[b] and any((p ^ q).bit_count() <= 4 for p, q in zip(x, y, strict=True)):
+                low, high = sorted((component[a], component[b]))
+                component = {d: low if c == high else c for d, c in component.items()}
+    return component
+
+
 def check(spark, docs):
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, component_id int")
     got = sorted((r["doc_id"] or -1, r["fingerprint"], r["component_id"] or -1) for r in S.near_duplicates(df).collect())
@@ -103,3 +127,39 @@ def test_representatives(spark):
     text = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(4, text), (2, text), (3, text + " z"), (9, "other words here now"), (None, text)], "doc_id long, text string")
     assert sorted(r["doc_id"] or -1 for r in S.representatives(df).collect()) == [-1, 2, 9]
+
+
+def variants(seed, n):
+    """Texts of 150 words and copies of them with some words replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        out.append(" ".join(words))
+        for edits in (1, 2, 3, 5):
+            copy = list(words)
+            for at in rng.sample(range(150), edits):
+                copy[at] = "new"
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize(("tile", "midpoints"), [(4096, S.MIDPOINTS), (8, 12)])
+def test_repetitions_link_what_any_of_them_links(spark, tile, midpoints, monkeypatch):
+    monkeypatch.setattr(S.links, "__defaults__", (S.THRESHOLD, tile, midpoints))
+    docs = list(enumerate(variants(5, 30)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    of = brute_repeated([(d, tuple(brute_print(t, r) for r in range(3))) for d, t in docs])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.near_duplicates(df, repetitions=3).collect()}
+    assert got == {d: (f"{brute_print(t):016x}", of[d]) for d, t in docs}
+    assert {r["doc_id"] for r in S.representatives(df, repetitions=3).collect()} == {d for d in of if of[d] == d}
+    single = brute_repeated([(d, (brute_print(t),)) for d, t in docs])
+    assert len(set(of.values())) < len(set(single.values()))  # repetitions find more copies
+
+
+def test_repetitions_of_odd_rows(spark):
+    rows = [(5, None), (3, ""), (9, "a b c d e"), (8, "A b c d e"), (None, "x y"), (1, "w " * 20_000)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp1 int")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in S.near_duplicates(df, repetitions=4).collect())
+    assert got == [(-1, -1), (1, 1), (3, 3), (5, 3), (8, 8), (9, 8)]
+    assert S.near_duplicates(df.limit(0), repetitions=4).count() == 0

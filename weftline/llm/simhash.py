@@ -44,11 +44,26 @@ MIDPOINTS = 2081 * TILE // 2
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """The unsigned 64-bit SimHash of one text."""
+    return int(repeated_fingerprints(text, 1, k)[0])
+
+
+def _mixed(h: np.ndarray, repetition: int) -> np.ndarray:
+    """The hashes of one repetition: h itself in the first, then a 64-bit finaliser of h and the repetition."""
+    if not repetition:
+        return h
+    x = h + np.uint64(repetition * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def repeated_fingerprints(text: str | None, repetitions: int, k: int = SHINGLE) -> np.ndarray:
+    """Unsigned 64-bit SimHashes of one text, by independent hashes of the same shingles; the first is :func:`fingerprint`."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, and exactly \x20 \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(repetitions, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= k:
         hashes = [digest(b" ".join(words), SEED)]
@@ -59,22 +74,30 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
             starts.append(starts[-1] + len(w) + 1)
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, [s - 1 for s in starts[k:]], strict=False)]
     n = len(hashes)
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((repetitions, 64), dtype=np.int64)
     for at in range(0, n, 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        block = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        for r in range(repetitions):
+            bits = np.unpackbits(_mixed(block, r).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[r] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repetitions: int = 1) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; fp1, fp2 and so on of further repetitions."""
+    names = _names(repetitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([repeated_fingerprints(t.as_py(), repetitions) for t in b.column(1)], dtype=np.uint64).reshape(-1, repetitions).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(fps[:, r].copy()) for r in range(repetitions))], names=["doc_id", *names])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *names])
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
+
+
+def _names(repetitions: int) -> list[str]:
+    return ["fp", *(f"fp{r}" for r in range(1, repetitions))]
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -103,13 +126,14 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 20_000):
             part = b.slice(at, 20_000)
-            node, fp = (np.asarray(part.column(i)) for i in (0, 1))
-            bits = fp.view(np.uint64)
-            for half in (0, 1):
-                r, a = anchors((bits >> np.uint64(32 * half)) & low)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((a | np.uint64(half << 31)).view(np.int64)), pa.array(node[r]), pa.array(fp[r])], names=["anchor", "node", "fp"]
-                )
+            node = np.asarray(part.column(0))
+            for repetition in range(part.num_columns - 1):
+                fp = np.asarray(part.column(repetition + 1))
+                bits = fp.view(np.uint64)
+                for half in (0, 1):
+                    r, a = anchors((bits >> np.uint64(32 * half)) & low)
+                    a |= np.uint64(repetition << 32 | half << 31)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(node[r]), pa.array(fp[r])], names=["anchor", "node", "fp"])
 
 
 def forest(node: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,35 +207,37 @@ def _compare(threshold: int):
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD, tile: int = TILE, midpoints: int = MIDPOINTS) -> DataFrame:
-    """Forest edges u > v between fingerprints (node, fp) within threshold bits; every link's ends are connected by them.
+    """Forest edges u > v between nodes (node, fp and perhaps fp1, fp2 and so on) with a fingerprint within threshold bits of the other's of the
+    same repetition; every link's ends are connected by them.
 
     threshold may be at most 4, which the two halves and the radius of the code cover.
     """
     if not 0 <= threshold <= 4:
         raise ValueError("the covering is made for at most four differing bits")
     spark = nodes.sparkSession
-    copies = nodes.select("node", "fp").mapInArrow(_replicate, "anchor long, node long, fp long")
+    copies = nodes.select("node", *[c for c in nodes.columns if c != "node"]).mapInArrow(_replicate, "anchor long, node long, fp long")
     return tiled(copies, threshold, tile, parts(spark), midpoints)
 
 
 def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) to (point, node) for the 2081 words within two bits; each task keeps the least node of its points in a batch."""
+    """(repetition, node, fp) to (repetition, point, node) for the 2081 words within two bits; each task keeps the least node of its points in a batch."""
     ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
     i, j = np.triu_indices(64, 1)
     flips = np.r_[np.zeros(1, np.uint64), ones, ones[i] | ones[j]]
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            node, fp = np.asarray(part.column(0)), np.asarray(part.column(1)).view(np.uint64)
-            points = (fp[:, None] ^ flips[None, :]).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(node, len(flips)))], names=["point", "node"])
+            repetition, node, fp = np.asarray(part.column(0)), np.asarray(part.column(1)), np.asarray(part.column(2)).view(np.uint64)
+            points, n = (fp[:, None] ^ flips[None, :]).ravel().view(np.int64), len(flips)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(repetition, n)), pa.array(points), pa.array(np.repeat(node, n))], names=["repetition", "point", "node"])
 
 
 def by_midpoints(nodes: DataFrame) -> DataFrame:
     """Edges u > v between each fingerprint and the least one at each of its midpoints: those within four bits are connected, and no others."""
-    points = nodes.mapInArrow(_midpoints, "point long, node long")
-    least = points.groupBy("point").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("point", "v")
-    return points.join(least, "point").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+    key = ["repetition", "point"]
+    points = nodes.select("repetition", "node", "fp").mapInArrow(_midpoints, "repetition long, point long, node long")
+    least = points.groupBy(*key).agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select(*key, "v")
+    return points.join(least, key).where("node > v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def tiled(copies: DataFrame, threshold: int, tile: int, n: int, midpoints: int = MIDPOINTS) -> DataFrame:
@@ -221,7 +247,8 @@ def tiled(copies: DataFrame, threshold: int, tile: int, n: int, midpoints: int =
     dense = sizes.where(F.col("size") > midpoints)
     extra = None
     if threshold == 4 and not dense.isEmpty():
-        extra = by_midpoints(copies.join(dense.select("anchor"), "anchor", "left_semi").select("node", "fp").distinct())
+        crowd = copies.join(dense.select("anchor"), "anchor", "left_semi")
+        extra = by_midpoints(crowd.select(F.shiftright("anchor", 32).alias("repetition"), "node", "fp").distinct())
         copies = copies.join(dense.select("anchor"), "anchor", "left_anti")
     k = F.ceil(F.col("size") / (tile / 2)).cast("int")
     both = copies.join(sizes, "anchor", "left").select(
@@ -244,21 +271,26 @@ def components(edges: DataFrame) -> DataFrame:
     return graph_components(edges.where("u <> v"), "u", "v")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
-    prints = cut(fingerprints(docs))
-    nodes = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"))
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, repetitions: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
+
+    With repetitions, texts have so many independent fingerprints and link where any of them is within the threshold: one fingerprint at four bits
+    finds few of the pairs at a similarity of 0.8, and each repetition finds its own share of the rest. Equal texts are equal in all.
+    """
+    names = _names(repetitions)
+    prints = cut(fingerprints(docs, repetitions=repetitions))
+    nodes = prints.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("node"))
     found = components(links(nodes, threshold))
-    of_print = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_print, "fp", "left").select(
+    of_print = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(of_print, names, "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def representatives(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def representatives(docs: DataFrame, threshold: int = THRESHOLD, repetitions: int = 1) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows without an id stay.
 
     Of rows that repeat the kept id with the same fingerprint, all stay: ids are the table's key.
     """
-    kept = near_duplicates(docs, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, threshold, repetitions).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
