@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, parts
+from weftline.llm.common import cut, parts, written
 from weftline.operators.graphs import components as graph_components
 
 SEED, SHINGLE, THRESHOLD = 42, 4, 4
@@ -193,13 +193,14 @@ def _compare(threshold: int):
         for d in range(1, most):  # all small groups at once: each row with the d-th before it
             i = np.flatnonzero(small & (place >= d))
             i = i[np.bitwise_count(bits[i] ^ bits[i - d]) <= threshold]
+            i = i[node[i] != node[i - d]]
             child.append(np.maximum(node[i], node[i - d]))
             root.append(np.minimum(node[i], node[i - d]))
         for g in np.flatnonzero(sizes > 32):
             at = slice(new[g], new[g] + sizes[g])
             c, r = forest(node[at], fp[at], threshold)
-            child.append(c)
-            root.append(r)
+            child.append(c[c != r])
+            root.append(r[c != r])
         if child and sum(map(len, child)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), pa.array(np.concatenate(root))], names=["u", "v"])
 
@@ -271,6 +272,11 @@ def components(edges: DataFrame) -> DataFrame:
     return graph_components(edges.where("u <> v"), "u", "v")
 
 
+def _joined(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """nodes with their component, themselves where they have no edge, instead of `node`."""
+    return nodes.join(found, "node", "left").withColumn(name, F.coalesce("component", "node")).drop("node", "component")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, repetitions: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
 
@@ -280,8 +286,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, repetitions: in
     names = _names(repetitions)
     prints = cut(fingerprints(docs, repetitions=repetitions))
     nodes = prints.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes, threshold))
-    of_print = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    of_print = _joined(nodes, components(links(nodes.select("node", "fp"), threshold)), "component_id")
+    if repetitions > 1:
+        # The further fingerprints stand for the component that the first one made, so what is linked already gives no edges again.
+        first = written(of_print).withColumnRenamed("component_id", "node")
+        later = components(links(first.select("node", *names[1:]).distinct(), threshold))
+        of_print = _joined(first, later, "component_id")
+    of_print = of_print.select(*names, "component_id")
     return prints.join(of_print, names, "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
