@@ -166,6 +166,60 @@ def test_metric_search(spark):
     assert J.metric_nearest(df, asked.limit(0), "id", "w", "qid", "q", F.levenshtein).count() == 0
 
 
+def _counted(spark):
+    """A metric on numbers that counts how often it is computed."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def apart(a, b):
+        calls.add(1)
+        return None if a is None or b is None else abs(a - b)
+
+    return F.udf(apart, "int"), calls
+
+
+def _copies(spark):
+    df = spark.range(1200).select("id", (F.col("id") % 6 * 2).cast("int").alias("x")).union(spark.createDataFrame([(5000, None)], "id long, x int"))
+    return df, df.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("x").alias("q"))
+
+
+def test_metric_search_computes_equal_values_once(spark):
+    distance, calls = _counted(spark)
+    df, asked = _copies(spark)
+    got = J.metric_search(df, asked, "x", "q", distance, 2, [F.lit(0)]).select("qid", "id", "distance").collect()
+    assert sorted(map(tuple, got)) == sorted((q, i, abs(q % 6 - i % 6) * 2) for q in range(0, 1200, 50) for i in range(1200) if abs(q % 6 - i % 6) <= 1)
+    assert calls.value < 3000  # of 24 * 1200 pairs; a row may be asked once for its distance from the pivot
+
+
+def test_metric_nearest_computes_equal_values_once(spark):
+    distance, calls = _counted(spark)
+    df, asked = _copies(spark)
+    got = J.metric_nearest(df, asked, "id", "x", "qid", "q", distance, 3).collect()
+    assert sorted(map(tuple, got)) == sorted((q, k + 1, q % 6 + 6 * k, 0) for q in range(0, 1200, 50) for k in range(3))
+    assert calls.value < 500
+
+
+def test_pairs_of_a_hot_key_are_many_tasks_work(spark):
+    prices = spark.range(4000).select("id", F.lit(7.5).alias("x"))
+    asked = prices.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("x").alias("q"))
+    tasks = [r["count"] for r in J.metric_range(prices, asked, "x", "q", 1.0, 0.0).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4000 * 80 and max(tasks) < sum(tasks) / 2
+
+
+def test_manhattan_search_against_brute_force(spark):
+    rng = random.Random(5)
+    near = [[rng.choice([0.0, 0.5, 1.0, -0.0]) for _ in range(5)] for _ in range(150)]
+    odd = [None, [], [None] * 5, [float("nan")] * 5, [1.0] * 4, [float("inf")] * 5, [1.0, None, 1.0, 1.0, 1.0]]
+    vectors = near + odd + near[:3]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>")
+    asked = df.select(F.col("id").alias("qid"), F.col("v").alias("q")).where("id % 3 = 0 OR id >= 150")
+    got = [(r["qid"], r["id"]) for r in J.manhattan_search(df, asked, "id", "v", "qid", "q", 1.5).collect()]
+    whole = {i: v for i, v in enumerate(vectors) if v is not None and None not in v}
+    apart = lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True)) <= 1.5
+    assert sorted(got) == sorted((q, i) for q, a in whole.items() if q % 3 == 0 or q >= 150 for i, b in whole.items() if len(a) == len(b) and apart(a, b))
+    # Blocks are compared by numbers, not pair by pair in an interpreted expression.
+    assert "MapInArrow" in J.manhattan_search(df, asked, "id", "v", "qid", "q", 1.5)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 def test_asof_against_brute_force(spark, direction):
     rng = random.Random(3)

@@ -7,13 +7,16 @@ small generated ranges and check what they are given.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.operators.ordering import ranged, with_index
+from weftline.operators.ordering import hashable, ranged, with_index
 
 Names = Sequence[str]
 
@@ -191,19 +194,32 @@ def within_hamming(df: DataFrame, key: str, words: str, threshold: int, pieces:
     return near.select("a", "b", "distance").distinct()
 
 
+#: Shares of a key's rows in joins whose keys may be hot; what is joined with them goes to every share.
+SHARES = 16
+
+
+def meet(rows: DataFrame, asked: DataFrame, on: Names) -> DataFrame:
+    """rows joined with asked on equal columns. A row goes to one share of its key and an asked one to all, so the pairs of a hot key are many tasks' work."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    share = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if hashable(f.dataType)]), F.lit(SHARES)).cast("int")
+    dealt = rows.withColumn("_share", share).repartition(n, *on, "_share")
+    return dealt.join(asked.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(n, *on, "_share"), [*on, "_share"]).drop("_share")
+
+
 def metric_range(df: DataFrame, queries: DataFrame, x: str, q: str, radius: float, pivot: float) -> DataFrame:
     """One-dimensional metric search |x - q| <= radius; rows meet by their distance from a pivot, in rings as wide as the radius."""
     ring = F.floor(F.abs(F.col(x) - pivot) / radius)
     asked = queries.withColumn("_ring", F.explode(F.array(*[F.floor(F.abs(F.col(q) - pivot) / radius) + k for k in (-1, 0, 1)])))
-    return df.withColumn("_ring", ring).join(asked, "_ring").where(F.abs(F.col(x) - F.col(q)) <= radius).drop("_ring")
+    return meet(df.withColumn("_ring", ring), asked, ["_ring"]).where(F.abs(F.col(x) - F.col(q)) <= radius).drop("_ring")
 
 
 def metric_search(df: DataFrame, queries: DataFrame, x: str, q: str, distance, radius: float, pivots: Sequence[Column], name: str = "distance") -> DataFrame:
     """Rows and queries with distance(x, q) <= radius under any metric over any type (a function of two columns).
 
     Distances to fixed pivots stand for the tree's nodes: by the triangle inequality they differ by radius at most between
-    rows that match. Rows meet queries in rings of the first pivot, a row in its ring and a query in three; the other
-    pivots filter what meets, and the metric itself is computed last. radius is above 0.
+    rows that match. Distinct values meet in rings of the first pivot, a row's in its ring and a query's in three; the other
+    pivots filter what meets, and the metric itself is computed last, once for equal values. Then the values' rows are laid out. radius is above 0.
     """
     if radius <= 0 or not pivots:
         raise ValueError("a radius above 0 and a pivot are needed")
@@ -211,13 +227,87 @@ def metric_search(df: DataFrame, queries: DataFrame, x: str, q: str, distance, r
     def rings(c: str, out: str) -> list[Column]:
         return [distance(F.col(c), p).cast("double").alias(f"_{out}{i}") for i, p in enumerate(pivots)]
 
-    rows = df.select("*", *rings(x, "x")).withColumn("_ring", F.floor(F.col("_x0") / radius))
-    asked = queries.select("*", *rings(q, "q")).withColumn("_ring", F.explode(F.array(*[F.floor(F.col("_q0") / radius) + k for k in (-1, 0, 1)])))
-    met = rows.join(asked, "_ring")
-    for i in range(len(pivots)):
-        met = met.where(F.abs(F.col(f"_x{i}") - F.col(f"_q{i}")) <= radius)
-    hit = met.withColumn(name, distance(F.col(x), F.col(q))).where(F.col(name) <= radius)
-    return hit.drop("_ring", *[f"_{s}{i}" for s in "xq" for i in range(len(pivots))])
+    def matched(rows: DataFrame, asked: DataFrame, x: str, q: str) -> DataFrame:
+        rows = rows.select("*", *rings(x, "x")).withColumn("_ring", F.floor(F.col("_x0") / radius))
+        asked = asked.select("*", *rings(q, "q")).withColumn("_ring", F.explode(F.array(*[F.floor(F.col("_q0") / radius) + k for k in (-1, 0, 1)])))
+        met = meet(rows, asked, ["_ring"])
+        for i in range(len(pivots)):
+            met = met.where(F.abs(F.col(f"_x{i}") - F.col(f"_q{i}")) <= radius)
+        hit = met.withColumn(name, distance(F.col(x), F.col(q))).where(F.col(name) <= radius)
+        return hit.drop("_ring", *[f"_{s}{i}" for s in "xq" for i in range(len(pivots))])
+
+    if not (hashable(df.schema[x].dataType) and hashable(queries.schema[q].dataType)):  # values that can't be told to be equal
+        return matched(df, queries, x, q)
+    values = matched(df.select(F.col(x).alias("_value")).distinct(), queries.select(F.col(q).alias("_wanted")).distinct(), "_value", "_wanted")
+    asked = queries.withColumn("_wanted", F.col(q)).join(values, "_wanted").drop("_wanted")
+    return meet(df.withColumn("_value", F.col(x)), asked, ["_value"]).drop("_value")
+
+
+#: Vectors of a block in manhattan_search, and rows of it that are compared with all queries of a block at a time.
+VECTORS, ROWS = 1024, 64
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, vector to length, keys, numbers: blocks of vectors of equal length; those with a null can't match and go."""
+    for b in batches:
+        keys, vectors = b.column(0), b.column(1)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+        for length in np.unique(lengths[lengths >= 0]):
+            of = pa.array(np.flatnonzero(lengths == length))
+            flat, held = vectors.take(of).flatten(), keys.take(of)
+            whole = np.asarray(pc.is_valid(flat)).reshape(len(of), length).all(axis=1)
+            numbers, held = flat.to_numpy(zero_copy_only=False).reshape(len(of), length)[whole], held.filter(pa.array(whole))
+            for at in range(0, len(held), VECTORS):
+                part, some = held.slice(at, VECTORS), numbers[at : at + VECTORS]
+                ends = lambda n: pa.array([0, n], pa.int32())
+                columns = [pa.array([length], pa.int32()), pa.ListArray.from_arrays(ends(len(part)), part), pa.ListArray.from_arrays(ends(some.size), pa.array(some.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_length", "_k", "_v"])
+
+
+def _near_vectors(radius: float, names: Names):
+    """Blocks (length, keys, numbers, keys, numbers) to keys and vectors with a sum of differences within the radius and what rounding may add."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                length, keys, xs, asked, qs = b.column(0)[i].as_py(), *(b.column(c)[i].values for c in range(1, 5))
+                x, q = (v.to_numpy(zero_copy_only=False).reshape(-1, length) if length else np.zeros((n, 0)) for v, n in ((xs, len(keys)), (qs, len(asked))))
+                most = radius * (1 + 4 * (length + 2) * float(np.finfo(x.dtype).eps)) + 1e-12
+                columns, half = np.ascontiguousarray(q.T), length // 2
+                for at in range(0, len(x), ROWS):
+                    some = x[at : at + ROWS]
+                    total, gap = np.zeros((len(some), len(q)), x.dtype), np.empty((len(some), len(q)), x.dtype)
+                    for j in range(half):
+                        np.subtract(some[:, j, None], columns[j], out=gap)
+                        total += np.abs(gap, out=gap)
+                    one, two = np.nonzero(total <= most)
+                    for k in range(0, len(one), 1 << 16):
+                        u, v = one[k : k + (1 << 16)], two[k : k + (1 << 16)]
+                        near = np.abs(some[u] - q[v]).sum(axis=1) <= most
+                        u, v = u[near], v[near]
+                        if len(u):
+                            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * length), pa.array(w.ravel())) for w in (some[u], q[v])]
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(u + at)), lists[0], asked.take(pa.array(v)), lists[1]], names=list(names))
+
+    return run
+
+
+def manhattan_search(df: DataFrame, queries: DataFrame, key: str, x: str, query: str, q: str, radius: float) -> DataFrame:
+    """key, x, query, q: vectors whose sum of absolute differences is at most the radius, by blocks of vectors that all meet.
+
+    The sums of half the dimensions rule out most pairs. Rounding may let in pairs just beyond the radius, so the caller computes the distance
+    that it wants of the few that are left. Vectors of unlike lengths, with a null or with NaN match nothing.
+    """
+    number = max((t.schema[c].dataType.elementType.simpleString() for t, c in ((df, x), (queries, q))), key=["float", "double"].index)
+
+    def blocks(t: DataFrame, k: str, v: str, names: str) -> DataFrame:
+        kind = t.schema[k].dataType.simpleString()
+        held = t.select(F.col(k), F.col(v).cast(f"array<{number}>")).mapInArrow(_vectors, f"_length int, _k array<{kind}>, _v array<{number}>")
+        return held.select("_length", F.col("_k").alias(f"_k{names}"), F.col("_v").alias(f"_v{names}"))
+
+    met = meet(blocks(df, key, x, "x"), blocks(queries, query, q, "q"), ["_length"]).select("_length", "_kx", "_vx", "_kq", "_vq")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {x} array<{number}>, {query} {queries.schema[query].dataType.simpleString()}, {q} array<{number}>"
+    return met.mapInArrow(_near_vectors(radius, [key, x, query, q]), schema)
 
 
 #: Queries that one pass of metric_nearest takes to the rows.
@@ -227,22 +317,31 @@ MOST_QUERIES = 10_000
 def metric_nearest(df: DataFrame, queries: DataFrame, key: str, x: str, query: str, q: str, distance, k: int = 1) -> DataFrame:
     """query, rank, key, distance: the k nearest rows of each query under any metric, ties by key.
 
-    The queries are a stated set that is compared with all rows: they are counted, and go to the rows in blocks. The k best of a
-    query are chosen among the rows of each task's share first (window group limits cut them before the shuffle), then among those.
+    The queries are a stated set that is compared with all rows: they are counted, and go to the rows in blocks. Of rows with equal
+    values only the k of the smallest keys can be near, and equal queries are asked once. The k best of a query are chosen among the rows of each
+    task's share first (window group limits cut them before the shuffle), then among those.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    asked = with_index(queries.select(F.col(query).alias("_query"), F.col(q).alias("_q")), ["_query"], (), "_block").withColumn("_block", F.expr(f"_block div {MOST_QUERIES}"))
+    rows, wanted = df.select(F.col(key).alias("_key"), F.col(x).alias("_x")), queries.select(F.col(query).alias("_query"), F.col(q).alias("_q"))
+    alike = hashable(df.schema[x].dataType) and hashable(queries.schema[q].dataType)
+    if alike:
+        rows = rows.withColumn("_rn", F.row_number().over(W.partitionBy("_x").orderBy("_key"))).where(F.col("_rn") <= k).drop("_rn")
+    one_each = wanted.select("_q").distinct() if alike else wanted
+    group = one_each.columns[0]
+    asked = with_index(one_each, [group], (), "_block").withColumn("_block", F.expr(f"_block div {MOST_QUERIES}"))
     last = asked.agg(F.max("_block")).first()[0]
     out = None
     for b in range((last if last is not None else -1) + 1):
-        met = df.select(F.col(key).alias("_key"), F.col(x).alias("_x")).crossJoin(F.broadcast(asked.where(F.col("_block") == b).drop("_block")))
-        near = met.select("_query", "_key", distance(F.col("_x"), F.col("_q")).alias("distance")).where("distance IS NOT NULL")
+        met = rows.crossJoin(F.broadcast(asked.where(F.col("_block") == b).drop("_block")))
+        near = met.select(group, "_key", distance(F.col("_x"), F.col("_q")).alias("distance")).where("distance IS NOT NULL")
         one = near.withColumn("_shard", F.spark_partition_id())
-        for w in (W.partitionBy("_query", "_shard"), W.partitionBy("_query")):
+        for w in (W.partitionBy(group, "_shard"), W.partitionBy(group)):
             one = one.withColumn("rank", F.row_number().over(w.orderBy("distance", "_key"))).where(F.col("rank") <= k)
-        one = one.select(F.col("_query").alias(query), "rank", F.col("_key").alias(key), "distance")
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = queries.select(F.col(query), F.lit(1).alias("rank")).crossJoin(df.select(key, F.lit(0.0).alias("distance"))).limit(0)
-    return out
+        return queries.select(F.col(query), F.lit(1).alias("rank")).crossJoin(df.select(key, F.lit(0.0).alias("distance"))).limit(0)
+    if alike:
+        laid = wanted.join(out.drop("rank"), "_q")
+        out = laid.withColumn("rank", F.row_number().over(W.partitionBy("_query").orderBy("distance", "_key"))).where(F.col("rank") <= k)
+    return out.select(F.col("_query").alias(query), "rank", F.col("_key").alias(key), "distance")

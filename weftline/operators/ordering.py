@@ -23,10 +23,11 @@ def frame(order_by: Sequence[str | Column], partition_by: Sequence[str] = ()) ->
     return (W.partitionBy(*partition_by) if partition_by else W.partitionBy(F.lit(0))).orderBy(*order_by)
 
 
-def _hashable(kind: T.DataType) -> bool:
+def hashable(kind: T.DataType) -> bool:
+    """Values of the type can be hashed and told to be equal."""
     if isinstance(kind, T.StructType):
-        return all(_hashable(f.dataType) for f in kind.fields)
-    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+        return all(hashable(f.dataType) for f in kind.fields)
+    return hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def ranged(df: DataFrame, order_by: Sequence[str | Column], number: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def ranged(df: DataFrame, order_by: Sequence[str | Column], number: bool = False
     The table must be written: ranges are sampled and partitions are coalesced anew each time that a plan runs, so only a stored
     number means the same to everyone who reads it. A hash of the row breaks ties, so that a hot sort key is no single range.
     """
-    tie = [F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]).alias("_tie")]
+    tie = [F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if hashable(f.dataType)]).alias("_tie")]
     held = df.select("*", *tie)
     ordered = held.repartitionByRange(*order_by, "_tie").sortWithinPartitions(*order_by, "_tie").drop("_tie")
     ordered = ordered.withColumn("_part", F.spark_partition_id())

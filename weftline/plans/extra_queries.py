@@ -23,7 +23,8 @@ add("metric_search_part_names", lambda s, d: J.metric_search(_NAMES(s, d), _ASKE
 add("metric_nearest_part_names", lambda s, d: J.metric_nearest(_NAMES(s, d), _ASKED(s, d), "p_partkey", "p_name", "qid", "q", F.levenshtein, 3).select("qid", F.col("rank").cast("long").alias("rank"), "p_partkey", F.col("distance").cast("long").alias("distance")),
     "SELECT qid, rank, p_partkey, distance FROM (SELECT q.p_partkey AS qid, p.p_partkey, levenshtein(p.p_name, q.p_name) AS distance, row_number() OVER (PARTITION BY q.p_partkey ORDER BY levenshtein(p.p_name, q.p_name), p.p_partkey) AS rank FROM part p JOIN part q ON q.p_partkey % 50 = 0) WHERE rank <= 3")
 _manhattan = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x), 6)
-add("metric_search_vectors", lambda s, d: J.metric_search(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "embedding", "q", _manhattan, 3.0, [F.array_repeat(F.lit(0.0), 64), F.array_repeat(F.lit(0.1), 64)]).select("qid", "vec_id", F.round("distance", 4).alias("distance")),
+_VECTORS = lambda s, d: table(s, d, "embeddings").select("vec_id", "embedding")
+add("metric_search_vectors", lambda s, d: J.manhattan_search(_VECTORS(s, d), _VECTORS(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "vec_id", "embedding", "qid", "q", 3.0).withColumn("distance", _manhattan(F.col("embedding"), F.col("q"))).where("distance <= 3.0").select("qid", "vec_id", F.round("distance", 4).alias("distance")),
     "SELECT qid, vec_id, round(distance, 4) AS distance FROM (SELECT q.vec_id AS qid, p.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(p.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 6) AS distance FROM embeddings p JOIN embeddings q ON q.vec_id % 50 = 0) WHERE distance <= 3.0")
 
 
