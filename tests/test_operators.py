@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregates as A
+from weftline.operators import blocks as B
 from weftline.operators import control as C
 from weftline.operators import graphs as G
 from weftline.operators import joins as J
 from weftline.operators import ranking as R
 from weftline.operators import sequences as S
 from weftline.operators import tables as TB
+from weftline.operators import texts as TX
 from weftline.operators import topics as TP
 from weftline.operators.ordering import carried, running_sum, with_index
 
@@ -458,3 +460,86 @@ def test_sampled_topics_of_empty_and_odd_rows(spark):
     assert TP.infer(tok, vocab, counts, 2, 1).count() == 24
     odd = spark.createDataFrame([(None, 0, "a"), (5, 0, None), (6, 0, "a"), (6, 1, "a")], "doc long, pos int, token string")
     assert {(r["doc"], r["pos"], r["idx"]) for r in TP.sample_topics(odd, vocab, 2, 1)[0].collect()} == {(6, 0, 0), (6, 1, 0)}
+
+
+def test_sweep_is_that_of_one_word_after_another():
+    import numpy as np
+
+    rng, topics, size, alpha, beta = np.random.default_rng(4), 3, 9, 0.1, 0.01
+    sizes = np.array([5, 1, 12, 3])
+    codes, weights = rng.integers(0, size, sizes.sum()), rng.random(sizes.sum())
+    for frozen in (False, True):
+        now, known, totals = rng.integers(0, topics, sizes.sum()), rng.random((size, topics)) * 9 + 3, np.array([30.0, 40.0, 50.0])
+        draws, expected, at = [rng.random(n) for n in sizes], [], 0
+        for n, drawn in zip(sizes, draws, strict=True):
+            z, seen, every = list(now[at : at + n]), known.copy(), totals.copy()
+            own = np.bincount(z, weights[at : at + n], topics)
+            for i in range(n):
+                t, w = codes[at + i], weights[at + i]
+                for sign in (-1, 1):
+                    own[z[i]] += sign * w
+                    if not frozen:
+                        seen[t, z[i]] += sign * w
+                        every[z[i]] += sign * w
+                    if sign < 0:
+                        p = np.cumsum((own + alpha / topics) * (seen[t] + beta / size) / (every + beta))
+                        z[i] = int(min(np.searchsorted(p, drawn[i] * p[-1], side="right"), topics - 1))
+            expected += z
+            at += n
+        key, pair = np.unique(np.repeat(np.arange(4), sizes) * size + codes, return_inverse=True)
+        TP._swept(now, codes, weights, pair, known if frozen else known[key % size], sizes, draws, totals, size, alpha, beta, frozen)
+        assert now.tolist() == expected
+
+
+# ---- words in blocks
+
+
+def _texts(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["a", "B", "b", f"x{i}"], k=i % 7))) for i in range(40)]
+    rows += [(100, None), (101, "\t \n"), (None, "a q"), (102, "a  b\nA")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_blocks_encode_and_decode(spark, repeats):
+    rows, docs = _texts(spark)
+    if repeats:
+        rows, docs = rows + [(102, "z")], docs.union(spark.createDataFrame([(102, "z")], "doc_id long, text string"))
+    blocks = B.packed(docs, "doc_id", "text")
+    vocab = TX.vocabulary(blocks)
+    plain = {r["token"]: (r["count"], r["idx"]) for r in TX.vocabulary(TX.tokens(docs, "doc_id", "text")).collect()}
+    assert {r["token"]: (r["count"], r["idx"]) for r in vocab.collect()} == plain
+    words = {}
+    for i, t in rows:
+        for p, w in enumerate((t or "").lower().split()):
+            words.setdefault(i, []).append((p, plain[w][1], w))
+    ids = TX.transform(blocks, vocab)
+    assert {r["doc"]: r["ids"] for r in ids.collect()} == {i: [k for _, k, _ in sorted(w)] for i, w in words.items()}
+    assert {r["doc"]: r["tokens"] for r in TX.inverse_transform(ids, vocab).collect()} == {i: [t for _, _, t in sorted(w)] for i, w in words.items()}
+    few = vocab.where("token IN ('a', 'q')")
+    assert {r["doc"] for r in TX.transform(blocks, few).collect()} == {i for i, w in words.items() if {"a", "q"} & {t for _, _, t in w}}
+
+
+def test_blocks_give_the_weights_of_a_table_of_words(spark):
+    docs = _texts(spark)[1].where("doc_id IS NOT NULL")
+    blocks, tok = B.packed(docs, "doc_id", "text"), TX.tokens(docs, "doc_id", "text")
+    for scheme in ("ONE", "TF", "IDF", "PMI", "RAND"):
+        got, want = ({(r["doc"], r["token"]): r["weight"] for r in TP.term_weights(t, scheme, 3).collect()} for t in (blocks, tok))
+        assert got == pytest.approx(want)
+
+
+def test_only_distinct_words_of_a_block_meet_a_vocabulary(spark):
+    docs = spark.createDataFrame([(i, "the same words " * 50) for i in range(100)], "doc_id long, text string").coalesce(1)
+    blocks = B.packed(docs, "doc_id", "text")
+    assert B.entries(blocks).count() == 3  # and not 15000 words
+    plan = TX.transform(blocks, TX.vocabulary(blocks))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_sampled_topics_of_blocks_are_those_of_words(spark):
+    docs = _texts(spark)[1]
+    blocks, tok = B.packed(docs, "doc_id", "text"), TX.tokens(docs, "doc_id", "text")
+    vocab = TX.vocabulary(blocks).where("token <> 'b'").select("token", "idx")
+    for scheme in ("ONE", "PMI"):
+        one, two = (sorted(map(tuple, TP.sample_topics(t, vocab, 3, 2, scheme=scheme)[0].collect())) for t in (blocks, tok))
+        assert one == two and one
