@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.operators.ordering import carried, running_sum, with_index
+from weftline.session import written
 
 Names = Sequence[str]
 #: Shards of a category whose rows are chosen among first.
 SHARDS = 64
+#: Bins of the hashes by which rows are chosen; a power of two.
+BINS = 4096
 
 
 def count_distinct(c: Column) -> Column:
@@ -141,16 +144,23 @@ def limit_balanced(counts: DataFrame, key: str, count: str, total: int) -> DataF
 
 
 def sample_balanced(df: DataFrame, keys: Names, total: int, order_by: Names, seed: int = 0) -> DataFrame:
-    """As many rows of each category as limit_balanced allows; members by a seeded hash of order_by."""
+    """As many rows of each category as limit_balanced allows; members by a seeded hash of order_by.
+
+    The hashes of a category are counted in BINS equal bins first: rows beyond the bin at which its quota is reached can't be members, and
+    go before anything is sorted. What is left is the quota and one bin's share of the rows. One row a category is broadcast.
+    """
     label = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
-    held = df.withColumn("_cat", label)
-    quota = limit_balanced(held.groupBy("_cat").agg(F.count(F.lit(1)).alias("n")), "_cat", "n", total)
     chance = F.xxhash64(F.lit(seed), *order_by)
+    held = df.withColumn("_cat", label).withColumn("_chance", chance).withColumn("_bin", F.shiftright("_chance", 64 - BINS.bit_length() + 1))
+    bins = written(held.groupBy("_cat", "_bin").agg(F.count(F.lit(1)).alias("n")))
+    quota = limit_balanced(bins.groupBy("_cat").agg(F.sum("n").alias("n")), "_cat", "n", total)
+    before = F.coalesce(F.sum("n").over(W.partitionBy("_cat").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = bins.withColumn("_before", before).join(quota, "_cat").where(F.col("_before") < F.col("quota")).groupBy("_cat").agg(F.max("_bin").alias("_last"), F.first("quota").alias("quota"))
+    held = held.join(F.broadcast(last), "_cat").where(F.col("_bin") <= F.col("_last")).withColumn("_shard", F.pmod(F.col("_chance"), F.lit(SHARDS)))
     # Twice the same choice: first among the rows of a shard of a category, then among what the shards kept.
-    held = held.join(quota, "_cat").withColumn("_chance", chance).withColumn("_shard", F.pmod(F.col("_chance"), F.lit(SHARDS)))
     for w in (W.partitionBy("_cat", "_shard"), W.partitionBy("_cat")):
         held = held.withColumn("_rn", F.row_number().over(w.orderBy("_chance", *order_by))).where(F.col("_rn") <= F.col("quota"))
-    return held.drop("_cat", "_rn", "quota", "_chance", "_shard")
+    return held.drop("_cat", "_rn", "quota", "_chance", "_shard", "_bin", "_last")
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

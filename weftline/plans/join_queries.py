@@ -11,7 +11,7 @@ from weftline.operators import aggregates as A
 from weftline.operators import blocks as B
 from weftline.operators import joins as J
 from weftline.operators import topics as G
-from weftline.session import table
+from weftline.session import table, written
 
 
 def on(name, tab, build, sql):
@@ -77,7 +77,9 @@ on("ks_two_sample_pmf", "lineitem", lambda x: A.ks_from_cdfs(A.pmf_to_cdf(_AB(x,
    "WITH w AS (SELECT l_returnflag AS f, l_linenumber AS k, sum(l_quantity) AS w FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2), c AS (SELECT f, k, sum(w) OVER (PARTITION BY f ORDER BY k) / sum(w) OVER (PARTITION BY f) AS c FROM w), d AS (SELECT max(abs(a.c - b.c)) AS d FROM c a JOIN c b ON a.k = b.k AND a.f = 'A' AND b.f = 'R') SELECT round(d, 9) AS d, round(exp(-2 * d * d * 3.5), 9) AS p, exp(-2 * d * d * 3.5) < 0.05 AS reject FROM d")
 on("limit_balanced_brands", "part", lambda p: A.limit_balanced(p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand", "n", 120),
    "WITH n AS (SELECT p_brand, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, p_brand DESC) AS k FROM part GROUP BY 1), s AS (SELECT v, sum(least(c, v)) AS t FROM n, range(0, 200) t(v) GROUP BY v), l AS (SELECT max(v) AS level, 120 - max(t) AS rest FROM s WHERE t <= 120) SELECT p_brand, CAST(least(c, level + CASE WHEN k <= rest THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM n, l")
-on("sample_balanced_counts", "lineitem", lambda x: A.sample_balanced(x, ["l_returnflag", "l_linestatus"], 24, ["l_orderkey", "l_linenumber"]).join(x.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], "left_semi").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")), "SELECT l_returnflag, l_linestatus, least(count(*), 24 // (SELECT count(DISTINCT (l_returnflag, l_linestatus)) FROM lineitem)) AS n FROM lineitem GROUP BY 1, 2")
+_LINE = ["l_orderkey", "l_linenumber"]
+# The members are rows of the table: its rows with one of their 24 keys are looked up.
+on("sample_balanced_counts", "lineitem", lambda x: (lambda m: m.join(x.select(*_LINE).join(F.broadcast(m.select(*_LINE)), _LINE, "left_semi"), _LINE, "left_semi"))(written(A.sample_balanced(x.select("l_returnflag", "l_linestatus", *_LINE), ["l_returnflag", "l_linestatus"], 24, _LINE))).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")), "SELECT l_returnflag, l_linestatus, least(count(*), 24 // (SELECT count(DISTINCT (l_returnflag, l_linestatus)) FROM lineitem)) AS n FROM lineitem GROUP BY 1, 2")
 on("normalize_weights", "lineitem", lambda x: A.with_total(x.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("w")), "w").select("l_linenumber", F.round(F.col("w") / F.col("total"), 9).alias("p")), "SELECT l_linenumber, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 9) AS p FROM lineitem GROUP BY 1")
 on("accuracy_labels", "labels", lambda x: x.agg(F.round(F.avg((F.col("quality") != F.col("toxic")).cast("double")), 9).alias("accuracy")), "SELECT round(avg(CASE WHEN quality <> toxic THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM labels")
 on("same_words_similarity", "conversations", lambda c: c.withColumn("b", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL").select("conv_id", "turn", F.size(F.array_intersect(X.words(F.col("text")), X.words(F.col("b")))).cast("long").alias("n")),
