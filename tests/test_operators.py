@@ -543,3 +543,30 @@ def test_sampled_topics_of_blocks_are_those_of_words(spark):
     for scheme in ("ONE", "PMI"):
         one, two = (sorted(map(tuple, TP.sample_topics(t, vocab, 3, 2, scheme=scheme)[0].collect())) for t in (blocks, tok))
         assert one == two and one
+
+
+def test_sign_distances_against_hamming(spark):
+    from weftline.functions import arrays as V
+
+    rng, nan = random.Random(6), float("nan")
+    vectors = [[rng.choice([0.0, -0.0, 1.5, -2.0, nan, None]) for _ in range(rng.choice([0, 3, 64, 70]))] for _ in range(40)] + [None]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    asked = df.where("id % 5 = 0").select(F.col("id").alias("qid"), F.col("v").alias("w"))
+    got = J.sign_distances(df, asked, "id", "v", "qid", "w")
+    one = df.crossJoin(asked).select("qid", "id", V.hamming(F.transform("v", F.signum), F.transform("w", F.signum)).alias("distance"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, one.collect()))
+    assert "zip_with" not in got._jdf.queryExecution().toString()  # whole numbers, not arrays, are compared
+
+
+def test_balanced_sample_sorts_few_rows(spark):
+    df = spark.range(40000).select("id", (F.col("id") % 10 > 0).alias("often"), F.lit("w" * 50).alias("wide"))
+    for total in (1, 30, 9000):
+        sample = A.sample_balanced(df, ["often"], total, ["id"], 4)
+        want = []
+        for often, quota in ((False, min(total // 2, 4000)), (True, total - min(total // 2, 4000))):
+            of = df.where(F.col("often") == often).orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(quota)
+            want += [tuple(r) for r in of.collect()]
+        assert sorted(map(tuple, sample.collect())) == sorted(want)
+    small = A.sample_balanced(df, ["often"], 30, ["id"], 4)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" in plan and plan.index("Window") < plan.index("_last")  # rows go by their bin below every window

@@ -7,6 +7,7 @@ image moments are NumPy on Arrow batches, one row a problem.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("long")
 
 
+def sign_planes(values: Column, dimensions: int) -> list[Column]:
+    """The signs of so many places of an array of numbers as three bits a place (0 or NaN, above 0 or NaN, below 0; none: null), 64 places a long: columns."""
+    sign = lambda i: F.signum(F.get(values, F.lit(i)))
+    planes = (lambda x: (x == 0) | F.isnan(x), lambda x: (x > 0), lambda x: (x < 0))
+    bit = lambda plane, i: F.when(plane(sign(i)), F.lit(1 << (i % 64) if i % 64 < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    out = []
+    for at in range(0, dimensions, 64):
+        for plane in planes:
+            bits = [bit(plane, i) for i in range(at, min(at + 64, dimensions))]
+            out.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return out
+
+
+def differing_planes(a: list[Column], b: list[Column]) -> Column:
+    """Places at which two rows' sign planes differ."""
+    apart = [x.bitwiseXOR(y) for x, y in zip(a, b, strict=True)]
+    counts = [F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), apart[i : i + 3])) for i in range(0, len(apart), 3)]
+    return reduce(lambda u, v: u + v, counts, F.lit(0)).cast("long")
+
+
 def hamming_packed(a: Column, b: Column) -> Column:
     """Differing bits of arrays of whole numbers."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n).cast("long")

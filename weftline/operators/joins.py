@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weftline.functions import arrays as V
 from weftline.operators.ordering import hashable, ranged, with_index
 
 Names = Sequence[str]
@@ -345,3 +346,22 @@ def metric_nearest(df: DataFrame, queries: DataFrame, key: str, x: str, query: s
         laid = wanted.join(out.drop("rank"), "_q")
         out = laid.withColumn("rank", F.row_number().over(W.partitionBy("_query").orderBy("distance", "_key"))).where(F.col("rank") <= k)
     return out.select(F.col("_query").alias(query), "rank", F.col("_key").alias(key), "distance")
+
+
+def sign_distances(df: DataFrame, queries: DataFrame, key: str, x: str, query: str, q: str, name: str = "distance") -> DataFrame:
+    """query, key, places at which the signs of two arrays of numbers differ, for every row and query; its result is a product by definition.
+
+    Signs are packed into longs first, so that a pair costs a few bit counts. A null array has no distance (null).
+    """
+    most = df.select(F.size(x).alias("n")).unionByName(queries.select(F.size(q).alias("n"))).agg(F.max("n")).first()[0]
+    planes = 3 * -(-max(most or 0, 0) // 64)
+
+    def packed(t: DataFrame, k: str, v: str, to: str) -> DataFrame:
+        bits = V.sign_planes(F.col(v), max(most or 0, 0))
+        return t.select(F.col(k), F.col(v).isNotNull().alias(f"_{to}"), *[b.alias(f"_{to}{i}") for i, b in enumerate(bits)])
+
+    spark = df.sparkSession
+    rows = packed(df, key, x, "x").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+    met = rows.crossJoin(F.broadcast(packed(queries, query, q, "q")))  # a stated set, a few longs each
+    differ = V.differing_planes([F.col(f"_x{i}") for i in range(planes)], [F.col(f"_q{i}") for i in range(planes)])
+    return met.select(query, key, F.when(F.col("_x") & F.col("_q"), differ).alias(name))

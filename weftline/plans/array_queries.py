@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import add
 from weftline.functions import arrays as A
+from weftline.operators import joins as J
 from weftline.session import table
 
 
@@ -87,6 +88,6 @@ fixed("hu_moments_image", "m array<array<double>>", [([[0.0, 1.0, 0.0], [1.0, 2.
 # COO and ragged matrices are tables of coordinates: a cell is a row, a missing one the default.
 on("sparse_matrix_rows", "lineitem", lambda x: x.groupBy((F.col("l_partkey") % 7).alias("i"), (F.col("l_suppkey") % 5).alias("j")).agg(F.sum("l_quantity").cast("double").alias("v")).where("v <> 0"), "SELECT l_partkey % 7 AS i, l_suppkey % 5 AS j, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2")
 on("variable_row_matrix", "orders", lambda o: o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("width"), F.max("o_orderkey").alias("last")), "SELECT o_custkey, count(*) AS width, max(o_orderkey) AS last FROM orders GROUP BY 1")
-# Distances of a stated query set against all rows, in blocks of queries.
-add("hamming_chunked_queries", lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", F.signum).alias("x")).crossJoin(F.broadcast(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.transform("embedding", F.signum).alias("y")))).select("q", "vec_id", A.hamming(F.col("x"), F.col("y")).alias("dist")),
+# Distances of a stated query set against all rows.
+add("hamming_chunked_queries", lambda s, d: J.sign_distances(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("y")), "vec_id", "embedding", "q", "y", "dist"),
     "SELECT b.vec_id AS q, a.vec_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CASE WHEN sign(a.embedding[i]) <> sign(b.embedding[i]) THEN 1 ELSE 0 END))::BIGINT AS dist FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
